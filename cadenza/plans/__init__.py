@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scoring"]
+MODULES = ["scoring", "catalogue"]
 
 
 def load_all() -> None:
