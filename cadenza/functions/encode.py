@@ -66,14 +66,15 @@ def text_positions(text: Column, n: int = vocab.TEXT_DIM) -> Column:
 
     The encoder is defined on ten characters; the hash covers the whole text.
     """
-    base = md5_bucket(text, n)
     codes = F.transform(
         F.sequence(F.lit(1), F.least(F.lit(10), F.length(text))),
         lambda i: F.ascii(F.substring(text, i, F.lit(1))),
     )
-    return F.when(
-        F.length(text) > 0, F.array_distinct(F.transform(codes, lambda c: ((base + c) % F.lit(n)).cast("int")))
-    ).otherwise(F.array().cast("array<int>"))
+    spots = vectors.let(
+        md5_bucket(text, n),
+        lambda base: F.array_distinct(F.transform(codes, lambda c: ((base + c) % F.lit(n)).cast("int"))),
+    )
+    return F.when(F.length(text) > 0, spots).otherwise(F.array().cast("array<int>"))
 
 
 def text_space(text: Column, n: int = vocab.TEXT_DIM) -> Column:

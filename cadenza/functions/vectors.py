@@ -10,6 +10,11 @@ def _zero() -> Column:
     return F.lit(0.0).cast("double")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x * y)
     return F.aggregate(products, _zero(), lambda acc, x: acc + x)
@@ -29,11 +34,11 @@ def vec_mean(v: Column) -> Column:
 
 def vec_var(v: Column) -> Column:
     """Population variance of the entries."""
-    return F.try_divide(
-        F.aggregate(
-            F.transform(v, lambda x: x - vec_mean(v)), _zero(), lambda acc, d: acc + d * d
+    return let(
+        vec_mean(v),
+        lambda m: F.try_divide(
+            F.aggregate(v, _zero(), lambda acc, x: acc + (x - m) * (x - m)), F.size(v)
         ),
-        F.size(v),
     )
 
 
@@ -44,8 +49,12 @@ def scaled(v: Column, factor) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """v / |v|; a zero vector stays as it is."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+    return let(
+        v,
+        lambda w: let(
+            norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)
+        ),
+    )
 
 
 def clean(v: Column) -> Column:
@@ -82,7 +91,10 @@ def zeros(n: int) -> Column:
 
 def multi_hot(positions: Column, n: int) -> Column:
     """n entries, 1 at each listed position."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.when(F.array_contains(positions, i), 1.0).otherwise(0.0),
+    return let(
+        positions,
+        lambda p: F.transform(
+            F.sequence(F.lit(0), F.lit(n - 1)),
+            lambda i: F.when(F.array_contains(p, i), 1.0).otherwise(0.0),
+        ),
     )

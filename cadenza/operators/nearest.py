@@ -32,14 +32,14 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _side(table: pa.Table, vec: str, unit: bool) -> tuple[np.ndarray, dict]:
-    m = _matrix(table.column(vec), table.num_rows)
+def _side(table: pa.Table, vec: str | None, unit: bool) -> tuple[np.ndarray, dict]:
+    m = _matrix(table.column(vec), table.num_rows) if vec else np.zeros((table.num_rows, 1))
     cols = {
         n: table.column(n).to_numpy()
         for n in table.column_names
         if n not in (vec, "_lb", "_rb")
     }
-    return (_unit_rows(m) if unit else m), cols
+    return (_unit_rows(m) if unit and vec else m), cols
 
 
 def cosine_score(cos: np.ndarray, left: dict, right: dict) -> np.ndarray:
@@ -194,6 +194,106 @@ def block_stats(
     )
 
 
+def class_pair_stats(
+    classes: DataFrame, class_id: str, n: str, scorers: dict[str, Scorer], rows: int = 2048
+) -> DataFrame:
+    """Per scorer: number, mean and population std over all unordered row pairs.
+
+    Rows with equal attributes form a class with its row count `n`; a pair of
+    classes stands for n_a * n_b row pairs, a class with itself for n(n-1)/2.
+    """
+    names = list(scorers)
+
+    def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        out = {"name": [], "n": [], "total": [], "squares": []}
+        if lt.num_rows and rt.num_rows:
+            _, lc = _side(lt, None, False)
+            _, rc = _side(rt, None, False)
+            a, b = lc[class_id][:, None], rc[class_id][None, :]
+            na, nb = lc[n][:, None].astype(float), rc[n][None, :].astype(float)
+            w = np.where(a < b, na * nb, np.where(a == b, na * (na - 1.0) / 2.0, 0.0))
+            for name in names:
+                s = scorers[name](None, lc, rc)
+                out["name"].append(name)
+                out["n"].append(float(w.sum()))
+                out["total"].append(float((w * s).sum()))
+                out["squares"].append(float((w * s * s).sum()))
+        return pa.table({
+            "name": pa.array(out["name"], pa.string()),
+            **{c: pa.array(out[c], pa.float64()) for c in ("n", "total", "squares")},
+        })
+
+    size = classes.count()
+    cells = _cells(classes, classes, class_id, class_id, (size, size), rows, rows)
+    parts = cells.applyInArrow(cell, "name string, n double, total double, squares double")
+    mean = F.try_divide(F.sum("total"), F.sum("n"))
+    return parts.groupBy("name").agg(
+        F.sum("n").cast("long").alias("n_pairs"),
+        mean.alias("mean"),
+        F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.sum("squares"), F.sum("n")) - mean * mean)).alias("std"),
+    )
+
+
+def pair_hash(a, b, seed: int = 0):
+    """Order of a pair in a repeatable sample; plain integer arithmetic on both engines."""
+    m = 2147483647
+    return (a % m * 1103515245 + b % m * 12345677 + seed) % m
+
+
+def balanced_pair_sample(
+    items: DataFrame, item_id: str, scorers: dict[str, Scorer], positive: float, negative: float,
+    at_most: int, seed: int = 0, size: int | None = None, rows: int = 2048,
+) -> DataFrame:
+    """Per scorer, equally many positive and negative pairs, at most `at_most` of each.
+
+    Every cell counts its pairs and keeps only its `at_most` smallest pair
+    hashes per class, so the sample is the one a full enumeration would give.
+    """
+    names = list(scorers)
+    schema = "name string, class string, a long, b long, similarity double, h long, pairs long"
+
+    def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        cols: dict = {c: [] for c in ("name", "class", "a", "b", "similarity", "h", "pairs")}
+        if lt.num_rows and rt.num_rows:
+            _, lc = _side(lt, None, False)
+            _, rc = _side(rt, None, False)
+            ids_a, ids_b = lc[item_id], rc[item_id]
+            upper = ids_a[:, None] < ids_b[None, :]
+            h = pair_hash(ids_a[:, None], ids_b[None, :], seed)
+            for name in names:
+                s = np.round(scorers[name](None, lc, rc), DIGITS)
+                for label, mask in (("positive", s >= positive), ("negative", s <= negative)):
+                    r, c = np.nonzero(mask & upper)
+                    total = len(r)
+                    if total > at_most:
+                        few = np.argpartition(h[r, c], at_most)[:at_most]
+                        r, c = r[few], c[few]
+                    for i in range(len(r)):
+                        cols["a"].append(int(ids_a[r[i]]))
+                        cols["b"].append(int(ids_b[c[i]]))
+                        cols["similarity"].append(float(s[r[i], c[i]]))
+                        cols["h"].append(int(h[r[i], c[i]]))
+                        cols["name"].append(name)
+                        cols["class"].append(label)
+                        cols["pairs"].append(total if i == 0 else 0)
+        kinds = {"name": pa.string(), "class": pa.string(), "similarity": pa.float64()}
+        return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in cols.items()})
+
+    n = size if size is not None else items.count()
+    drawn = _cells(items, items, item_id, item_id, (n, n), rows, rows).applyInArrow(cell, schema)
+    w = Window.partitionBy("name", "class").orderBy("h", "a", "b")
+    best = drawn.withColumn("place", F.row_number().over(w)).withColumn(
+        "total", F.sum("pairs").over(Window.partitionBy("name", "class"))
+    ).where(F.col("place") <= at_most)
+    by_class = Window.partitionBy("name")
+    sizes = {
+        k: F.coalesce(F.max(F.when(F.col("class") == k, F.col("total"))).over(by_class), F.lit(0))
+        for k in ("positive", "negative")
+    }
+    cap = F.least(sizes["positive"], sizes["negative"], F.lit(at_most))
+    return best.withColumn("cap", cap).where(F.col("place") <= F.col("cap")).drop("pairs", "h", "total", "cap")
+
+
 def lsh_topk(items: DataFrame, item_id: str, vec: str, k: int, bucket: float = 0.5, tables: int = 8,
              distance: float = 1.2, seed: int = 7) -> DataFrame:
     """Approximate k nearest items on unit vectors by random projection buckets."""
@@ -289,3 +389,41 @@ class Transition:
             + self.w["difficulty"] * progress
         )
 
+
+class LabelTable:
+    """Similarity of label codes from a square table."""
+
+    def __init__(self, table: list[list[float]], column: str = "label_code"):
+        self.table, self.column = table, column
+
+    def __call__(self, cos, left, right):
+        return np.array(self.table)[left[self.column][:, None], right[self.column][None, :]]
+
+
+class Ordinal:
+    """max(0, 1 - distance / 2) of a rank column."""
+
+    def __init__(self, column: str):
+        self.column = column
+
+    def __call__(self, cos, left, right):
+        return np.maximum(0.0, 1.0 - np.abs(left[self.column][:, None] - right[self.column][None, :]) * 0.5)
+
+
+class Gaussian:
+    def __init__(self, column: str, width: float = 15.0):
+        self.column, self.width = column, width
+
+    def __call__(self, cos, left, right):
+        d = left[self.column][:, None] - right[self.column][None, :]
+        return np.exp(-(d * d) / (2 * self.width**2))
+
+
+class Blend:
+    """Weighted sum of other scorers."""
+
+    def __init__(self, parts: list[tuple[float, Scorer]]):
+        self.parts = parts
+
+    def __call__(self, cos, left, right):
+        return sum(w * p(cos, left, right) for w, p in self.parts)

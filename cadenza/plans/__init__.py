@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scoring", "catalogue"]
+MODULES = ["scoring", "catalogue", "encoding"]
 
 
 def load_all() -> None:
