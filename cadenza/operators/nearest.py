@@ -57,6 +57,8 @@ def _cells(left: DataFrame, right: DataFrame, left_id: str, right_id: str, sizes
             other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
         )
 
+    # Fresh column identities, so that a table may be compared with itself.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     a = blocked(left, left_id, "_lb", nl, "_rb", nr)
     b = blocked(right, right_id, "_rb", nr, "_lb", nl)
     return a.groupBy(*on, "_lb", "_rb").cogroup(b.groupBy(*on, "_lb", "_rb"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scoring", "catalogue", "encoding"]
+MODULES = ["scoring", "catalogue", "encoding", "pairs", "series"]
 
 
 def load_all() -> None:

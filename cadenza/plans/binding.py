@@ -153,7 +153,7 @@ def frames(spark, sf_dir) -> DataFrame:
         F.floor(F.col("idx") / CLIP_FRAMES).alias("clip"),
         (F.col("idx") % CLIP_FRAMES).alias("f"),
         "event_id", "ts", "t", "event_type", "value",
-        (F.col("value") / 500.0).alias("x"),
+        (F.col("value") / 487.0).alias("x"),
         (F.get_json_object("props", "$.k").cast("double") / 100.0).alias("y"),
     )
 
@@ -235,7 +235,7 @@ CTES = {
     "ev": "select *, epoch_us(ts) / 1e6 as t from events",
     "frames": f"""
         select user_id, idx // {CLIP_FRAMES} as clip, idx % {CLIP_FRAMES} as f, event_id, ts, t, event_type, value,
-          value / 500.0 as x, (props->>'$.k')::double / 100.0 as y
+          value / 487.0 as x, (props->>'$.k')::double / 100.0 as y
         from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as idx from ev)""",
     "pose_frames": """
         select user_id, clip, f, x as confidence, [{'x': vec[(j*2)%64+1], 'y': vec[(j*2+1)%64+1],
