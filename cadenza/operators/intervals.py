@@ -81,7 +81,9 @@ def window_totals(
     ).withColumn("_probe", F.lit(False))
     a = probes.withColumn("_unit", F.floor(F.col(t) / unit_seconds)).withColumn("_probe", F.lit(True))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_unit").orderBy(t).rangeBetween(-reach, reach)
+    ticks = F.round(F.col(t) * 1e6).cast("long")  # frames need whole numbers: microseconds
+    width = round(reach * 1e6)
+    w = Window.partitionBy(*keys, "_unit").orderBy(ticks).rangeBetween(-width, width)
     for n in totals:
         both = both.withColumn(n, F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0.0)))
     return both.where("_probe").drop("_unit", "_probe", *[f"_v_{n}" for n in totals])

@@ -48,27 +48,34 @@ def kinematics(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> Da
     return a.withColumn("is_transition", F.coalesce(peak, F.lit(False)) | F.coalesce(F.abs("turn") > 1, F.lit(False)))
 
 
-def movement(kin: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Coverage, rhythm, direction, level and transition count of each clip."""
-    n = F.count(F.lit(1))
-    mean = F.avg("speed")
+def movement_aggs(x: str = "x", y: str = "y") -> list[Column]:
+    """Aggregates of a kinematics table that `finish_movement` needs."""
     span = lambda c: F.max(c) - F.min(c)
-    agg = kin.groupBy(*keys).agg(
-        n.alias("n"), (span(x) * span(y)).alias("coverage"),
-        safe(1.0 / (1.0 + F.stddev_pop("speed") / (mean + 1e-6))).alias("rhythm"),
+    return [
+        F.count(F.lit(1)).alias("n"), (span(x) * span(y)).alias("coverage"),
+        safe(1.0 / (1.0 + F.stddev_pop("speed") / (F.avg("speed") + 1e-6))).alias("rhythm"),
         (F.max_by(x, "f") - F.min_by(x, "f")).alias("_dx"), (F.max_by(y, "f") - F.min_by(y, "f")).alias("_dy"),
-        safe(mean).alias("mean_speed"), safe(F.stddev_pop("speed")).alias("std_speed"), safe(F.max("speed")).alias("max_speed"),
-        safe(F.avg("accel")).alias("mean_accel"), safe(F.stddev_pop("accel")).alias("std_accel"), safe(F.max("accel")).alias("max_accel"),
+        *[safe(fn(c)).alias(f"{c}_{k}") for c in ("speed", "accel")
+          for k, fn in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max), ("min", F.min))],
         F.count_if("is_transition").alias("n_transitions"),
         F.count_if(F.col("turn") != 0).alias("n_turns"),
-    )
+    ]
+
+
+def finish_movement(df: DataFrame) -> DataFrame:
+    """Direction of the whole displacement and level of the mean speed."""
     direction = (
         F.when(F.col("n") < 2, "static")
         .when(F.abs("_dx") > F.abs("_dy"), F.when(F.col("_dx") > 0, "horizontal").otherwise("horizontal_left"))
         .when(F.col("_dy") < 0, "vertical_up").otherwise("vertical_down")
     )
-    level = F.when(F.col("mean_speed") < 0.01, "low").when(F.col("mean_speed") < 0.03, "medium").otherwise("high")
-    return agg.withColumns({"direction": direction, "level": level}).drop("_dx", "_dy")
+    level = F.when(F.col("speed_mean") < 0.01, "low").when(F.col("speed_mean") < 0.03, "medium").otherwise("high")
+    return df.withColumns({"direction": direction, "level": level})
+
+
+def movement(kin: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Coverage, rhythm, direction, level and transition count of each clip."""
+    return finish_movement(kin.groupBy(*keys).agg(*movement_aggs(x, y))).drop("_dx", "_dy")
 
 
 def moving_average(df: DataFrame, keys: list[str], value: str, name: str = "smooth") -> DataFrame:
@@ -130,7 +137,12 @@ def trend_and_shape(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def series_array(value: str, order: str = "f") -> Column:
     """Aggregate: the non-null values of a clip in order (a bounded array)."""
     rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value))))
-    return F.transform(rows, lambda r: r[value])
+    return column_of(rows, value)
+
+
+def column_of(rows, field: str) -> Column:
+    """One field of an array of structs, as an array."""
+    return F.transform(rows, lambda r: r[field])
 
 
 def _lagged(v: Column, k: Column) -> Column:
@@ -189,31 +201,38 @@ def periodicity(v: Column) -> Column:
     return vectors.let(_centred(v), amplitudes)
 
 
-def path_descriptors(kin: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Path shape, smoothness, turning consistency, symmetry and evenness of acceleration."""
-    mid = F.avg(x).over(Window.partitionBy(*keys))
-    away = F.abs(F.col(x) - F.col("_mid"))
+def with_path_columns(kin: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
+    """Distance to the mean x of the clip and turning angle of each frame."""
     cos = F.try_divide(
         F.col("vx") * F.col("prev_vx") + F.col("vy") * F.col("prev_vy"), F.col("speed") * F.col("prev_speed"))
     angle = F.when(
         (F.col("speed") > 1e-6) & (F.col("prev_speed") > 1e-6),
         F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
-    d = kin.withColumn("_mid", mid).withColumn("_angle", angle)
+    return kin.withColumns({"_side": F.col(x) - F.avg(x).over(Window.partitionBy(*keys)), "_angle": angle})
+
+
+def path_aggs(x: str = "x", y: str = "y", prefix: str = "") -> list[Column]:
+    """Path shape, smoothness, turning consistency, symmetry and evenness of acceleration."""
     n = F.count(F.lit(1))
     path, gone = safe(F.sum("speed")), F.sqrt(
         F.pow(F.max_by(x, "f") - F.min_by(x, "f"), 2.0) + F.pow(F.max_by(y, "f") - F.min_by(y, "f"), 2.0))
-    left, right = F.var_pop(F.when(F.col(x) < F.col("_mid"), away)), F.var_pop(F.when(F.col(x) >= F.col("_mid"), away))
+    side, away = F.col("_side"), F.abs("_side")
+    left, right = F.var_pop(F.when(side < 0, away)), F.var_pop(F.when(side >= 0, away))
     mean_a = F.avg("accel")
-    return d.groupBy(*keys).agg(
-        n.alias("n"),
-        F.when(gone < 1e-6, F.when(path > 1e-6, 1.0).otherwise(0.0)).otherwise(F.least(path / gone, F.lit(10.0)) / 10.0).alias("complexity"),
-        safe(1.0 / (1.0 + F.stddev_pop("dspeed") * 100), 1.0).alias("smoothness"),
-        safe(1.0 / (1.0 + F.stddev_pop("_angle")), 1.0).alias("consistency"),
-        F.when(n < 2, 1.0).otherwise(
-            safe(F.greatest(F.lit(0.0), 1.0 - F.abs(left - right) / (left + right + 1e-6)), 0.5)).alias("symmetry"),
-        F.when((F.count("accel") < 2) | (mean_a < 1e-6), 0.0).otherwise(
-            safe(1.0 / (1.0 + F.stddev_pop("accel") / mean_a))).alias("evenness"),
-    )
+    out = {
+        "complexity": F.when(gone < 1e-6, F.when(path > 1e-6, 1.0).otherwise(0.0)).otherwise(F.least(path / gone, F.lit(10.0)) / 10.0),
+        "smoothness": safe(1.0 / (1.0 + F.stddev_pop("dspeed") * 100), 1.0),
+        "consistency": safe(1.0 / (1.0 + F.stddev_pop("_angle")), 1.0),
+        "symmetry": F.when(n < 2, 1.0).otherwise(
+            safe(F.greatest(F.lit(0.0), 1.0 - F.abs(left - right) / (left + right + 1e-6)), 0.5)),
+        "evenness": F.when((F.count("accel") < 2) | (mean_a < 1e-6), 0.0).otherwise(
+            safe(1.0 / (1.0 + F.stddev_pop("accel") / mean_a))),
+    }
+    return [c.alias(prefix + k) for k, c in out.items()]
+
+
+def path_descriptors(kin: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    return with_path_columns(kin, keys, x).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *path_aggs(x, y))
 
 
 def equal_parts(df: DataFrame, keys: list[str], value: str, parts: int = 4) -> DataFrame:
@@ -288,21 +307,30 @@ def intensity(posed_df: DataFrame, keys: list[str]) -> DataFrame:
     return posed_df.withColumn("intensity", mean * 0.7 + safe(step) * 0.3)
 
 
-def coordination(posed_df: DataFrame, keys: list[str]) -> DataFrame:
-    """Left-right, upper-lower and x-y correlations, and 1 - mean |corr| over body part pairs."""
+def coordination_aggs() -> list[Column]:
+    """Left-right, upper-lower and x-y correlations, and those of all body part pairs."""
     names = [f"part_{p}" for p in vocab.BODY_PARTS]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     raw = [F.abs(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))) for a, b in pairs]
     n = F.count(F.lit(1))
-    return posed_df.groupBy(*keys).agg(
-        n.alias("n"),
+    return [
         F.abs(correlation("left_elbow", "right_elbow")).alias("elbows"), F.abs(correlation("left_knee", "right_knee")).alias("knees"),
         F.when(n > 2, correlation("upper", "lower")).otherwise(0.0).alias("upper_lower"),
         F.when(n > 2, correlation("cx", "cy")).otherwise(0.0).alias("x_y"),
         safe(F.avg("upper")).alias("upper_mean"), safe(F.stddev_pop("upper")).alias("upper_std"),
         safe(F.avg("lower")).alias("lower_mean"), safe(F.stddev_pop("lower")).alias("lower_std"),
         F.array_compact(F.array(*raw)).alias("_corr"),
-    ).withColumn(
-        "coordination_complexity",
-        F.when((F.col("n") > 2) & (F.size("_corr") > 0), F.greatest(F.lit(0.0), 1.0 - vectors.vec_mean(F.col("_corr")))).otherwise(0.0),
+    ]
+
+
+def finish_coordination(df: DataFrame) -> DataFrame:
+    """1 - mean |correlation| over the body part pairs."""
+    known = (F.col("n") > 2) & (F.size("_corr") > 0)
+    mean = vectors.vec_mean(F.col("_corr"))
+    return df.withColumn(
+        "coordination_complexity", F.when(known, F.greatest(F.lit(0.0), 1.0 - mean)).otherwise(0.0)
     ).drop("_corr")
+
+
+def coordination(posed_df: DataFrame, keys: list[str]) -> DataFrame:
+    return finish_coordination(posed_df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *coordination_aggs()))

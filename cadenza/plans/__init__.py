@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scoring", "catalogue", "encoding", "pairs", "series"]
+MODULES = ["scoring", "catalogue", "encoding", "pairs", "series", "songs"]
 
 
 def load_all() -> None:

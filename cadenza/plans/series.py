@@ -39,7 +39,8 @@ MOVE_SQL = dict(**KIN, mv="""select user_id, clip, count(*) as n, (max(x) - min(
       case when mean_speed < 0.01 then 'low' when mean_speed < 0.03 then 'medium' else 'high' end as level from mv""")
 def win1(spark, sf):
     m = s.movement(kin(spark, sf), K)
-    return rounded(m.select(*K, "n", "coverage", "rhythm", "mean_speed", "std_accel", "direction", "level"))
+    return rounded(m.select(
+        *K, "n", "coverage", "rhythm", F.col("speed_mean").alias("mean_speed"), F.col("accel_std").alias("std_accel"), "direction", "level"))
 
 
 @query("win2_moving_average", b.with_("frames") + """
