@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scoring", "catalogue", "encoding", "pairs", "series", "songs"]
+MODULES = ["scoring", "catalogue", "encoding", "pairs", "series", "songs", "logs", "sequences"]
 
 
 def load_all() -> None:
