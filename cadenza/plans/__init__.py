@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scoring", "catalogue", "encoding", "pairs", "series", "songs", "logs", "sequences"]
+MODULES = ["scoring", "catalogue", "encoding", "pairs", "series", "songs", "logs", "sequences", "files", "streams"]
 
 
 def load_all() -> None:

@@ -171,9 +171,9 @@ def win27(spark, sf):
 
 @query("win31_total_check", """
     select o_orderkey as seq_id, round(s, 6) as actual, abs(s - o_totalprice) > 1 as is_off, round(case when abs(s - o_totalprice) > 1 then s else o_totalprice end, 6) as corrected
-    from orders join (select l_orderkey, sum(round(l_extendedprice * (1 - l_discount), 2)) as s from lineitem group by 1) on l_orderkey = o_orderkey""")
+    from orders join (select l_orderkey, sum(l_extendedprice * (1 - l_discount)) as s from lineitem group by 1) on l_orderkey = o_orderkey""")
 def win31(spark, sf):
-    part = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)
+    part = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     s = b.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(part).alias("s"))
     j = b.table(spark, sf, "orders").select("o_orderkey", "o_totalprice").join(s, "o_orderkey")
     off = F.abs(F.col("s") - F.col("o_totalprice")) > 1
