@@ -105,7 +105,7 @@ def src7(spark, sf):
                  F.struct(F.col("rhythm").alias("pattern_strength"), F.col("sync").alias("syncopation_level")).alias("rhythm_features"),
                  F.struct(F.col("sections").alias("count"), sec.alias("sections")).alias("musical_sections")).alias("analysis_results"))
     docs = songs(spark, sf).groupBy(F.floor(F.col("song_id") / SHARD).alias("s")).agg(F.collect_list(one).alias("results")).select("results")
-    docs.write.mode("overwrite").json(path)
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)  # one document per file
     r = tb.read_analysis(spark, path)
     return profiles.rounded(r.agg(F.count(F.lit(1)).alias("n"), F.avg("tempo").alias("mean_tempo"), F.avg("rhythm").alias("mean_rhythm"), F.sum(F.size("sections")).alias("n_sections")))
 

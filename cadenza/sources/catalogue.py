@@ -42,7 +42,7 @@ def write_documents(clips: DataFrame, path: str, instructions: str, shard: Colum
     docs = clips.withColumn("_shard", shard).groupBy("_shard").agg(
         F.sort_array(F.collect_set("move_label")).alias("move_categories"),
         F.array_sort(F.collect_list(F.struct(*cols))).alias("clips"))
-    docs.select(F.lit(instructions).alias("instructions"), "move_categories", "clips").write.mode("overwrite").json(path)
+    docs.select(F.lit(instructions).alias("instructions"), "move_categories", "clips").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def write_csv(clips: DataFrame, path: str) -> None:
