@@ -112,12 +112,13 @@ def exact_quantiles(
     ranks are bucket offsets plus a running count inside the bucket.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    if not keys:
-        counted, keys = counted.withColumn("_all", F.lit(0)), ["_all"]
-    span = counted.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n")
-    )
-    placed = counted.join(F.broadcast(span) if keys == ["_all"] else span, keys).withColumn(
+    ends = [F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n")]
+    if keys:
+        placed = counted.join(counted.groupBy(*keys).agg(*ends), keys)
+    else:
+        span = counted.agg(*ends).select(F.struct("_lo", "_hi", "_n")).scalar()
+        placed = counted.withColumn("_span", span).select("*", "_span.*").drop("_span")
+    placed = placed.withColumn(
         "_b",
         F.coalesce(
             F.least(
@@ -144,5 +145,4 @@ def exact_quantiles(
 
         frac = F.max(pos - lo)
         aggs.append((at(lo) * (1 - frac) + at(hi) * frac).alias(name))
-    out = ranked.groupBy(*keys).agg(*aggs)
-    return out.drop("_all") if keys == ["_all"] else out
+    return ranked.groupBy(*keys).agg(*aggs)

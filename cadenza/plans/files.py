@@ -10,11 +10,13 @@ from ..session import scratch_path
 from ..sources import catalogue as cat
 from ..sources import tables as tb
 from . import binding as b
-from .catalogue import balances, checked_items, consistency, songs
+from .catalogue import BALANCE_SQL, CONSISTENT_SQL, ERRORS_SQL, balances, checked_items, consistency, songs
 from .logs import decisions, feedback
 from .registry import query
 from .songs import detection_quality
 
+QUALITY_SQL = """select 0.4 * least(1, rate / 0.8) + 0.4 * least(1, conf / 0.6) + 0.2 * greatest(0, 1 - low / 0.2) as score, rate < 0.8 or conf < 0.6 or low > 0.2 as bad
+    from (select avg((y > 0.1)::int) as rate, avg(x) as conf, count(*) filter (x < 0.5) / count(*)::double as low from frames group by user_id, clip)"""
 SHARD = 500  # clips per catalogue document
 
 
@@ -241,7 +243,10 @@ def src18(spark, sf):
     return spark.read.schema(rec.schema).json(path).select("result.score", "result.detail.n", "result.detail.first_status")
 
 
-@query("agg12_validation_rollup")
+@query("agg12_validation_rollup", b.with_("frames", "motion", **ERRORS_SQL, **CONSISTENT_SQL, q=QUALITY_SQL) + f"""
+    select count(*) as n, count(*) filter (len(errors) > 0) as n_rule_issues, (select round(avg(score), 6) from q) as quality, (select count(*) from q where bad) as n_quality_issues,
+      (select round(avg(score), 6) from consistent) as consistency, (select count(*) from consistent where mismatches <> '') as n_mismatches,
+      {BALANCE_SQL.format(src='items', col='label').replace('(select case', '(select round(case', 1).replace(' end from', ' end, 6) from', 1)} as label_balance from checked""")
 def agg12(spark, sf):
     """Collection, detection quality, consistency and balance in one row."""
     c = checked_items(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("errors") > 0).alias("n_rule_issues"))
