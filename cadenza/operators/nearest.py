@@ -46,6 +46,23 @@ def cosine_score(cos: np.ndarray, left: dict, right: dict) -> np.ndarray:
     return cos
 
 
+def _own_cells(items: DataFrame, item_id: str, n: int, rows: int):
+    """Cogrouped block pairs of a table with itself, each unordered pair of blocks once."""
+    blocks = max(1, math.ceil(n / rows))
+    block = F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int")
+    other = items.select(*[F.col(c).alias(c) for c in items.columns])
+    a = items.withColumn("_lb", block).withColumn("_rb", F.explode(F.sequence("_lb", F.lit(blocks - 1))))
+    b = other.withColumn("_rb", block).withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_rb"))))
+    return a.groupBy("_lb", "_rb").cogroup(b.groupBy("_lb", "_rb"))
+
+
+def _own_pairs(key, ids_a: np.ndarray, ids_b: np.ndarray) -> np.ndarray:
+    """Mask of the pairs a cell stands for: all of two blocks, or a < b inside one."""
+    if key[0].as_py() != key[1].as_py():
+        return np.ones((len(ids_a), len(ids_b)), dtype=bool)
+    return ids_a[:, None] < ids_b[None, :]
+
+
 def _cells(left: DataFrame, right: DataFrame, left_id: str, right_id: str, sizes, left_rows, right_rows, on=()):
     """Cogrouped block pairs; with `on`, only blocks that agree on these columns."""
     n_left, n_right = sizes or (left.count(), right.count())
@@ -124,34 +141,32 @@ def block_pairs(
     size: int | None = None,
     rows: int = 4096,
 ) -> DataFrame:
-    """(a, b, score) for every pair a < b whose score reaches the threshold."""
+    """(a, b, score) for every pair a < b whose symmetric score reaches the threshold."""
 
-    def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
+    def cell(key, lt: pa.Table, rt: pa.Table) -> pa.Table:
+        a = b = np.array([], np.int64)
+        v = np.array([], np.float64)
         if lt.num_rows and rt.num_rows:
             lm, lc = _side(lt, vec, unit)
             rm, rc = _side(rt, vec, unit)
             s = np.round(scorer(lm @ rm.T, lc, rc), DIGITS)
-            r, c = np.nonzero((s >= at_least) & (lc[item_id][:, None] < rc[item_id][None, :]))
-            a, b, v = lc[item_id][r], rc[item_id][c], s[r, c]
-        else:
-            a = b = np.array([], np.int64)
-            v = np.array([], np.float64)
+            r, c = np.nonzero((s >= at_least) & _own_pairs(key, lc[item_id], rc[item_id]))
+            x, y, v = lc[item_id][r], rc[item_id][c], s[r, c]
+            a, b = np.minimum(x, y), np.maximum(x, y)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(v, pa.float64())})
 
     n = size if size is not None else items.count()
-    cells = _cells(items, items, item_id, item_id, (n, n), rows, rows)
-    return cells.applyInArrow(cell, "a long, b long, score double")
+    return _own_cells(items, item_id, n, rows).applyInArrow(cell, "a long, b long, score double")
 
 
 def block_stats(
     left: DataFrame,
-    right: DataFrame,
     left_id: str,
-    right_id: str,
-    vec: str = "vec",
+    right: DataFrame | None = None,
+    right_id: str | None = None,
+    vec: str | None = "vec",
     scorer: Scorer = cosine_score,
     unit: bool = True,
-    ordered_pairs: bool = True,
     bands: dict[str, tuple[float, float]] | None = None,
     sizes: tuple[int, int] | None = None,
     left_rows: int = 2048,
@@ -159,28 +174,33 @@ def block_stats(
 ) -> DataFrame:
     """One row: count, mean, population std, min, max of the scores of all pairs.
 
-    With `ordered_pairs` all pairs of different ids count, else only left < right.
+    With a right side every pair of different ids counts, in that direction.
+    Without one the score must be symmetric and each unordered pair counts once.
     `bands` adds counts of scores in the open interval (low, high).
     """
     bands = bands or {}
     names = ["n", "total", "squares", "low", "high", *bands]
+    own, other_id = right is None, right_id or left_id
 
-    def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
+    def cell(key, lt: pa.Table, rt: pa.Table) -> pa.Table:
         row = [0.0, 0.0, 0.0, None, None] + [0.0] * len(bands)
         if lt.num_rows and rt.num_rows:
             lm, lc = _side(lt, vec, unit)
             rm, rc = _side(rt, vec, unit)
             s = scorer(lm @ rm.T, lc, rc)
-            li, ri = lc[left_id][:, None], rc[right_id][None, :]
-            v = s[(li != ri) if ordered_pairs else (li < ri)]
+            li, ri = lc[left_id], rc[other_id]
+            v = s[_own_pairs(key, li, ri) if own else li[:, None] != ri[None, :]]
             if v.size:
                 inside = [float(np.count_nonzero((v > lo) & (v < hi))) for lo, hi in bands.values()]
                 row = [float(v.size), float(v.sum()), float((v * v).sum()), float(v.min()), float(v.max()), *inside]
         return pa.table({n: pa.array([x], pa.float64()) for n, x in zip(names, row)})
 
-    parts = _cells(left, right, left_id, right_id, sizes, left_rows, right_rows).applyInArrow(
-        cell, ", ".join(f"{n} double" for n in names)
-    )
+    if own:
+        n_rows = sizes[0] if sizes else left.count()
+        cells = _own_cells(left, left_id, n_rows, left_rows)
+    else:
+        cells = _cells(left, right, left_id, other_id, sizes, left_rows, right_rows)
+    parts = cells.applyInArrow(cell, ", ".join(f"{n} double" for n in names))
     total = parts.agg(
         F.sum("n").alias("n"), F.sum("total").alias("t"), F.sum("squares").alias("q"),
         F.min("low").alias("low"), F.max("high").alias("high"),
@@ -206,14 +226,15 @@ def class_pair_stats(
     """
     names = list(scorers)
 
-    def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
+    def cell(key, lt: pa.Table, rt: pa.Table) -> pa.Table:
         out = {"name": [], "n": [], "total": [], "squares": []}
         if lt.num_rows and rt.num_rows:
             _, lc = _side(lt, None, False)
             _, rc = _side(rt, None, False)
             a, b = lc[class_id][:, None], rc[class_id][None, :]
             na, nb = lc[n][:, None].astype(float), rc[n][None, :].astype(float)
-            w = np.where(a < b, na * nb, np.where(a == b, na * (na - 1.0) / 2.0, 0.0))
+            across = np.where(_own_pairs(key, lc[class_id], rc[class_id]), na * nb, 0.0)
+            w = np.where(a == b, na * (na - 1.0) / 2.0, across)
             for name in names:
                 s = scorers[name](None, lc, rc)
                 out["name"].append(name)
@@ -225,9 +246,7 @@ def class_pair_stats(
             **{c: pa.array(out[c], pa.float64()) for c in ("n", "total", "squares")},
         })
 
-    size = classes.count()
-    cells = _cells(classes, classes, class_id, class_id, (size, size), rows, rows)
-    parts = cells.applyInArrow(cell, "name string, n double, total double, squares double")
+    parts = _own_cells(classes, class_id, classes.count(), rows).applyInArrow(cell, "name string, n double, total double, squares double")
     mean = F.try_divide(F.sum("total"), F.sum("n"))
     return parts.groupBy("name").agg(
         F.sum("n").cast("long").alias("n_pairs"),
@@ -254,25 +273,27 @@ def balanced_pair_sample(
     names = list(scorers)
     schema = "name string, class string, a long, b long, similarity double, h long, pairs long"
 
-    def cell(lt: pa.Table, rt: pa.Table) -> pa.Table:
+    def cell(key, lt: pa.Table, rt: pa.Table) -> pa.Table:
         cols: dict = {c: [] for c in ("name", "class", "a", "b", "similarity", "h", "pairs")}
         if lt.num_rows and rt.num_rows:
             _, lc = _side(lt, None, False)
             _, rc = _side(rt, None, False)
             ids_a, ids_b = lc[item_id], rc[item_id]
-            upper = ids_a[:, None] < ids_b[None, :]
-            h = pair_hash(ids_a[:, None], ids_b[None, :], seed)
+            own = _own_pairs(key, ids_a, ids_b)
+            low = np.minimum(ids_a[:, None], ids_b[None, :])
+            high = np.maximum(ids_a[:, None], ids_b[None, :])
+            h = pair_hash(low, high, seed)
             for name in names:
                 s = np.round(scorers[name](None, lc, rc), DIGITS)
                 for label, mask in (("positive", s >= positive), ("negative", s <= negative)):
-                    r, c = np.nonzero(mask & upper)
+                    r, c = np.nonzero(mask & own)
                     total = len(r)
                     if total > at_most:
                         few = np.argpartition(h[r, c], at_most)[:at_most]
                         r, c = r[few], c[few]
                     for i in range(len(r)):
-                        cols["a"].append(int(ids_a[r[i]]))
-                        cols["b"].append(int(ids_b[c[i]]))
+                        cols["a"].append(int(low[r[i], c[i]]))
+                        cols["b"].append(int(high[r[i], c[i]]))
                         cols["similarity"].append(float(s[r[i], c[i]]))
                         cols["h"].append(int(h[r[i], c[i]]))
                         cols["name"].append(name)
@@ -282,7 +303,7 @@ def balanced_pair_sample(
         return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in cols.items()})
 
     n = size if size is not None else items.count()
-    drawn = _cells(items, items, item_id, item_id, (n, n), rows, rows).applyInArrow(cell, schema)
+    drawn = _own_cells(items, item_id, n, rows).applyInArrow(cell, schema)
     w = Window.partitionBy("name", "class").orderBy("h", "a", "b")
     best = drawn.withColumn("place", F.row_number().over(w)).withColumn(
         "total", F.sum("pairs").over(Window.partitionBy("name", "class"))

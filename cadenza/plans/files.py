@@ -246,7 +246,7 @@ def src18(spark, sf):
 @query("agg12_validation_rollup", b.with_("frames", "motion", **ERRORS_SQL, **CONSISTENT_SQL, q=QUALITY_SQL) + f"""
     select count(*) as n, count(*) filter (len(errors) > 0) as n_rule_issues, (select round(avg(score), 6) from q) as quality, (select count(*) from q where bad) as n_quality_issues,
       (select round(avg(score), 6) from consistent) as consistency, (select count(*) from consistent where mismatches <> '') as n_mismatches,
-      {BALANCE_SQL.format(src='items', col='label').replace('(select case', '(select round(case', 1).replace(' end from', ' end, 6) from', 1)} as label_balance from checked""")
+      round({BALANCE_SQL.format(src='items', col='label')}, 6) as label_balance from checked""")
 def agg12(spark, sf):
     """Collection, detection quality, consistency and balance in one row."""
     c = checked_items(spark, sf).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("errors") > 0).alias("n_rule_issues"))

@@ -154,7 +154,7 @@ def agg19(spark, sf):
     left, right = transition_sides(spark, sf)
     n = b.table(spark, sf, "part").count()
     inf = float("inf")
-    s = nn.block_stats(left, right, "item_id", "next_id", vec=None, sizes=(n, n), left_rows=1024, right_rows=2048,
+    s = nn.block_stats(left, "item_id", right, "next_id", vec=None, sizes=(n, n), left_rows=1024, right_rows=2048,
                        scorer=nn.Transition(vocab.TRANSITION_WEIGHTS), bands={"smooth": (0.7, inf), "pause": (-inf, 0.4)})
     return rounded(s.withColumn("smooth_pct", F.try_divide(F.col("smooth") * 100.0, F.col("n"))))
 
@@ -224,9 +224,7 @@ def agg15(spark, sf):
     mixed = F.concat(vectors.scaled(vectors.l2_normalize(p), 0.4**0.5), vectors.scaled(vectors.l2_normalize(q), 0.4**0.5),
                      vectors.scaled(vectors.l2_normalize(F.col("vec")), 0.2**0.5))
     n = b.table(spark, sf, "embeddings").count()
-    left = v.select("vec_id", mixed.alias("vec"))
-    right = b.vectors(spark, sf).select(F.col("vec_id").alias("other"), mixed.alias("vec"))
-    stats = nn.block_stats(left, right, "vec_id", "other", unit=False, ordered_pairs=False, sizes=(n, n))
+    stats = nn.block_stats(v.select("vec_id", mixed.alias("vec")), "vec_id", unit=False, sizes=(n, n))
     dims = v.agg(*[F.var_pop(F.get("vec", i)).alias(f"d{i}") for i in range(64)])
     var = F.array(*[F.col(f"d{i}") for i in range(64)])
     per_dim = dims.select(

@@ -97,10 +97,33 @@ def test_block_pairs_and_stats(vecs):
     iu = np.triu_indices(90, 1)
     pairs = nearest.block_pairs(df, "id", 0.8, rows=17).toPandas()
     assert len(pairs) == int((s[iu] >= 0.8).sum()) and (pairs.a < pairs.b).all()
-    st = nearest.block_stats(df, df.select(F.col("id").alias("o"), "vec"), "id", "o", ordered_pairs=False, left_rows=20, right_rows=9).first()
+    st = nearest.block_stats(df, "id", left_rows=20).first()
     assert st["n"] == len(iu[0]) and st["mean"] == pytest.approx(s[iu].mean()) and st["std"] == pytest.approx(s[iu].std())
 
 
+def test_class_stats_and_sample_over_small_blocks(spark):
+    """Class pairs stand for row pairs; the sample is that of a full enumeration."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"id": np.arange(120), "difficulty_rank": rng.integers(1, 4, 120).astype(float), "tempo": rng.integers(90, 130, 120).astype(float)})
+    pdf.loc[:40, ["difficulty_rank", "tempo"]] = [2.0, 100.0]
+    scorers = {"d": nearest.Ordinal("difficulty_rank"), "t": nearest.Gaussian("tempo")}
+    full = {k: fn(None, {c: pdf[c].values for c in pdf}, {c: pdf[c].values for c in pdf}) for k, fn in scorers.items()}
+    iu = np.triu_indices(120, 1)
+    df = spark.createDataFrame(pdf)
+    classes = df.groupBy("difficulty_rank", "tempo").agg(F.count("*").alias("n"), F.min("id").alias("cid"))
+    for r in nearest.class_pair_stats(classes, "cid", "n", scorers, rows=7).collect():
+        v = full[r["name"]][iu]
+        assert r["n_pairs"] == len(v) and r["mean"] == pytest.approx(v.mean()) and r["std"] == pytest.approx(v.std())
+    got = nearest.balanced_pair_sample(df, "id", scorers, 0.7, 0.3, 20, seed=4, rows=31).toPandas()
+    for name, s in full.items():
+        sets = {"positive": np.round(s[iu], 9) >= 0.7, "negative": np.round(s[iu], 9) <= 0.3}
+        cap = min(20, *(int(m.sum()) for m in sets.values()))
+        for cls, m in sets.items():
+            pairs = sorted((int(nearest.pair_hash(int(a), int(c), 4)), int(a), int(c)) for a, c in zip(iu[0][m], iu[1][m]))[:cap]
+            g = got[(got.name == name) & (got["class"] == cls)]
+            assert {(a, c) for _, a, c in pairs} == set(zip(g.a, g.b))
+
+
 def test_multi_factor_matches_column_score(spark):
     """The block score equals the weighted sum of the column parts."""
     cos = np.array([[0.5]])
