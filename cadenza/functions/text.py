@@ -56,7 +56,7 @@ def song_description(tempo, centroid, percussive, difficulty, energy, style=None
             phrase = phrase.when(style == name, words)
         head = F.concat(phrase.otherwise("versatile"), F.lit(" "), difficulty, F.lit(" "), energy, F.lit(" energy"))
     return F.concat(
-        head, F.lit(" bachata with "), pace, F.lit(" "), colour, F.lit(" sound and "), rhythm
+        head, F.lit(f" {vocab.GENRE} with "), pace, F.lit(" "), colour, F.lit(" sound and "), rhythm
     )
 
 
@@ -122,7 +122,7 @@ def tempo_advice(tempo: Column, rhythm: Column, syncopation: Column) -> Column:
         F.array(
             F.when(tempo < 110, F.lit("Consider slower, more dramatic moves for this tempo"))
             .when(tempo > 140, F.lit("Focus on quick, energetic moves for this fast tempo"))
-            .otherwise(F.lit("Perfect tempo range for classic bachata moves")),
+            .otherwise(F.lit(f"Perfect tempo range for classic {vocab.GENRE} moves")),
             F.when(rhythm > 0.8, F.lit("Strong rhythm - emphasize beat-matching moves")),
             F.when(syncopation > 0.7, F.lit("High syncopation - incorporate complex timing variations")),
         )

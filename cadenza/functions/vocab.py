@@ -98,6 +98,9 @@ STYLE_PHRASES = {
     "technical": "precise and complex", "balanced": "well-rounded",
 }
 
+# Genre named in descriptions and advice.
+GENRE = "bachata"
+
 # Words of the request text.
 REQUEST_DIFFICULTY = [
     ("beginner", ["beginner", "basic", "easy"]),

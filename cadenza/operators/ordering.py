@@ -30,7 +30,8 @@ def dense_index(
     `unit` is a coarse bucket that never decreases along `order`. Keys of at
     most `hot_rows` rows are numbered by one window. The list of larger keys
     holds at most rows / hot_rows entries, so it is safe to broadcast; these
-    keys are numbered per unit plus the offset of the earlier units.
+    keys are numbered per unit plus the offset of the earlier units. As only
+    they use it, the unit may be fine; a struct of leading order columns works.
     """
     rank = F.row_number()
     if keys:

@@ -147,7 +147,8 @@ def day_of(t: Column) -> Column:
 def frames(spark, sf_dir) -> DataFrame:
     """Ordered observations of a user, cut into clips of at most CLIP_FRAMES frames."""
     e = events(spark, sf_dir)
-    idx = dense_index(e, ["user_id"], ["ts", "event_id"], F.to_date("ts"))
+    # The unit only serves users above the row limit of dense_index, so it may be fine.
+    idx = dense_index(e, ["user_id"], ["ts", "event_id"], F.date_trunc("minute", "ts"))
     return idx.select(
         "user_id",
         F.floor(F.col("idx") / CLIP_FRAMES).alias("clip"),
@@ -180,7 +181,8 @@ def slots(spark, sf_dir) -> DataFrame:
     """Lines of an order as the ordered slots of its sequences, with item attributes."""
     li = table(spark, sf_dir, "lineitem")
     order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    idx = dense_index(li, ["l_orderkey"], order, F.to_date("l_shipdate"))
+    unit = F.struct("l_shipdate", "l_linenumber", F.floor(F.col("l_partkey") / 10_000))
+    idx = dense_index(li, ["l_orderkey"], order, unit)
     lines = idx.select(
         F.col("l_orderkey").alias("seq_id"),
         F.floor(F.col("idx") / SEQUENCE_SLOTS).alias("part_no"),

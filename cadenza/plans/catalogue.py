@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, music, scores, text, vocab
 from ..operators import profiles, upkeep
-from ..operators.ordering import dense_index
+from ..operators.ordering import running_totals
 from . import binding as b
 from .registry import query
 
@@ -106,11 +106,11 @@ def prj6(spark, sf):
         "item_id", labels.describe(F.col("label"), F.col("energy"), F.col("difficulty"), notes).alias("description"))
 
 
-@query("prj22_song_description", b.with_("requests") + """
+@query("prj22_song_description", b.with_("requests") + f"""
     select req_id, energy || ' energy ' || difficulty || d as plain,
       case style when 'energetic' then 'dynamic and expressive' when 'smooth' then 'flowing and connected'
         when 'technical' then 'precise and complex' else 'well-rounded' end || ' ' || difficulty || ' ' || energy || ' energy' || d as styled
-    from (select *, ' bachata with ' || case when tempo < 110 then 'slow' when tempo > 130 then 'fast' else 'medium tempo' end
+    from (select *, ' {vocab.GENRE} with ' || case when tempo < 110 then 'slow' when tempo > 130 then 'fast' else 'medium tempo' end
       || ' ' || case when 1500 + balance / 10 > 2000 then 'bright' else 'warm' end || ' sound and '
       || case when abs(balance) / 20000 > 0.1 then 'strong rhythm' else 'gentle rhythm' end as d from requests)""")
 def prj22(spark, sf):
@@ -680,12 +680,13 @@ def prj35(spark, sf):
 
 
 @query("top16_song_ranking", b.with_(**SONGS_SQL, q=f"select song_id, round({QUALITY_SQL}, 6) as quality from songs") + """
-    select song_id, quality, row_number() over (order by quality desc, song_id) as place from q""")
+    select song_id, quality, rank() over (order by quality desc) as place from q""")
 def top16(spark, sf):
-    """Place of every song; ranks are offsets of quality bands plus the order inside a band."""
-    q = prj35(spark, sf).select("song_id", "quality")
-    placed = dense_index(q, [], [F.desc("quality"), F.asc("song_id")], F.floor((2.0 - F.col("quality")) * 500), name="place")
-    return placed.withColumn("place", F.col("place") + 1)
+    """Place of every song; equal qualities share a place, so copies are counted before any ordering."""
+    q = prj35(spark, sf).select("song_id", "quality").withColumn("worse", -F.col("quality"))
+    counts = q.groupBy("worse").agg(F.count(F.lit(1)).alias("n"))
+    upto = running_totals(counts, [], ["worse"], F.floor(F.col("worse") * 500), {"total": F.col("n")})
+    return q.join(upto.select("worse", (F.col("total") - F.col("n") + 1).alias("place")), "worse").drop("worse")
 
 
 @query("prj28_tempo_features", b.with_("requests") + """

@@ -364,7 +364,7 @@ def flt3(spark, sf):
       select l_orderkey, l_linenumber, item_id, case when (list_cosine_similarity(r.vec, i.vec) + 1) / 2 < 0.3
         then 0.4 * (list_cosine_similarity(r.vec, i.vec) + 1) / 2 else {SCORE_SQL} end as s {PAIR_SQL}) where s >= 0.1""")
 def flt7(spark, sf):
-    """The candidate cap of the fast path is a parameter of the reference and is off here."""
+    """Weak audio matches get a short score; no cap on candidates."""
     parts = score_parts()
     full = scores.weighted(parts, W)
     s = F.when(parts["audio"] < 0.3, parts["audio"] * 0.4).otherwise(full)

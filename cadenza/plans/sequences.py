@@ -253,9 +253,9 @@ def prj41(spark, sf):
     return matched(spark, sf).select(*S, F.inline(told)).select(*S, "kind")
 
 
-@query("prj41_tempo_advice", b.with_("requests") + """
+@query("prj41_tempo_advice", b.with_("requests") + f"""
     select req_id, array_to_string([z for z in [case when tempo < 110 then 'Consider slower, more dramatic moves for this tempo' when tempo > 140 then 'Focus on quick, energetic moves for this fast tempo'
-      else 'Perfect tempo range for classic bachata moves' end, case when req_id % 10 / 10.0 > 0.8 then 'Strong rhythm - emphasize beat-matching moves' end,
+      else 'Perfect tempo range for classic {vocab.GENRE} moves' end, case when req_id % 10 / 10.0 > 0.8 then 'Strong rhythm - emphasize beat-matching moves' end,
       case when req_id % 9 / 9.0 > 0.7 then 'High syncopation - incorporate complex timing variations' end] if z is not null], '|') as advice from requests""")
 def prj41_tempo(spark, sf):
     told = text.tempo_advice(F.col("tempo"), F.col("req_id") % 10 / 10.0, F.col("req_id") % 9 / 9.0)

@@ -23,7 +23,7 @@ BEAT = dict(beats="select user_id, t, event_id, row_number() over (partition by
 
 def beats(spark, sf):
     e = b.events(spark, sf).where(F.col("event_type").isin("view", "click")).select("user_id", "t", "event_id")
-    return dense_index(e, ["user_id"], ["t", "event_id"], b.day_of(F.col("t")), name="i")
+    return dense_index(e, ["user_id"], ["t", "event_id"], F.floor(F.col("t") / 60), name="i")
 
 
 def onsets(spark, sf):

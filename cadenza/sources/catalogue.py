@@ -35,8 +35,7 @@ def read_documents_or_empty(spark: SparkSession, path: str) -> DataFrame:
 def write_documents(clips: DataFrame, path: str, instructions: str, shard: Column, full: bool = True) -> None:
     """One JSON document per shard of bounded size, with its category list.
 
-    The short form keeps the eight required columns, as the reference format
-    does; the full form keeps every column.
+    The short form keeps the eight required columns, the full form every one.
     """
     cols = COLUMNS if full else REQUIRED
     docs = clips.withColumn("_shard", shard).groupBy("_shard").agg(

@@ -27,6 +27,16 @@ def test_dense_index_splits_hot_keys(events):
     assert (got.sort_index() == want.sort_index()).all() and len(got) == len(pdf)
 
 
+def test_dense_index_with_struct_units(events):
+    """A burst at one time is split by the next order column."""
+    pdf, df = events
+    flat = df.withColumn("t", F.floor(F.col("t") / 50))
+    unit = F.struct("t", F.floor(F.col("id") / 10))
+    got = ordering.dense_index(flat, ["k"], ["t", "id"], unit, hot_rows=5).toPandas().set_index("id")["idx"].sort_index()
+    want = pdf.assign(t=pdf.t // 50).sort_values(["t", "id"]).assign(i=lambda d: d.groupby("k").cumcount()).set_index("id")["i"].sort_index()
+    assert (got == want).all()
+
+
 def test_dense_index_without_key(events):
     pdf, df = events
     got = ordering.dense_index(df, [], ["id"], F.floor(F.col("id") / 33)).toPandas()
