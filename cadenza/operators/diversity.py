@@ -47,7 +47,7 @@ def capped_topk(
         .where((F.col("_slot") <= k) & F.col("_fill").isNotNull())
     )
     final = Window.partitionBy(key).orderBy("rank")
-    return out.withColumn("place", F.row_number().over(final)).drop("_in_cat", "_pick", "_pos", "_left", "_fill", "_slot")
+    return out.withColumn("place", F.row_number().over(final).cast("long")).drop("_in_cat", "_pick", "_pos", "_left", "_fill", "_slot")
 
 
 def round_robin(df: DataFrame, category: str, order: str, n: int) -> DataFrame:
@@ -56,13 +56,14 @@ def round_robin(df: DataFrame, category: str, order: str, n: int) -> DataFrame:
     w = Window.partitionBy(category).orderBy(order)
     # At most n rows per category can be picked; the rank filter is pushed below the shuffle.
     few = df.withColumn("round", F.row_number().over(w)).where(F.col("round") <= n)
-    return few.join(seen, category).orderBy("round", "_first").limit(n).drop("_first")
+    return few.join(seen, category).orderBy("round", "_first").limit(n).drop("_first").withColumn("round", F.col("round").cast("long"))
 
 
 def best_per_type(ranked: DataFrame, key: str, kind: str, score: str, max_repeats: int, tie: str) -> DataFrame:
     """Per key the best rows of each type, at most `max_repeats` of one type."""
     w = Window.partitionBy(key, kind).orderBy(F.desc(score), tie)
-    return ranked.withColumn("type_rank", F.row_number().over(w)).where(F.col("type_rank") <= max_repeats)
+    return ranked.withColumn("type_rank", F.row_number().over(w)).where(F.col("type_rank") <= max_repeats).withColumn(
+        "type_rank", F.col("type_rank").cast("long"))
 
 
 def diversity_score(df: DataFrame, keys: list[str], kind: str, score: str, name: str = "diversity") -> DataFrame:

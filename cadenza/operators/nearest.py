@@ -128,7 +128,7 @@ def block_topk(
         cell, f"{left_id} long, {right_id} long, score double"
     )
     w = Window.partitionBy(left_id).orderBy(F.desc("score"), F.asc(right_id))
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def block_pairs(

@@ -198,7 +198,8 @@ def tempo_rerank(spark, sf, found, tolerance, k):
     gap = F.abs(F.col("tempo") - F.col("want"))
     s = j.where(gap <= tolerance).select("req_id", "item_id", F.round(F.col("score") * 0.3 + (1.0 - gap / tolerance) * 0.7, 9).alias("score"))
     w = Window.partitionBy("req_id").orderBy(F.desc("score"), "item_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumns(
+        {"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
 @query("top10_oversampled_recommend", b.with_("requests", "items", **UNIFIED_SQL, **_asked_sql(SPACES), **_search_sql(30),

@@ -396,7 +396,8 @@ def categorical_blend(spark, sf, ranked, k):
     kept = j.withColumn("cat", cat).where("cat >= 0.6").select(
         "req_id", "item_id", F.round(F.col("score") * 0.5 + F.col("cat") * 0.5, 9).alias("score"))
     w = Window.partitionBy("req_id").orderBy(F.desc("score"), "item_id")
-    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round("score", 6))
+    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumns(
+        {"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
 @query("top7_category_capped", b.with_("request_vectors", "item_vectors", **ALL_SCORES,

@@ -91,7 +91,7 @@ def jon12(spark, sf):
     """Beats in the four time spans of a song, with the regularity of their gaps."""
     ends = b.events(spark, sf).groupBy("user_id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     cut = lambda k: F.col("lo") + k * (F.col("hi") - F.col("lo")) / 4
-    spans = ends.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("user_id", "k", cut(F.col("k")).alias("s"), cut(F.col("k") + 1).alias("e"))
+    spans = ends.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))).select("user_id", "k", cut(F.col("k")).alias("s"), cut(F.col("k") + 1).alias("e"))
     g = with_neighbours(b.events(spark, sf).where(F.col("event_type").isin("view", "click")).select("user_id", "t", "event_id"),
                         ["user_id"], ["t", "event_id"], b.day_of(F.col("t")), [])
     j = iv.salted_interval_join(g.select("user_id", "t", "event_id", F.col("prev.t").alias("pt")), spans, ["user_id"], "t", "s", "e", F.col("event_id"))
