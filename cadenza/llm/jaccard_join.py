@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import bytesets as B
+from cadenza.llm.cells import CUT, cut, merged
 from cadenza.llm.shared import components, staged
 
 CELLS = 1 << 22
-BLOCK = 1 << 16
 #: A shingle in at least so many sets counts as frequent.
 FREQUENT = 16
 #: Longest list whose pairs are all emitted at once; longer ones go by components. Rows of one block of a long list.
@@ -87,54 +87,18 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch["doc_id"].slice(i, k).cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(node), pa.array(second),
                 pa.array(maps, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()),
             ], names=NAMES)
-    for cut in _cut(sketch):
+    for part in cut(sketch):
         none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*none, *cut.columns], names=NAMES)
+        yield pa.RecordBatch.from_arrays([*none, *part.columns], names=NAMES)
 
 
 NAMES = ["doc_id", "n", "node", "second", "bits", "block", "places", "counts"]
 PROFILE = "doc_id long, n long, node long, second long, bits binary, block int, places binary, counts binary"
 
 
-def _cut(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The non-zero cells of a table, in blocks: places and values as bytes."""
-    for block in range(-(-len(table) // BLOCK)):
-        own = table[block * BLOCK: (block + 1) * BLOCK]
-        at = np.flatnonzero(own)
-        if len(at):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[at].astype(np.int32).tobytes()], pa.binary())],
-                names=["block", "places", "counts"])
-
-
-CUT = "block int, places binary, counts binary"
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the blocks of one partition, streaming: one array per block is held."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, places, counts in zip(batch["block"].to_pylist(), batch["places"], batch["counts"]):
-            own = total.setdefault(block, np.zeros(BLOCK, dtype=np.int32))
-            own[np.frombuffer(places.as_buffer(), dtype=np.uint16)] += np.frombuffer(counts.as_buffer(), dtype=np.int32)
-    for block, own in total.items():
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())],
-            names=["block", "places", "counts"])
-
-
-def _merged(blocks: DataFrame, cells: int) -> np.ndarray:
-    """The merged table, of a fixed number of cells: the rows collected are at most cells / BLOCK."""
-    out = np.zeros(cells, dtype=np.int32)
-    for block, places, counts in blocks.select("block", "places", "counts").repartition("block").mapInArrow(_merge, CUT).collect():
-        out[block * BLOCK + np.frombuffer(places, dtype=np.uint16).astype(np.int64)] = np.frombuffer(counts, dtype=np.int32)
-    return out
-
-
 def frequency_classes(profile: DataFrame, frequent: int) -> np.ndarray:
     """Class of each cell of the sketch, 0 for rare: a table of fixed size, whatever the corpus."""
-    counts = _merged(profile.where("block is not null"), CELLS).astype(np.int64)
+    counts = merged(profile.where("block is not null"), CELLS).astype(np.int64)
     noise = int(np.median(counts))
     return np.where(counts < frequent + 2 * noise, 0, np.log2(np.maximum(counts, 1)).astype(np.int64) + 1).astype(np.uint8)
 
@@ -345,7 +309,7 @@ def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in ("u", "v"):
             bits[(B.mix(batch[k].to_numpy().view(_U), 5) & _U(NEEDED_BITS - 1)).astype(np.int64)] = 1
-    yield from _cut(bits)
+    yield from cut(bits)
 
 
 def _texts_of(needed) -> Callable:
@@ -377,7 +341,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that link, of distinct candidate pairs."""
     of = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
     near = staged(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(_may_link, "u long, v long"), "near")
-    bits = _merged(near.mapInArrow(_bits_of, CUT), NEEDED_BITS) > 0
+    bits = merged(near.mapInArrow(_bits_of, CUT), NEEDED_BITS) > 0
     needed = near.sparkSession.sparkContext.broadcast(np.packbits(bits))
     text = texts.mapInArrow(_texts_of(needed), "node long, t string").groupBy("node").agg(F.first("t").alias("t"))
     text = staged(text, "texts")

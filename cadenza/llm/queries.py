@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm.exact_dedup import exact_groups
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.shared import table
+from cadenza.llm.sharding import byte_shards
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +44,22 @@ select s.doc_id, len(s.s)::bigint n_shingles, min(r.r) component_id from sets s
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by shingle Jaccard similarity."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+EXACT_SQL = """
+with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) h from documents)
+select doc_id, min(doc_id) over g keep_id, count(*) over g group_size, row_number() over (partition by h order by doc_id) = 1 kept,
+  h text_sha256 from t window g as (partition by h)
+"""
+
+
+@query("op4_exact_dedup", EXACT_SQL)
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays for every document."""
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op8_byte_shards")
+def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen contiguous shards of near equal bytes."""
+    return byte_shards(table(spark, sf_dir, "documents"))
