@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm import sentencepieces
 from cadenza.llm.exact_dedup import exact_groups
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.shared import table
@@ -63,3 +64,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen contiguous shards of near equal bytes."""
     return byte_shards(table(spark, sf_dir, "documents"))
+
+
+def pieces_path() -> str:
+    """Where this machine keeps the public piece model; only the driver opens it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and their decoding, as digests."""
+    return sentencepieces.digests(table(spark, sf_dir, "documents"), pieces_path())
