@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadenza.llm import sentencepieces
+from cadenza.llm import chat, sentencepieces
 from cadenza.llm.exact_dedup import exact_groups
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.shared import table
@@ -77,3 +78,26 @@ def pieces_path() -> str:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and their decoding, as digests."""
     return sentencepieces.digests(table(spark, sf_dir, "documents"), pieces_path())
+
+
+CHAT_SQL = """
+with t as (
+  select conv_id, turn, role, coalesce(text, '') text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+f as (select *, length('<|im_start|>' || role || chr(10) || replace(replace(text, '\\', '\\\\'), '<|', '<\\|') || '<|im_end|>' || chr(10)) n from t),
+s as (select *, sum(n) over (partition by conv_id order by turn) upto, max(case when role = 'assistant' then turn end) over (partition by conv_id) last from f)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) loss_sha256,
+  (sum(case when role = 'assistant' then upto else 0 end) + sum(case when last is null or turn > last then n else 0 end))::bigint formatted_chars
+from s group by conv_id
+"""
+
+
+@query("op5_chat_prefix_targets", CHAT_SQL)
+def op5_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their examples."""
+    same = "<|im_end|><|im_start|>assistant ok"
+    fixed = spark.range(2).selectExpr("-1L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role").withColumn("text", F.lit(same))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    return chat.digests(chat.examples(turns))
