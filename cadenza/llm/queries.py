@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, sentencepieces
+from cadenza.llm import chat, decontaminate, language, sentencepieces
 from cadenza.llm.exact_dedup import exact_groups
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.shared import table
@@ -101,3 +101,21 @@ def op5_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = spark.range(2).selectExpr("-1L conv_id", "id turn", "if(id = 0, 'user', 'assistant') role").withColumn("text", F.lit(same))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
     return chat.digests(chat.examples(turns))
+
+
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, within the item's edit budget."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence and acceptance of every document."""
+    return language.languages_of_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("language_of_pages")
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over all pages, with markup, suffix and host evidence."""
+    return language.languages_of_pages(table(spark, sf_dir, "pages"), language.fit(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "page_id")
