@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontaminate, language, sentencepieces
+from cadenza.llm import chat, decontaminate, language, sentencepieces, tree_weighting
 from cadenza.llm.exact_dedup import exact_groups
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.shared import table
@@ -119,3 +119,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same operator over all pages, with markup, suffix and host evidence."""
     return language.languages_of_pages(table(spark, sf_dir, "pages"), language.fit(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "page_id")
+
+
+@query("op9_context_tree_scores")
+def op9_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the context-tree model and under the unigram base."""
+    return tree_weighting.scores(table(spark, sf_dir, "documents"))
