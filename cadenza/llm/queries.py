@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontaminate, language, sentencepieces, tree_weighting
+from cadenza.llm import chat, decontaminate, language, sentencepieces, toxicity, tree_weighting
 from cadenza.llm.exact_dedup import exact_groups
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.shared import table
@@ -125,3 +125,9 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document under the context-tree model and under the unigram base."""
     return tree_weighting.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op7_recurrent_toxicity")
+def op7_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
