@@ -28,15 +28,15 @@ def dense_index(
     """0-based position of each row in its key, by `order`.
 
     `unit` is a coarse bucket that never decreases along `order`. Keys of at
-    most `hot_rows` rows are numbered by one window. The list of larger keys
-    holds at most rows / hot_rows entries, so it is safe to broadcast; these
-    keys are numbered per unit plus the offset of the earlier units. As only
+    most `hot_rows` rows are numbered by one window. Larger keys are numbered
+    per unit plus the offset of the earlier units; how they are told apart is
+    left to the planner, which knows the size of their list. As only
     they use it, the unit may be fine; a struct of leading order columns works.
     """
     rank = F.row_number()
     if keys:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
-        hot = F.broadcast(sizes.where(F.col("_cnt") > hot_rows).select(*keys))
+        hot = sizes.where(F.col("_cnt") > hot_rows).select(*keys)
         plain = df.join(hot, keys, "left_anti").withColumn(
             name, rank.over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1
         )
