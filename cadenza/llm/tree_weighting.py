@@ -15,6 +15,7 @@ where texts are scored by lookup. Nothing is broadcast but tables over an alphab
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ CHUNK_BYTES = 8 << 20
 BUCKETS = 1024
 END = 10
 #: Cells of the direct tables that number sequences; more distinct ones are numbered by sorting.
-_DIRECT = 1 << 26
+_DIRECT = 1 << 24
 
 
 def pack(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +60,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal ids, held, sizes, bodies, total, seq
         yield pa.RecordBatch.from_arrays([
             pa.array([seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())),
-            pa.array([b"".join(bodies)], pa.binary()),
+            pa.array([zlib.compress(b"".join(bodies), 1)], pa.binary()),
         ], names=["chunk", "doc_ids", "held", "sizes", "body"])
         ids, held, sizes, bodies, total, seq = [], [], [], [], 0, seq + 1
 
@@ -81,14 +82,16 @@ class Chunk:
     """A chunk's sequences of DEPTH + 1 bytes and its words, each numbered, with the values behind the numbers."""
 
     def __init__(self, body: bytes, sizes: np.ndarray, held: np.ndarray) -> None:
-        data = np.frombuffer(body, dtype=np.uint8)
+        data = np.frombuffer(zlib.decompress(body), dtype=np.uint8)
         self.sizes, n = sizes, len(sizes)
         self.bounds = np.concatenate(([0], np.cumsum(sizes)))
         padded = np.full(len(data) + DEPTH * n, END, dtype=np.uint8)
-        padded[np.arange(len(data)) + DEPTH * (np.repeat(np.arange(n), sizes) + 1)] = data
+        inside = np.repeat(np.tile([False, True], n), np.stack([np.full(n, DEPTH), sizes], axis=1).ravel())
+        padded[inside] = data
         numbers, self.codes = _numbered(padded)
-        starts = self.bounds[:-1] + DEPTH * np.arange(n)
-        self.grams = numbers[np.repeat(starts - self.bounds[:-1], sizes) + np.arange(len(data))]
+        # The sequence of a byte starts DEPTH places before it.
+        self.grams = numbers[inside[DEPTH:]]
+        del numbers, padded, inside
         self.train_byte = np.repeat(~held, sizes)
         first, last = B.word_bounds(data)
         self.word_at = np.searchsorted(first, self.bounds)
@@ -106,21 +109,23 @@ class Chunk:
 def _numbered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of the sequence that starts at each place, and the bytes behind each number as one integer."""
     used = np.flatnonzero(np.bincount(data, minlength=256))
-    letter = np.zeros(256, dtype=np.int64)
+    letter = np.zeros(256, dtype=np.int32)
     letter[used] = np.arange(len(used))
     single = letter[data]
     ids, codes = single, used.astype(np.int64)
     for k in range(1, DEPTH + 1):
-        both = ids[: len(ids) - 1] * len(used) + single[k:]
         span = len(codes) * len(used)
+        both = ids[: len(ids) - 1].astype(np.int32 if span < 1 << 31 else np.int64) * len(used) + single[k:]
         if span <= _DIRECT:
             flag = np.zeros(span, dtype=bool)
             flag[both] = True
             distinct = np.flatnonzero(flag)
             number = np.cumsum(flag, dtype=np.int32)
-            ids = number[both].astype(np.int64) - 1
+            ids = number[both] - 1
         else:
             distinct, ids = np.unique(both, return_inverse=True)
+            ids = ids.astype(np.int32)
+        distinct = distinct.astype(np.int64)
         codes = codes[distinct // len(used)] << 8 | used[distinct % len(used)]
     return ids, codes
 
@@ -238,7 +243,7 @@ def _score(constants: dict):
             chunk = _open(row["body"], row["sizes"], row["held"])
             place = np.minimum(np.searchsorted(key, chunk.codes), max(len(key) - 1, 0))
             logs = np.where(key[place] == chunk.codes, value[place], 0.0)
-            score = B.segment_sums(logs[chunk.grams], chunk.bounds)
+            score = np.add.reduceat(logs[chunk.grams], chunk.bounds[:-1])  # no text is without its end byte
             own = np.bincount(chunk.words[chunk.train_word], minlength=len(chunk.hashes)).astype(np.float64)
             place = np.minimum(np.searchsorted(key, -1 - chunk.hashes), max(len(key) - 1, 0))
             total = np.where(key[place] == -1 - chunk.hashes, value[place], own) if len(chunk.hashes) else own
