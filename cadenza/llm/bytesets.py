@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SHINGLE = 5
 SLICE_BYTES = 2 << 20
+HASH_BYTES = 1 << 20
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[list(SPACES)] = True
@@ -84,13 +85,20 @@ class _Powers:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64-bit hash of each word, with A-Z as a-z if `fold`."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _Powers.of(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if fold else data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _PLACE[7])
+    """64-bit hash of each word, with A-Z as a-z if `fold`; worked out over a bounded stretch of bytes at a time."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASH_BYTES, side="right")))
+        lo = starts[i]
+        own = data[lo: ends[j - 1]]
+        up, down = _Powers.of(len(own))
+        sums = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[_LOWER[own] if fold else own] * up[: len(own)], dtype=np.uint64, out=sums[1:])
+        first, last = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * _PLACE[7])
+        i = j
+    return out
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -51,7 +51,7 @@ class Words:
         body, _ = gather(B._LOWER[data], s, n, np.arange(len(s)))
         low[np.arange(len(body)) + np.repeat(at[:-1] + 1 - (np.cumsum(n) - n), n)] = body
         grams, owner = [], []
-        where = np.repeat(np.arange(len(n)), marked)
+        where = np.repeat(np.arange(len(n), dtype=np.int32), marked)
         for size in (3, 4):
             if len(low) < size:
                 continue
@@ -59,9 +59,9 @@ class Words:
             for k in range(size):
                 code = code * np.uint32(16777619) ^ (low[k: len(low) - size + 1 + k] + np.uint32(257 * size))
             inside = where[: len(code)] == where[size - 1:]
-            grams.append(((code * np.uint32(2654435761)) >> np.uint32(18))[inside].astype(np.int64))
+            grams.append(((code * np.uint32(2654435761)) >> np.uint32(18))[inside].astype(np.int32))
             owner.append(where[: len(code)][inside])
-        grams, owner = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (grams, owner))
+        grams, owner = (np.concatenate(x) if x else np.zeros(0, dtype=np.int32) for x in (grams, owner))
         by = np.argsort(owner, kind="stable")
         self.grams, self.owner = grams[by], owner[by]
         self.gram_bounds = np.searchsorted(self.owner, np.arange(len(n) + 1))
@@ -223,6 +223,12 @@ def _sub(words: Words, numbers: np.ndarray) -> tuple[Words, np.ndarray]:
     return small, out
 
 
+def _some_logits(p, words: Words, numbers: np.ndarray) -> np.ndarray:
+    small, own = _sub(words, numbers)
+    x = small.vectors(p)
+    return _forward(p, x @ p["wf"] + p["cf"], x @ p["wb"] + p["cb"], own)[0]
+
+
 def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.ndarray] | None:
     """Parameters and calibration from labelled texts; None if a class is missing."""
     labels = np.asarray(labels, dtype=np.int64)
@@ -239,8 +245,8 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.n
     fits = np.arange(len(labels)) % 4 != 0
     # How much more often a word is in toxic texts than in clean ones, among the texts that train.
     text_of = np.repeat(np.arange(len(labels)), np.diff(words.bounds))
-    seen = np.unique(np.stack([text_of, words.number]), axis=1)
-    seen = seen[:, fits[seen[0]]]
+    seen = np.divmod(np.unique(text_of * len(words.word) + words.number), len(words.word))
+    seen = [x[fits[seen[0]]] for x in seen]
     freq = [np.bincount(seen[1][labels[seen[0]] == c], minlength=len(words.word)) for c in (0, 1)]
     odds = np.log((freq[1] + 1) / (labels[fits].sum() + 2)) - np.log((freq[0] + 1) / ((1 - labels[fits]).sum() + 2))
     told = np.where(number >= 0, odds[np.maximum(number, 0)], -9).max(axis=1)
@@ -259,7 +265,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.n
     for step in range(STEPS):
         if step == STEPS // 2:
             some = rng.permutation(clean)[:20_000]
-            wrong = window_logits(p, words, index[some])
+            wrong = np.concatenate([_some_logits(p, words, number[some[k: k + 2048]]) for k in range(0, len(some), 2048)])
             hard = some[np.argsort(-wrong)[: max(len(some) // 20, 1)]]
         n = BATCH // 3
         pick = np.concatenate((rng.choice(good, n), rng.choice(clean, n), rng.choice(hard, n)))
@@ -269,7 +275,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np.n
         adam.step(p, g, 0.01 if step < STEPS * 3 // 4 else 0.003)
     # Calibration on the other quarter: logistic regression on the largest logit.
     # Targets are drawn in a little (Platt), so that separable classes keep finite scores.
-    logit = text_logits(p, data, offsets)[~fits]
+    rest = closed.filter(pa.array(~fits))
+    del words, index, number, data, closed
+    logit = np.concatenate([text_logits(p, d, o) for _, _, d, o in B.slices(rest, 1 << 20)])
     y = labels[~fits]
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     mean, spread = logit.mean(), logit.std() + 1e-6
