@@ -39,7 +39,8 @@ FREQUENT = 16
 SHORT_LIST = 32
 LIST_BLOCK = 2048
 SIG_BITS = 48
-MAP_BITS = 1024
+#: Bit map of a set: at least four bits for each shingle, within these bounds.
+MAP_BITS, MOST_MAP_BITS = 1024, 1 << 18
 NEEDED_BITS = 1 << 24
 
 _U = np.uint64
@@ -71,12 +72,11 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, flat, bounds, node, second in sets.of(batch["t"]):
             sizes = np.diff(bounds)
             maps, counted = [], np.zeros(len(flat), dtype=bool)
-            place = (B.mix(flat, 77) & _U(MAP_BITS - 1)).astype(np.int64)
-            bits = np.zeros(MAP_BITS, dtype=np.uint8)
+            place = B.mix(flat, 77)
             for d in range(len(sizes)):
-                own = place[bounds[d]: bounds[d + 1]]
-                bits[:] = 0
-                bits[own] = 1
+                width = min(MOST_MAP_BITS, max(MAP_BITS, 1 << int(4 * sizes[d]).bit_length()))
+                bits = np.zeros(width, dtype=bool)
+                bits[(place[bounds[d]: bounds[d + 1]] & _U(width - 1)).astype(np.int64)] = True
                 maps.append(np.packbits(bits).tobytes())
                 if sizes[d] > 2 and sets.is_new(int(node[d])):
                     counted[bounds[d]: bounds[d + 1]] = True
@@ -171,6 +171,23 @@ def _out(pair: np.ndarray | None = None, sig=(), node=(), n=()) -> pa.RecordBatc
     ], names=["u", "v", "sig", "node", "n"])
 
 
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A bit map as one of `width` words: places are hashes modulo the width, so halves fall together."""
+    return bits if len(bits) == width else np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
+
+
+def enough(n_u, n_v, apart):
+    """Whether sets whose maps differ in `apart` bits can link: at least so many shingles are not shared."""
+    overlap = (n_u + n_v - apart.astype(np.int64)) // 2
+    return 100 * overlap >= 75 * (n_u + n_v - overlap)
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = [folded(np.frombuffer(x.as_buffer(), dtype=np.uint64), MAP_BITS // 64).tobytes() for x in batch["bits"]]
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(maps, pa.binary())], names=["node", "small"])
+
+
 class _Pairs:
     """Collects pairs of similar size and gives them distinct, about a million at a time."""
 
@@ -257,27 +274,32 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("sig", "bi", "bj", "node", "n", "component", "block")
     carry = None
 
-    def run(node, n, comp, block, apart):
+    def run(node, n, comp, block, maps, apart):
         for lo in range(0, len(node), 512):
             part = slice(lo, lo + 512)
             ok = (comp[part, None] != comp[None, :]) & (node[part, None] < node[None, :])
+            ok &= 4 * np.minimum(n[part, None], n[None, :]) >= 3 * np.maximum(n[part, None], n[None, :])
             if apart:
                 ok &= block[part, None] != block[None, :]
             a, b = np.nonzero(ok)
-            pairs.add(node[part][a], node[b], n[part][a], n[b])
+            for k in range(0, len(a), 1 << 16):
+                i, j = a[k: k + (1 << 16)] + lo, b[k: k + (1 << 16)]
+                near = enough(n[i], n[j], np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1))
+                pairs.add(node[i[near]], node[j[near]], n[i[near]], n[j[near]])
 
     def finished(cols):
-        sig, bi, bj, node, n, comp, block = cols
+        sig, bi, bj, node, n, comp, block, maps = cols
         if not len(sig):
             return
         start = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]))))
         for lo, hi in zip(start, [*start[1:], len(sig)]):
             if hi - lo > 1 and comp[lo:hi].min() != comp[lo:hi].max():
-                run(node[lo:hi], n[lo:hi], comp[lo:hi], block[lo:hi], bi[lo] != bj[lo])
+                run(node[lo:hi], n[lo:hi], comp[lo:hi], block[lo:hi], maps[lo:hi], bi[lo] != bj[lo])
                 yield from pairs.full()
 
     for batch in batches:
-        cols = [batch[k].to_numpy() for k in names]
+        maps = b"".join(x.as_py() for x in batch["small"])
+        cols = [*(batch[k].to_numpy() for k in names), np.frombuffer(maps, dtype=np.uint64).reshape(len(batch), -1 if maps else MAP_BITS // 64)]
         if carry is not None:
             cols = [np.concatenate(x) for x in zip(carry, cols)]
         if not len(cols[0]):
@@ -295,13 +317,13 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops pairs whose bit maps bound the overlap below what a link needs; no linked pair is dropped."""
     for batch in batches:
         n_u, n_v = batch["n_u"].to_numpy(), batch["n_v"].to_numpy()
-        if not len(n_u):
-            continue
-        a, b = (np.frombuffer(b"".join(x.as_py() for x in batch[k]), dtype=np.uint64).reshape(len(n_u), -1) for k in ("bits_u", "bits_v"))
-        apart = np.bitwise_count(a ^ b).sum(axis=1).astype(np.int64)
-        overlap = (n_u + n_v - apart) // 2
-        keep = 100 * overlap >= 75 * (n_u + n_v - overlap)
-        yield pa.RecordBatch.from_arrays([batch["u"].filter(pa.array(keep)), batch["v"].filter(pa.array(keep))], names=["u", "v"])
+        apart = np.zeros(len(batch), dtype=np.int64)
+        for k, (a, b) in enumerate(zip(batch["bits_u"], batch["bits_v"])):
+            a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
+            width = min(len(a), len(b))
+            apart[k] = np.bitwise_count(folded(a, width) ^ folded(b, width)).sum()
+        keep = pa.array(enough(n_u, n_v, apart))
+        yield pa.RecordBatch.from_arrays([batch["u"].filter(keep), batch["v"].filter(keep)], names=["u", "v"])
 
 
 def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +398,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         long.join(mixed.select("sig", blocks.alias("blocks")), "sig")
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("sig", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", "n", "component", "block")
+        .join(nodes.select("node", "bits").mapInArrow(_small, "node long, small binary"), "node")
+        .select("sig", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", "n", "component", "block", "small")
         .repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj", "node")
     )
     second = cells.mapInArrow(_cells, PAIRS).select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
