@@ -29,19 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import bytesets as B
-from cadenza.llm.cells import CUT, cut, merged
+from cadenza.llm.cells import cut, merged
+from cadenza.llm.lists import LIST_BLOCK, MAP_BITS, SIG_BITS, distinct_pairs, enough, folded, is_needed, later_pairs, needed_bits
 from cadenza.llm.shared import components, staged
 
 CELLS = 1 << 22
 #: A shingle in at least so many sets counts as frequent.
 FREQUENT = 16
-#: Longest list whose pairs are all emitted at once; longer ones go by components. Rows of one block of a long list.
-SHORT_LIST = 32
-LIST_BLOCK = 2048
-SIG_BITS = 48
-#: Bit map of a set: at least four bits for each shingle, within these bounds.
-MAP_BITS, MOST_MAP_BITS = 1024, 1 << 18
-NEEDED_BITS = 1 << 24
+#: Bit map of a set: at least four bits for each shingle, from MAP_BITS to this bound.
+MOST_MAP_BITS = 1 << 18
 
 _U = np.uint64
 
@@ -158,161 +154,12 @@ def _index(table) -> Callable:
     return run
 
 
-PAIRS = "u long, v long, sig long, node long, n int"
-
-
-def _out(pair: np.ndarray | None = None, sig=(), node=(), n=()) -> pa.RecordBatch:
-    pair = np.zeros((0, 2), dtype=np.int64) if pair is None else pair
-    k, m = len(pair), len(sig)
-    left = lambda x, t: pa.concat_arrays([pa.array(x, t), pa.nulls(m, t)])
-    right = lambda x, t: pa.concat_arrays([pa.nulls(k, t), pa.array(x, t)])
-    return pa.RecordBatch.from_arrays([
-        left(pair[:, 0], pa.int64()), left(pair[:, 1], pa.int64()), right(sig, pa.int64()), right(node, pa.int64()), right(n, pa.int32()),
-    ], names=["u", "v", "sig", "node", "n"])
-
-
-def folded(bits: np.ndarray, width: int) -> np.ndarray:
-    """A bit map as one of `width` words: places are hashes modulo the width, so halves fall together."""
-    return bits if len(bits) == width else np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
-
-
-def enough(n_u, n_v, apart):
-    """Whether sets whose maps differ in `apart` bits can link: at least so many shingles are not shared."""
-    overlap = (n_u + n_v - apart.astype(np.int64)) // 2
-    return 100 * overlap >= 75 * (n_u + n_v - overlap)
-
-
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         maps = [folded(np.frombuffer(x.as_buffer(), dtype=np.uint64), MAP_BITS // 64).tobytes() for x in batch["bits"]]
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array(maps, pa.binary())], names=["node", "small"])
 
 
-class _Pairs:
-    """Collects pairs of similar size and gives them distinct, about a million at a time."""
-
-    def __init__(self) -> None:
-        self.held: list[np.ndarray] = []
-        self.count = 0
-
-    def add(self, a, b, n_a, n_b) -> None:
-        near = (4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b)) & (a != b)
-        a, b = a[near], b[near]
-        self.held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        self.count += len(a)
-
-    def full(self, at_least: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-        if self.count >= at_least:
-            pair = np.unique(np.concatenate(self.held), axis=0)
-            self.held, self.count = [], 0
-            yield _out(pair)
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and node: all pairs of a short list; pairs with the first set, and the rows, of a long one.
-
-    Only an unfinished short list is carried from batch to batch; an unfinished long one is streamed.
-    """
-    pairs = _Pairs()
-    names = ("sig", "node", "n")
-    carry = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)]
-    open_sig, anchor, anchor_n = None, None, None
-
-    def finished(sig, node, n):
-        if not len(sig):
-            return
-        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        length = np.diff(np.concatenate((start, [len(sig)])))
-        run_length = np.repeat(length, length)
-        short = (run_length > 1) & (run_length <= SHORT_LIST)
-        s, d, m = sig[short], node[short], n[short]
-        for step in range(1, SHORT_LIST):
-            same = s[step:] == s[:-step]
-            if not same.any():
-                break
-            pairs.add(d[:-step][same], d[step:][same], m[:-step][same], m[step:][same])
-        long = run_length > SHORT_LIST
-        if long.any():
-            first = np.repeat(start, length)[long]
-            pairs.add(node[first], node[long], n[first], n[long])
-            yield _out(None, sig[long], node[long], n[long])
-        yield from pairs.full()
-
-    for batch in batches:
-        rows = [np.concatenate((c, batch[k].to_numpy())) for c, k in zip(carry, names)]
-        fresh = np.ones(len(rows[0]), dtype=bool)
-        fresh[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
-        rows = [x[fresh] for x in rows]
-        if open_sig is not None:
-            more = int(np.searchsorted(rows[0], open_sig, side="right"))
-            if more:
-                sig, node, n = (x[:more] for x in rows)
-                pairs.add(np.full(more, anchor), node, np.full(more, anchor_n), n)
-                yield _out(None, sig, node, n)
-                rows = [x[more:] for x in rows]
-            if len(rows[0]):
-                open_sig = None
-        if not len(rows[0]):
-            carry = rows
-            continue
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))
-        yield from finished(*(x[:cut] for x in rows))
-        carry = [x[cut:] for x in rows]
-        if len(carry[0]) > SHORT_LIST:
-            sig, node, n = carry
-            open_sig, anchor, anchor_n = sig[0], node[0], n[0]
-            pairs.add(np.full(len(sig), anchor), node, np.full(len(sig), anchor_n), n)
-            yield _out(None, sig, node, n)
-            carry = [x[:0] for x in carry]
-    yield from finished(*carry)
-    yield from pairs.full(1)
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and cell: pairs of a cell that lie in different components and, off the diagonal, in different blocks."""
-    pairs = _Pairs()
-    names = ("sig", "bi", "bj", "node", "n", "component", "block")
-    carry = None
-
-    def run(node, n, comp, block, maps, apart):
-        for lo in range(0, len(node), 512):
-            part = slice(lo, lo + 512)
-            ok = (comp[part, None] != comp[None, :]) & (node[part, None] < node[None, :])
-            ok &= 4 * np.minimum(n[part, None], n[None, :]) >= 3 * np.maximum(n[part, None], n[None, :])
-            if apart:
-                ok &= block[part, None] != block[None, :]
-            a, b = np.nonzero(ok)
-            for k in range(0, len(a), 1 << 16):
-                i, j = a[k: k + (1 << 16)] + lo, b[k: k + (1 << 16)]
-                near = enough(n[i], n[j], np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1))
-                pairs.add(node[i[near]], node[j[near]], n[i[near]], n[j[near]])
-
-    def finished(cols):
-        sig, bi, bj, node, n, comp, block, maps = cols
-        if not len(sig):
-            return
-        start = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]))))
-        for lo, hi in zip(start, [*start[1:], len(sig)]):
-            if hi - lo > 1 and comp[lo:hi].min() != comp[lo:hi].max():
-                run(node[lo:hi], n[lo:hi], comp[lo:hi], block[lo:hi], maps[lo:hi], bi[lo] != bj[lo])
-                yield from pairs.full()
-
-    for batch in batches:
-        maps = b"".join(x.as_py() for x in batch["small"])
-        cols = [*(batch[k].to_numpy() for k in names), np.frombuffer(maps, dtype=np.uint64).reshape(len(batch), -1 if maps else MAP_BITS // 64)]
-        if carry is not None:
-            cols = [np.concatenate(x) for x in zip(carry, cols)]
-        if not len(cols[0]):
-            continue
-        last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
-        cut = int(np.argmax(last))
-        yield from finished([x[:cut] for x in cols])
-        carry = [x[cut:] for x in cols]
-    if carry is not None:
-        yield from finished(carry)
-    yield from pairs.full(1)
-
-
 def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops pairs whose bit maps bound the overlap below what a link needs; no linked pair is dropped."""
     for batch in batches:
@@ -326,21 +173,13 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["u"].filter(keep), batch["v"].filter(keep)], names=["u", "v"])
 
 
-def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(NEEDED_BITS, dtype=np.uint8)
-    for batch in batches:
-        for k in ("u", "v"):
-            bits[(B.mix(batch[k].to_numpy().view(_U), 5) & _U(NEEDED_BITS - 1)).astype(np.int64)] = 1
-    yield from cut(bits)
-
-
 def _texts_of(needed) -> Callable:
     """(node, text) of the sets that may be needed, once per task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, bits = Sets(fresh=True), np.unpackbits(needed.value).astype(bool)
+        sets, bits = Sets(fresh=True), needed.value
         for batch in batches:
             for i, j, _, _, node, _ in sets.of(batch["t"]):
-                keep = bits[(B.mix(node.view(_U), 5) & _U(NEEDED_BITS - 1)).astype(np.int64)].astype(bool)
+                keep = is_needed(bits, node)
                 keep &= np.array([bool(k) and sets.is_new(int(x)) for x, k in zip(node, keep)], dtype=bool)
                 at = pa.array(np.flatnonzero(keep) + i)
                 yield pa.RecordBatch.from_arrays([pa.array(node[keep]), batch["t"].take(at)], names=["node", "t"])
@@ -363,8 +202,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that link, of distinct candidate pairs."""
     of = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
     near = staged(pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v").mapInArrow(_may_link, "u long, v long"), "near")
-    bits = merged(near.mapInArrow(_bits_of, CUT), NEEDED_BITS) > 0
-    needed = near.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    needed = near.sparkSession.sparkContext.broadcast(needed_bits(near.select(F.explode(F.array("u", "v")).alias("node"))))
     text = texts.mapInArrow(_texts_of(needed), "node long, t string").groupBy("node").agg(F.first("t").alias("t"))
     text = staged(text, "texts")
     as_ = lambda k: text.select(F.col("node").alias(k), F.col("t").alias(f"t_{k}"))
@@ -385,24 +223,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = profile.where("block is null")
     table = spark.sparkContext.broadcast(frequency_classes(profile, frequent))
     index = texts.mapInArrow(_index(table), "sig long, node long, n int")
-    lists = staged(index.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_lists, PAIRS), "lists")
+    found_lists = staged(distinct_pairs(index), "lists")
     nodes = rows.where("n > 2").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    first = lists.where("u is not null").select("u", "v").distinct()
+    first = found_lists.where("u is not null").select("u", "v").distinct()
     links = _links(first, nodes, texts)
     found = components(links)
 
-    long = lists.where("u is null").select("sig", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = long.groupBy("sig").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("rows") / LIST_BLOCK).cast("int")
-    cells = (
-        long.join(mixed.select("sig", blocks.alias("blocks")), "sig")
-        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(nodes.select("node", "bits").mapInArrow(_small, "node long, small binary"), "node")
-        .select("sig", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", "n", "component", "block", "small")
-        .repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj", "node")
-    )
-    second = cells.mapInArrow(_cells, PAIRS).select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
+    maps = nodes.select("node", "bits").mapInArrow(_small, "node long, small binary")
+    second = later_pairs(found_lists.where("u is null").select("sig", "node", "n"), found, maps, first, LIST_BLOCK)
     links = links.unionByName(_links(staged(second, "second"), nodes, texts))
     found = components(links).withColumnRenamed("component", "root")
 

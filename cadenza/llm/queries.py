@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cadenza.llm import chat, decontaminate, language, sentencepieces, toxicity, tree_weighting
 from cadenza.llm.exact_dedup import exact_groups
 from cadenza.llm.jaccard_join import jaccard_components
+from cadenza.llm.line_dedup import line_groups
 from cadenza.llm.shared import table
 from cadenza.llm.sharding import byte_shards
 
@@ -48,6 +49,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line that stays for every line of all documents."""
+    return line_groups(table(spark, sf_dir, "documents")).drop("row")
+
+
 EXACT_SQL = """
 with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) h from documents)
 select doc_id, min(doc_id) over g keep_id, count(*) over g group_size, row_number() over (partition by h order by doc_id) = 1 kept,
