@@ -30,6 +30,8 @@ SHINGLE = 7
 BANDS, BAND_ROWS = 16, 4
 #: A chunk of lines that is worked on at once: its hashes fit into a processor cache.
 CHUNK_LINES, CHUNK_SHINGLES = 4096, 1 << 16
+#: Whole texts that are worked on at once, unless one is longer.
+SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 _TAG = 12
@@ -89,14 +91,17 @@ def shingles(code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         keep[np.maximum(bounds[1:] - k, bounds[:-1] + 1)[n > 1]] = False
     for i in np.flatnonzero(n < SHINGLE):
         own = wide[bounds[i]: bounds[i + 1]]
-        out[bounds[i]] = (own * _PLACE[: len(own)]).sum(dtype=_U) + _U(len(own)) * _STEP
+        out[bounds[i]: bounds[i] + 1] = (own[None] * _PLACE[: len(own)]).sum(axis=1, dtype=_U) + np.full(1, len(own), dtype=_U) * _STEP
     return B.mix(out[keep]), np.concatenate(([0], np.cumsum(np.maximum(1, n - SHINGLE + 1))))
 
 
-def fingerprints(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def fingerprints(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Hash of each whole line, in which order counts."""
-    own = np.arange(len(flat), dtype=_U) - np.repeat(bounds[:-1], np.diff(bounds)).astype(_U)
-    return (B.segment_sums(B.mix(flat ^ (own * _STEP)), bounds)).view(np.int64)
+    own = np.arange(len(code), dtype=_U)
+    own -= np.repeat(bounds[:-1].astype(_U), np.diff(bounds))
+    own *= _STEP
+    own ^= code
+    return B.segment_sums(B.mix(own), bounds).view(np.int64)
 
 
 def distinct(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,12 +142,12 @@ LINES = "row long, doc_id long, line int, node long, n int, sigs binary"
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per line that is not blank; the first of equal lines of a slice carries the band keys."""
     for batch in batches:
-        for i, j, data, off in B.slices(batch["t"]):
+        for i, j, data, off in B.slices(batch["t"], SLICE_BYTES):
             code, bounds, row, number = normalised_lines(data, off)
             if not len(row):
                 continue
             flat, at = shingles(code, bounds)
-            node = fingerprints(flat, at)
+            node = fingerprints(code, bounds)
             _, fresh, back = np.unique(node, return_index=True, return_inverse=True)
             fresh.sort()
             sizes = np.zeros(len(node), dtype=np.int32)
@@ -183,11 +188,11 @@ def _wanted(needed) -> Callable:
     """(node, t): normalised lines that may be needed, once per slice, as characters of four bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, off in B.slices(batch["t"]):
+            for _, _, data, off in B.slices(batch["t"], SLICE_BYTES):
                 code, bounds, row, _ = normalised_lines(data, off)
                 if not len(row):
                     continue
-                node = fingerprints(*shingles(code, bounds))
+                node = fingerprints(code, bounds)
                 fresh = np.unique(node, return_index=True)[1]
                 fresh = fresh[is_needed(needed.value, node[fresh])]
                 yield pa.RecordBatch.from_arrays([
