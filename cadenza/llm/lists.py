@@ -18,7 +18,7 @@ from cadenza.llm import bytesets as B
 from cadenza.llm.cells import cut, has_bits, merged
 
 #: Longest list whose pairs are all emitted at once; longer ones go by components.
-SHORT_LIST = 32
+SHORT_LIST = 3
 #: Rows of one block of a long list.
 LIST_BLOCK = 2048
 SIG_BITS = 48
