@@ -11,7 +11,8 @@ one as well, so that linked sets always meet.
 
 Plan. Four passes over the texts, none of which shuffles a text that has no candidate:
 1. set sizes, fingerprints, bit maps, and a frequency sketch of fixed size (summed block by block, 4 MB when broadcast);
-2. index entries, shuffled by key; short lists give all pairs of similar size, long lists only pairs with their first set;
+2. index entries, shuffled by key; short lists give all pairs of similar size, long lists only pairs with their first set,
+   the one with the smallest share of rare shingles: an original has fewer of them than the edited copies around it;
 3. pairs that pass the bit maps (an upper bound of the overlap, so nothing is lost) are verified on the whole texts;
 4. the verified links give components; long lists then give the pairs that lie in different components, in bounded cells,
    and these are verified too. Every pair that could join two components is thus tested, and no group gives all its pairs.
@@ -140,7 +141,7 @@ def _index(table) -> Callable:
         for batch in batches:
             for _, _, flat, bounds, node, _ in sets.of(batch["t"]):
                 cls = classes[(flat & _U(CELLS - 1)).astype(np.int64)]
-                keys, nodes, sizes = [], [], []
+                keys, nodes, sizes, own_rare = [], [], [], []
                 for d in range(len(node)):
                     lo, hi = bounds[d], bounds[d + 1]
                     if hi - lo > 2 and sets.is_new(int(node[d])):
@@ -148,9 +149,10 @@ def _index(table) -> Callable:
                         keys.append(own.view(np.int64))
                         nodes.append(np.full(len(own), node[d]))
                         sizes.append(np.full(len(own), hi - lo, dtype=np.int32))
+                        own_rare.append(np.full(len(own), 255 * int((cls[lo:hi] == 0).sum()) // (hi - lo), dtype=np.int16))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["sig", "node", "n"])
+                        [pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, own_rare)], names=["sig", "node", "n", "rare"])
     return run
 
 
@@ -222,8 +224,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     profile = staged(texts.mapInArrow(_profile, PROFILE), "profile")
     rows = profile.where("block is null")
     table = spark.sparkContext.broadcast(frequency_classes(profile, frequent))
-    index = texts.mapInArrow(_index(table), "sig long, node long, n int")
-    found_lists = staged(distinct_pairs(index), "lists")
+    index = texts.mapInArrow(_index(table), "sig long, node long, n int, rare short")
+    found_lists = staged(distinct_pairs(index, "rare"), "lists")
     nodes = rows.where("n > 2").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     first = found_lists.where("u is not null").select("u", "v").distinct()
     links = _links(first, nodes, texts)

@@ -176,9 +176,12 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pairs.full(1)
 
 
-def distinct_pairs(index: DataFrame) -> DataFrame:
-    """PAIRS of an index (sig, node, n): pairs to verify first, and the rows of long lists."""
-    return index.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lists, PAIRS)
+def distinct_pairs(index: DataFrame, *order: str) -> DataFrame:
+    """PAIRS of an index (sig, node, n): pairs to verify first, and the rows of long lists.
+
+    `order` names columns of a node that say which set of a list comes first; the node itself breaks ties.
+    """
+    return index.repartition("sig").sortWithinPartitions("sig", *order, "node").mapInArrow(lists, PAIRS)
 
 
 def later_pairs(rows: DataFrame, found: DataFrame, maps: DataFrame, first: DataFrame, block_rows: int) -> DataFrame:
