@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from cadenza.llm import bytesets as B
 from cadenza.llm.shared import staged
 
-DEPTH = 4
+#: A sequence, the context and its next byte, fits 56 bits of a long.
+DEPTH = 6
 CHUNK_BYTES = 8 << 20
 #: Groups of context endings that are worked on at once.
 BUCKETS = 1024
 END = 10
 #: Cells of the direct tables that number sequences; more distinct ones are numbered by sorting.
-_DIRECT = 1 << 24
+_DIRECT = 1 << 26
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1, dtype=np.int32)
 
 
 def pack(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +122,11 @@ def _numbered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             flag = np.zeros(span, dtype=bool)
             flag[both] = True
             distinct = np.flatnonzero(flag)
-            number = np.cumsum(flag, dtype=np.int32)
-            ids = number[both] - 1
+            # A number is the count of set cells before it: those of earlier groups of eight, and those of its own.
+            packed = np.packbits(flag, bitorder="little")
+            before = np.cumsum(_BITS[packed], dtype=np.int32) - _BITS[packed]
+            group = both >> 3
+            ids = before[group] + _BITS[packed[group] & ((1 << (both & 7)) - 1)]
         else:
             distinct, ids = np.unique(both, return_inverse=True)
             ids = ids.astype(np.int32)

@@ -306,6 +306,18 @@ def test_context_tree(spark, odd_docs):
     assert tree_weighting.scores(odd_docs).count() == odd_docs.count()
 
 
+def test_context_tree_reaches_six_bytes(spark):
+    """A byte that only the sixth byte before it decides is scored by that byte, in training and held out."""
+    ids = range(60)
+    held = [k for k in ids if zlib.crc32(str(k).encode()) % 5 == 1]
+    rows = [(k, "pqqqqqp" if k % 2 else "rqqqqqr") for k in ids if k not in held]
+    texts = ["pqqqqqp", "pqqqqqr", "rqqqqqr", "rqqqqqp"]
+    df = spark.createDataFrame(rows + list(zip(held, texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in tree_weighting.scores(df).collect()}
+    same, other, same_too, other_too = (got[k] for k in held[:4])
+    assert same > other + 0.5 and same_too > other_too + 0.5
+
+
 def test_code_is_a_distribution():
     """The probabilities of all next bytes after any context sum to one."""
     rng = np.random.default_rng(0)
