@@ -317,21 +317,74 @@ def balanced_pair_sample(
     return best.withColumn("cap", cap).where(F.col("place") <= F.col("cap")).drop("pairs", "h", "total", "cap")
 
 
-def lsh_topk(items: DataFrame, item_id: str, vec: str, k: int, bucket: float = 0.5, tables: int = 8,
-             distance: float = 1.2, seed: int = 7) -> DataFrame:
-    """Approximate k nearest items on unit vectors by random projection buckets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    base = items.select(F.col(item_id).alias("id"), array_to_vector(vec).alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(base)
-    pairs = model.approxSimilarityJoin(base, base, distance, "dist").select(
-        F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "dist"
-    ).where("a != b")
-    w = Window.partitionBy("a").orderBy("dist", "b")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+#: Rows that the coarse index is fitted on, of these the ones that set the number of probes, and the recall they are to reach.
+SAMPLE = 4096
+PROBING = 512
+RECALL = 0.95
+CELLS = 256
+
+
+def _coarse(sample: np.ndarray, cells: int, k: int, seed: int) -> tuple[np.ndarray, int]:
+    """Centres by spherical k-means, and the probes that find RECALL of the sample's own k nearest."""
+    rng = np.random.default_rng(seed)
+    centres = sample[np.sort(rng.choice(len(sample), cells, replace=False))]
+    for _ in range(10):
+        home = np.argmax(sample @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, sample)
+        some = np.linalg.norm(sums, axis=1) > 0
+        centres = np.where(some[:, None], _unit_rows(sums), centres)
+    home = np.argmax(sample @ centres.T, axis=1)
+    asked = np.sort(rng.choice(len(sample), min(len(sample), PROBING), replace=False))
+    s = sample[asked] @ sample.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    near = np.argsort(-s, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+    place = np.argsort(np.argsort(-(sample[asked] @ centres.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(place, home[near], axis=1).ravel()) + 1
+    return centres, int(needed[math.ceil(RECALL * len(needed)) - 1]) if len(needed) else 1
+
+
+def coarse_topk(items: DataFrame, item_id: str, vec: str, k: int, seed: int = 7) -> DataFrame:
+    """(a, b, dist, rank): approximately the k nearest other items on unit vectors, by a coarse index.
+
+    Cells are fitted on the SAMPLE rows of the smallest id hashes; every row is in the cell of its nearest centre. A row
+    searches its nearest cells exactly: as many as reach RECALL on PROBING rows of the sample, and further ones until they
+    hold k other rows. So each row gets k rows, or all others of a smaller table. Ties go to the smaller id.
+    """
+    base = items.select(F.col(item_id).cast("long").alias("b"), F.col(vec).alias("vec"))
+    n = base.count()
+    drawn = base.orderBy(F.xxhash64("b"), "b").limit(SAMPLE).toArrow()
+    sample = _unit_rows(_matrix(drawn.column("vec"), drawn.num_rows))
+    cells = max(1, min(CELLS, len(sample), round(math.sqrt(n) / 2)))
+    centres, probes = _coarse(sample, cells, k, seed) if n else (sample, 1)
+
+    def placed(size: np.ndarray | None):
+        def run(batches):
+            for batch in batches:
+                t = pa.Table.from_batches([batch])
+                order = np.argsort(-(_unit_rows(_matrix(t.column("vec"), len(batch))) @ centres.T), axis=1, kind="stable")
+                if size is None:
+                    last = np.ones(len(batch), dtype=np.int64)
+                else:
+                    short = (np.cumsum(size[order], axis=1) - 1 < k).sum(axis=1) + 1
+                    last = np.minimum(np.maximum(short, probes), cells)
+                row = np.repeat(np.arange(len(batch)), last)
+                cell = order[np.arange(cells)[None, :] < last[:, None]]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["b"].take(at), batch["vec"].take(at), pa.array(cell, pa.int32())], names=["b", "vec", "cell"])
+        return run
+
+    kinds = "b long, vec array<double>, cell int"
+    home = base.mapInArrow(placed(None), kinds)
+    size = np.zeros(cells, dtype=np.int64)
+    for r in home.groupBy("cell").count().collect():
+        size[r["cell"]] = r["count"]
+    asked = base.mapInArrow(placed(size), kinds).withColumnRenamed("b", "a")
+    most = asked.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
+    best = block_topk(asked, home, "a", "b", k, scorer=NotSelf(cosine_score, "a", "b"), sizes=(most, int(size.max(initial=0))), on=("cell",))
+    dist = F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("score")))
+    return best.select("a", "b", dist.alias("dist"), F.col("rank").cast("int").alias("rank"))
 
 
 # --- scorers -----------------------------------------------------------------

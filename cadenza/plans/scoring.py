@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text, vectors, vocab
 from ..operators.diversity import capped_topk
 from ..operators.nearest import (
-    MultiFactor, NotSelf, Within, block_topk, cosine_score, lsh_topk,
+    MultiFactor, NotSelf, Within, block_topk, coarse_topk, cosine_score,
 )
 from . import binding as b
 from .registry import query
@@ -307,7 +307,7 @@ def knn_vectors(spark, sf, k):
 def top3(spark, sf):
     """Approximate neighbours; the test measures recall against top2."""
     v = b.vectors(spark, sf).select("vec_id", vectors.l2_normalize(F.col("vec")).alias("unit"))
-    return lsh_topk(v, "vec_id", "unit", 5)
+    return coarse_topk(v, "vec_id", "unit", 5)
 
 
 @query("top6_most_similar_items", b.with_("item_vectors", near="""

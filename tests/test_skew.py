@@ -162,3 +162,30 @@ def test_lsh_recall(spark):
     near = entry.queries()["top3_approximate_knn"](spark, sf).toPandas()
     want, got = set(map(tuple, exact.values)), set(zip(near.a, near.b))
     assert len(want & got) / len(want) > 0.5
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_approximate_knn_is_whole(spark, size):
+    """Five neighbours for every vector, and a recall of 0.9 against the exact ones."""
+    import __spark_entry__ as entry
+
+    sf = f"/root/testdata/{size}"
+    exact = entry.queries()["top2_exact_knn"](spark, sf).select("vec_id", "other").toPandas()
+    near = entry.queries()["top3_approximate_knn"](spark, sf).toPandas()
+    assert (near.a != near.b).all() and not near.duplicated(["a", "b"]).any()
+    assert set(near.a) == set(exact.vec_id) and (near.groupby("a").size() == 5).all()
+    want, got = set(map(tuple, exact.values)), set(zip(near.a, near.b))
+    print(size, "rows", len(near), "recall", len(want & got) / len(want))
+    assert len(want & got) / len(want) >= 0.9
+
+
+def test_approximate_knn_of_few_and_equal_vectors(spark):
+    """Small cells are left for the next ones; equal vectors and small tables give all there is."""
+    from cadenza.operators.nearest import coarse_topk
+
+    rows = [(i, [1.0, 0.0] if i < 90 else [0.0, 1.0 + i]) for i in range(93)]
+    got = coarse_topk(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 5).toPandas()
+    assert got.groupby("a").size().to_dict() == {i: 5 for i in range(93)}
+    few = coarse_topk(spark.createDataFrame(rows[:3], "id long, v array<double>"), "id", "v", 5)
+    assert few.count() == 6
+    assert coarse_topk(spark.createDataFrame([], "id long, v array<double>"), "id", "v", 5).count() == 0
