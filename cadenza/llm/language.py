@@ -33,6 +33,8 @@ TEMPER = 0.2
 STRENGTH = 20.0
 #: Largest posterior that still counts as undecided.
 UNDECIDED = 0.5
+#: Standard errors that a text's likelihood may fall short of the floor; overlapping trigrams count as a third.
+SLACK = 3.0
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -78,6 +80,25 @@ def fit(docs: DataFrame, lang: str = "lang", sample: int = SAMPLE) -> tuple[list
     return languages, np.ascontiguousarray(np.log(prob).T.astype(np.float32))
 
 
+def floors(logp: np.ndarray) -> tuple[list[float], list[float]]:
+    """For each language, the least log likelihood a trigram of its text, and the standard error of one trigram.
+
+    Both come from the fitted table. The floor is halfway between what a language's own labelled text has under its table
+    and what the nearest other text has: that of another labelled language, or trigrams drawn evenly.
+    """
+    prob = np.exp(logp.astype(np.float64))
+    seen = np.maximum(prob - prob.min(axis=0) * (1 + 1e-5), 0.0)
+    if not (seen.sum(axis=0) > 0).all():
+        return [-1e9] * logp.shape[1], [0.0] * logp.shape[1]
+    seen = np.concatenate([seen / seen.sum(axis=0), np.full((len(seen), 1), 1 / len(seen))], axis=1)
+    cross = seen.T @ logp.astype(np.float64)
+    n = logp.shape[1]
+    own = np.diag(cross[:n])
+    other = np.where(np.eye(n + 1, n, dtype=bool), -np.inf, cross).max(axis=0)
+    spread = np.sqrt(3 * np.maximum([seen[:, k] @ (logp[:, k].astype(np.float64) - own[k]) ** 2 for k in range(n)], 0.0))
+    return ((own + other) / 2).tolist(), spread.tolist()
+
+
 def _likelihood(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logp = table.value
@@ -115,8 +136,9 @@ def _smoothed(counts: DataFrame, parent: DataFrame, n: int, key: list[str]) -> D
     return counts.join(parent, key[:-1]).select(*key, *shares)
 
 
-def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
+def fuse(evidence: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """(id, lang, confidence, n_grams, accepted, text_lang) from the staged evidence of all rows."""
+    languages = model[0]
     n = len(languages)
     rows = evidence.withColumn("alone", _softmax(F.transform("ll", lambda x: x * TEMPER)))
     told = rows.where("n_grams > 0")
@@ -149,9 +171,13 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     post = met.withColumn("posterior", _softmax(logs))
     names = F.array(*map(F.lit, languages))
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
+    floor, spread = (F.array(*map(F.lit, x)) for x in floors(model[1]))
+    place = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    at = lambda c: F.element_at(c, place)
+    like = at(F.col("ll")) >= F.col("n_grams") * at(floor) - SLACK * F.sqrt("n_grams") * at(spread)
     return post.select(
         "id", best(F.col("posterior")).alias("lang"), F.array_max("posterior").alias("confidence"), "n_grams",
-        ((F.col("n_grams") > 0) & (F.array_max("posterior") > UNDECIDED)).alias("accepted"), F.when(F.col("n_grams") > 0, best(F.col("alone"))).alias("text_lang"))
+        ((F.col("n_grams") > 0) & (F.array_max("posterior") > UNDECIDED) & like).alias("accepted"), F.when(F.col("n_grams") > 0, best(F.col("alone"))).alias("text_lang"))
 
 
 def evidence_of(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -166,13 +192,14 @@ def languages_of_documents(docs: DataFrame, model: tuple[list[str], np.ndarray]
     """(id, lang, confidence, n_grams, accepted, text_lang), one row per row of `docs`; the source is the host.
 
     A text without trigrams (null, empty, under three bytes) has no evidence of its own: it gets the language of its
-    source and is not accepted; nor is one whose best posterior is at most a half. Repeated rows, null ids and null
+    source and is not accepted; nor is one whose best posterior is at most a half, or whose text is less like its language
+    than `floors` asks, as text of a language outside the labels is. Repeated rows, null ids and null
     sources are rows like any other. An empty table gives an empty result; without labelled rows every text is `und`.
     Other columns are ignored, whatever their names.
     """
     model = model or fit(docs)
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("declared"), F.lit("").alias("suffix"), F.lit("").alias("domain"), F.col("source").alias("host"))
-    return fuse(evidence_of(rows, model), model[0])
+    return fuse(evidence_of(rows, model), model)
 
 
 def languages_of_pages(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -184,7 +211,7 @@ def languages_of_pages(pages: DataFrame, model: tuple[list[str], np.ndarray]) ->
         F.col("page_id").alias("id"), F.regexp_replace(bare, r"&[A-Za-z#0-9]+;", " ").alias("text"),
         F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]+)", 1)).alias("declared"),
         F.substring_index(host, ".", -1).alias("suffix"), F.substring_index(host, ".", -2).alias("domain"), host.alias("host"))
-    return fuse(evidence_of(rows, model), model[0])
+    return fuse(evidence_of(rows, model), model)
 
 
 def accepted(docs: DataFrame) -> DataFrame:

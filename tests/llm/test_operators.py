@@ -240,6 +240,24 @@ def test_sentencepieces(spark, odd_docs):
     assert sentencepieces.digests(df.limit(0), path).count() == 0
 
 
+def test_language_outside_the_labels(spark):
+    """Text of no labelled language goes; labelled text stays."""
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(train)
+    foreign = [
+        "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗いじめじめした所で泣いていた。",
+        "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+        "48151623 42108 99120 37461 00192 83746 55501 29384 77120 46352 19283 74650",
+    ]
+    df = spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string").selectExpr("*", "'x' as source")
+    out = {r.id: r.accepted for r in language.languages_of_documents(df, model).collect()}
+    assert out == {0: False, 1: False, 2: False}
+    told = language.languages_of_documents(train, model).where("n_grams > 0")
+    kept, n = told.selectExpr("sum(int(accepted))", "count(*)").first()
+    print("kept", kept, "of", n)
+    assert kept > 0.99 * n
+
+
 def brute_tree(train: list[bytes], scored: list[bytes], depth: int):
     """Context-tree weighting by recursion over dictionaries."""
     from math import lgamma, log, log10
