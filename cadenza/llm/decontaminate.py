@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import bytesets as B
+from cadenza.llm.shared import ROW, numbered
 
 RATE = 0.05
 #: Shortest piece; where a budget would need shorter ones, the budget is cut to what such pieces allow.
@@ -189,6 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of `docs` that match no item; columns as before. A row without an id stays."""
-    hit = contaminated(docs, benchmark, rate).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == F.col("_hit"), "left_anti")
+    """The rows of `docs` that match no item, each by its own text, whatever its id; columns as before."""
+    rows = numbered(docs)
+    hit = contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(hit, ROW, "left_anti").select(*docs.columns)

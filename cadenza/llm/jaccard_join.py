@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cadenza.llm import bytesets as B
 from cadenza.llm.cells import cut, merged
 from cadenza.llm.lists import LIST_BLOCK, MAP_BITS, SIG_BITS, distinct_pairs, enough, folded, is_needed, later_pairs, needed_bits
-from cadenza.llm.shared import components, staged
+from cadenza.llm.shared import ROW, components, numbered, staged
 
 CELLS = 1 << 22
 #: A shingle in at least so many sets counts as frequent.
@@ -243,6 +243,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component; rows without an id stay. Columns as before."""
-    gone = jaccard_components(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of `docs` for each component: of the smallest id, or of none if no row has one. Columns as before.
+
+    Rows count by themselves, so rows of one id and different texts are apart; texts without shingles all stay.
+    """
+    rows = numbered(docs)
+    found = jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    first = rows.select(ROW, "doc_id").join(found, ROW).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(first, ROW, "left_semi").select(*docs.columns)

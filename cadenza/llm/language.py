@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import bytesets as B
 from cadenza.llm.cells import CUT, cut, merged
-from cadenza.llm.shared import staged
+from cadenza.llm.shared import ROW, numbered, staged
 
 #: Labelled rows, at most, that the trigram table is fitted on, and languages at most.
 SAMPLE = 6000
@@ -215,8 +215,8 @@ def languages_of_pages(pages: DataFrame, model: tuple[list[str], np.ndarray]) ->
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose language is accepted; columns as before. A row without an id stays if it has text."""
-    found = languages_of_documents(docs).where("not accepted").select(F.col("id").alias("_id"))
-    gone = found.where("_id is not null").distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
-    return kept.where(F.col("doc_id").isNotNull() | (F.length(F.coalesce(F.col("text"), F.lit(""))) > 2))
+    """The rows of `docs` whose language is accepted, each by its own text, whatever its id; columns as before."""
+    rows = numbered(docs)
+    found = languages_of_documents(rows.select(F.col(ROW).alias("doc_id"), "text", "source"), fit(rows))
+    gone = found.where("not accepted").select(F.col("id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

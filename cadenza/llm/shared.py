@@ -19,6 +19,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Column of `numbered`.
+ROW = "_row_of_stage"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number of its own for each row, written, so that each reading gives the same numbers."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches; `links` has u and v, longs.
 

@@ -381,6 +381,33 @@ def test_gradients():
         assert abs((loss[0] - loss[1]) / 2e-3 - g[k][at]) < 1e-3
 
 
+def test_stages_act_by_row(spark):
+    """Rows without an id meet each decision, and a clean row that shares its id with a rejected one stays."""
+    word = lambda k, n: " ".join(f"{chr(97 + (k * 7 + i) % 26)}w{(k * 31 + i * i) % 997}" for i in range(n))
+    item, other = word(1, 30), word(2, 60)
+    kinds = "doc_id long, text string, source string, lang string"
+    of = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+
+    rows = [(None, f"x {item} y"), (None, other), (7, f"a {item} b"), (7, other), (8, other)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(*r, "s", "en") for r in rows], kinds)
+    assert of(decontaminate.clean(df, bench)) == sorted([(0, other), (7, other), (8, other)])
+
+    near = other + " end"
+    rows = [(None, item), (None, item + " end"), (4, other), (5, near), (5, word(3, 50)), (None, None), (6, "")]
+    df = spark.createDataFrame([(*r, "s", "en") for r in rows], kinds)
+    left = of(jaccard_join.one_per_group(df))
+    assert len(left) == 5 and (4, other) in left and (5, word(3, 50)) in left and (0, "") in left and (6, "") in left
+    assert sum(d == 0 and t.startswith(item) for d, t in left) == 1
+
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang")
+    good = train.where("lang = 'en' and length(text) between 300 and 3000").orderBy("doc_id").first()["text"]
+    bad = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。"
+    rows = [(None, bad, "s", None), (-1, bad, "s", None), (-1, good, "s", None), (None, good, "s", None), (None, None, "s", None)]
+    kept = language.accepted(train.unionByName(spark.createDataFrame(rows, kinds))).where("doc_id is null or doc_id < 0")
+    assert of(kept) == sorted([(-1, good), (0, good)])
+
+
 def test_pipeline(spark):
     """Each stage keeps what brute force over its own input keeps."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
