@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import chat, decontaminate, language, sentencepieces, toxicity, tree_weighting
+from cadenza.llm.euclidean_hashing import near_groups
 from cadenza.llm.exact_dedup import exact_groups
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.line_dedup import line_groups
+from cadenza.llm.periodic_runs import best_run, periodic_runs
 from cadenza.llm.shared import table
 from cadenza.llm.sharding import byte_shards
 
@@ -138,3 +140,77 @@ def op9_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+VECTOR_SQL = """
+with recursive v as (
+  select vec_id, label, len(embedding) n, embedding::double[] e from embeddings where label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id x, b.vec_id y from v a join v b using (label, n) where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select vec_id x, vec_id r from embeddings union select links.y, reach.r from reach join links using (x)),
+degree as (select x, count(*) n from links group by x)
+select e.vec_id, coalesce(max(d.n), 0)::bigint n_links, min(r.r) component_id, e.vec_id = min(r.r) kept
+from embeddings e join reach r on r.x = e.vec_id left join degree d on d.x = e.vec_id group by e.vec_id
+"""
+
+
+@query("op11_euclidean_near_dedup", VECTOR_SQL)
+def op11_euclidean_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct links and the group of every vector."""
+    return near_groups(table(spark, sf_dir, "embeddings"))
+
+
+#: CRC-32 of the decimal id, bit by bit; the periodic texts; runs as maximal stretches of equal words at each lag, without those
+#: that a smaller period covers.
+RUNS_SQL = """
+with docs as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w,
+    xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda crc, b:
+      list_reduce(list_transform(range(9), lambda k: k::bigint), lambda x, k: (case when k = 0 then x when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)::bigint, xor(crc, b)),
+      4294967295::bigint), 4294967295::bigint) h from documents),
+parts as (select *, len(w) n, h // 10 g from docs),
+shapes as (select *, case when n > 0 then g % n else 0 end a, case when n > 0 then 1 + (n - g % n) // (3 + g % 8) else 1 end p from parts),
+words as (
+  select doc_id, n, unnest(range(n)) i, unnest(case when h % 10 = 0 and n > 0
+    then list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) else w end) word from shapes),
+same as (select x.doc_id, x.i, y.i - x.i q from words x join words y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+islands as (select *, i - row_number() over (partition by doc_id, q order by i) k from same),
+found as (select doc_id, min(i) s, count(*) + q len, q from islands group by doc_id, q, k having count(*) + q >= greatest(6, 4 * q)),
+runs as (select * from found f where not exists (
+  select 1 from found o where o.doc_id = f.doc_id and o.q < f.q and o.s <= f.s and o.s + o.len >= f.s + f.len)),
+dropped as (select distinct doc_id, unnest(range(s + q, s + len)) i from runs),
+lists as (select doc_id, count(*) n_runs, sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q)) runs_sha256 from runs group by doc_id),
+best as (select * from runs qualify row_number() over (partition by doc_id order by len::double / q desc, s, q) = 1),
+left_ as (select doc_id, string_agg(word, ' ' order by i) t from words anti join dropped using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(l.n_runs, 0)::bigint n_runs, b.s::bigint "start", b.len::bigint "length", b.q::bigint period,
+  (1000 * b.len // b.q)::bigint exponent_milli, coalesce(l.runs_sha256, sha256('')) runs_sha256, sha256(coalesce(t.t, '')) collapsed_sha256
+from docs d left join lists l using (doc_id) left join best b using (doc_id) left join left_ t using (doc_id)
+"""
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): texts whose id has a CRC-32 divisible by ten get the periodic tail of the query's contract."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    chosen = F.coalesce(F.col("h") % 10 == 0, F.lit(False))
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    rows = rows.withColumn("w", F.when(chosen, words)).withColumn("n", F.size("w"))
+    rows = rows.withColumns({"g": F.expr("h div 10"), "a": F.when(F.col("n") > 0, F.expr("(h div 10) % n"))})
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    root = F.expr("slice(w, cast(a + 1 as int), cast(p as int))")
+    tail = F.flatten(F.array_repeat(root, F.expr("cast((n - a) div p as int)")))
+    rest = F.expr("slice(w, cast(a + 1 as int), cast((n - a) % p as int))")
+    text = F.array_join(F.concat(F.expr("slice(w, 1, cast(a as int))"), tail, rest), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs", RUNS_SQL)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, a tenth of them made periodic, as digests."""
+    found = periodic_runs(made_periodic(table(spark, sf_dir, "documents"))).withColumn("best", F.when(F.size("runs") > 0, best_run()))
+    lines = F.transform("runs", lambda x: F.concat_ws(",", *(x[k].cast("string") for k in ("start", "length", "period"))))
+    digest = lambda t: F.sha2(t.cast("binary"), 256)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        digest(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"))
