@@ -11,6 +11,7 @@ from cadenza.llm.exact_dedup import exact_groups
 from cadenza.llm.jaccard_join import jaccard_components
 from cadenza.llm.line_dedup import line_groups
 from cadenza.llm.periodic_runs import best_run, periodic_runs
+from cadenza.llm.ranked_search import ranked
 from cadenza.llm.shared import table
 from cadenza.llm.sharding import byte_shards
 
@@ -214,3 +215,28 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         digest(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")).alias("runs_sha256"),
         digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+RANKED_SQL = """
+with words as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term from documents),
+wanted as (
+  select item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))) term from benchmark),
+lengths as (select doc_id, count(*)::bigint n from words group by doc_id),
+total as (select count(*)::bigint docs, sum(n)::bigint terms from lengths),
+times as (select doc_id, term, count(*)::bigint tf from words where term in (select term from wanted) group by all),
+weights as (select term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint w from times, total group by term),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::bigint score
+  from wanted join times using (term) join weights using (term) join lengths using (doc_id), total group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int rank, doc_id, score from scores where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 50
+"""
+
+
+@query("op13_ranked_fp_tree_search", RANKED_SQL)
+def op13_ranked_fp_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of the highest score for every benchmark item."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
