@@ -74,6 +74,10 @@ TEMPO_SEARCH_WEIGHTS = {
     "text": 0.1, "tempo": 0.7, "difficulty": 0.1,
     "energy": 0.05, "role": 0.05, "transition": 0.0,
 }
+CATEGORICAL_SEARCH_WEIGHTS = {
+    "text": 0.2, "tempo": 0.3, "difficulty": 0.2,
+    "energy": 0.25, "role": 0.15, "transition": 0.1,
+}
 TRANSITION_WEIGHTS = {"pose": 0.25, "flow": 0.35, "energy": 0.25, "difficulty": 0.15}
 QUALITY_WEIGHTS = {
     "flow": 0.25, "musicality": 0.25, "progression": 0.15,

@@ -14,7 +14,7 @@ from ..operators.nearest import block_topk
 from ..operators.profiles import rounded
 from . import binding as b
 from .registry import query
-from .scoring import TOPK_SQL
+from .scoring import TOPK_SQL, best_items, categorical_blend
 
 RANK = b.sql_rank
 SPACES = vocab.SPACE_WEIGHTS
@@ -186,7 +186,7 @@ _single_space("top4_text_search", TEXT_ONLY, True)
 
 @query("top5_tempo_rerank", b.with_("requests", "items", **UNIFIED_SQL, **_asked_sql(vocab.TEMPO_SEARCH_WEIGHTS), **_search_sql(20),
       mixed="""select req_id, item_id, round(0.3 * score + 0.7 * (1 - abs(i.tempo - r.tempo) / 10.0), 9) as score
-        from best join requests r using (req_id) join items i using (item_id) where abs(i.tempo - r.tempo) <= 10""") + f"""
+        from near join requests r using (req_id) join items i using (item_id) where abs(i.tempo - r.tempo) <= 10""") + f"""
     select req_id, item_id, round(score, 6) as score, rank from ({TOPK_SQL.format(src='mixed')}) where rank <= 10""")
 def top5(spark, sf):
     return tempo_rerank(spark, sf, search(spark, sf, vocab.TEMPO_SEARCH_WEIGHTS, 20), 10.0, 10)
@@ -202,6 +202,20 @@ def tempo_rerank(spark, sf, found, tolerance, k):
         {"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
 
+WANTED = "energy || ' energy moves for ' || role"
+
+
+@query("flt8_categorical_blend", b.with_("requests", "items", **UNIFIED_SQL, **_asked_sql(vocab.CATEGORICAL_SEARCH_WEIGHTS, WANTED), **_search_sql(20),
+      blend=f"""select req_id, item_id, score, 0.4 * (case abs({RANK('r.energy')} - {RANK('i.energy')}) when 0 then 1.0 when 1 then 0.7 else 0.3 end)::double
+        + 0.4 * (case when r.role = 'both' or i.role = 'both' or r.role = i.role then 1.0 else 0.6 end)::double
+        + 0.2 * greatest(0.0, 1.0 - abs({RANK('r.difficulty')} - {RANK('i.difficulty')}) / 2.0) as cat
+        from near join requests r using (req_id) join items i using (item_id)""",
+      mixed="select req_id, item_id, round(0.5 * score + 0.5 * cat, 9) as score from blend where round(cat, 9) >= 0.6") + f"""
+    select req_id, item_id, round(score, 6) as score, rank from ({TOPK_SQL.format(src='mixed')}) where rank <= 10""")
+def flt8(spark, sf):
+    return categorical_blend(spark, sf, best_items(spark, sf, 20), 10)
+
+
 @query("top10_oversampled_recommend", b.with_("requests", "items", **UNIFIED_SQL, **_asked_sql(SPACES), **_search_sql(30),
       cat="select b.*, label, row_number() over (partition by req_id, label order by rank) as in_cat from best b join items using (item_id)",
       picked="select *, in_cat <= 1 and sum((in_cat <= 1)::int) over (partition by req_id order by rank) <= 5 as pick from cat",
@@ -226,7 +240,7 @@ def recommend(spark, sf, k, mode="ordered", seed=0):
 
 
 @query("top11_preview_sample", b.with_("items", hit="select item_id, label, abs(tempo - 115) as gap from items where difficulty = 'beginner' and tempo between 100 and 130",
-      top="select *, row_number() over (order by gap, item_id) as rank from hit qualify rank <= 30",
+      top="select *, row_number() over (order by gap, item_id) as rank from hit",
       cat="select *, row_number() over (partition by label order by rank) as in_cat from top",
       picked="select *, in_cat <= 1 and sum((in_cat <= 1)::int) over (order by rank) <= 5 as pick from cat",
       slotted="select *, row_number() over (order by pick desc, rank) as slot from picked") + """

@@ -372,18 +372,6 @@ def flt7(spark, sf):
     return p.where(F.col("score") >= 0.1).withColumn("score", F.round("score", 6))
 
 
-@query("flt8_categorical_blend", b.with_("request_vectors", "item_vectors", **ALL_SCORES,
-      top=f"select * from ({TOPK_SQL.format(src='scored')}) where rank <= 20",
-      blend=f"""select t.req_id, t.item_id, t.score, 0.4 * {_ladder_sql('r.energy', 'i.energy', 0.7, 0.3)}
-        + 0.4 * (case when r.role = 'both' or i.role = 'both' or r.role = i.role then 1.0 else 0.6 end)
-        + 0.2 * greatest(0.0, 1.0 - abs({RANK('r.difficulty')} - {RANK('i.difficulty')}) / 2.0) as cat
-        from top t join requests r using (req_id) join items i using (item_id)""",
-      mixed="select req_id, item_id, round(0.5 * score + 0.5 * cat, 9) as score from blend where round(cat, 9) >= 0.6") + f"""
-    select req_id, item_id, round(score, 6) as score, rank from ({TOPK_SQL.format(src='mixed')}) where rank <= 10""")
-def flt8(spark, sf):
-    return categorical_blend(spark, sf, best_items(spark, sf, 20), 10)
-
-
 def categorical_blend(spark, sf, ranked, k):
     from pyspark.sql import Window
 
@@ -401,7 +389,7 @@ def categorical_blend(spark, sf, ranked, k):
 
 
 @query("top7_category_capped", b.with_("request_vectors", "item_vectors", **ALL_SCORES,
-      top=f"select t.*, label from ({TOPK_SQL.format(src='scored')}) t join items using (item_id) where rank <= 30",
+      top=f"select t.*, label from ({TOPK_SQL.format(src='scored')}) t join items using (item_id) where rank <= 40",
       cat="select *, row_number() over (partition by req_id, label order by rank) as in_cat from top",
       picked="select *, in_cat <= 2 and sum((in_cat <= 2)::int) over (partition by req_id order by rank) <= 8 as pick from cat",
       slotted="select *, row_number() over (partition by req_id order by pick desc, rank) as slot from picked") + """

@@ -19,8 +19,11 @@ KIND_SQL = _first_sql("label", vocab.TYPE_RULES, "'other'")
 
 # --- selection --------------------------------------------------------------------------------
 
-@query("jon17_used_item_exclusion", b.with_("request_vectors", "item_vectors", **ALL_SCORES, top=f"select * from ({TOPK_SQL.format(src='scored')}) where rank <= 10") + """
-    select req_id, item_id, rank from top t where not exists (select 1 from lineitem join orders on l_orderkey = o_orderkey where o_custkey = t.req_id and l_partkey = t.item_id)""")
+USED = dict(used="select distinct o_custkey as req_id, l_partkey as item_id from lineitem join orders on l_orderkey = o_orderkey")
+
+
+@query("jon17_used_item_exclusion", b.with_("request_vectors", "item_vectors", **ALL_SCORES, **USED, fresh="select * from scored anti join used using (req_id, item_id)") + f"""
+    select req_id, item_id, rank from ({TOPK_SQL.format(src='fresh')}) where rank <= 10""")
 def jon17(spark, sf):
     """Ranked items without those the customer already had."""
     li = b.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item_id"))
@@ -35,8 +38,8 @@ def top8(spark, sf):
     return diversity.round_robin(b.items(spark, sf).select("item_id", "label"), "label", "item_id", 30).select("item_id", "label", "round")
 
 
-@query("top9_best_per_type", b.with_("request_vectors", "item_vectors", **ALL_SCORES, top=f"select t.*, {KIND_SQL} as kind from ({TOPK_SQL.format(src='scored')}) t join items using (item_id) where rank <= 30",
-      k="select *, row_number() over (partition by req_id, kind order by score desc, item_id) as type_rank from top") + "select req_id, item_id, kind, type_rank from k where type_rank <= 2")
+@query("top9_best_per_type", b.with_("request_vectors", "item_vectors", **ALL_SCORES, typed=f"select t.*, {KIND_SQL} as kind from scored t join items using (item_id)",
+      k="select *, row_number() over (partition by req_id, kind order by score desc, item_id) as type_rank from typed") + "select req_id, item_id, kind, type_rank from k where type_rank <= 2")
 def top9(spark, sf):
     ranked = typed_candidates(spark, sf, 30)
     return diversity.best_per_type(ranked, "req_id", "kind", "score", 2, "item_id").select("req_id", "item_id", "kind", "type_rank")
@@ -64,7 +67,24 @@ def top15(spark, sf):
     return _unrolled(p).select("req_id", "pos", "item_id", "label")
 
 
-@query("seq1_transition_greedy")
+#: One step at a time: the state is the last pick, the items and the last two labels; the pool is that of the search.
+SEQ1_SQL = b.with_("request_vectors", "item_vectors", **ALL_SCORES,
+    cand=f"select t.*, label, energy, difficulty from ({TOPK_SQL.format(src='scored')}) t join items using (item_id) where rank <= 30",
+    opening="select * from cand qualify row_number() over (partition by req_id order by not (contains(label, 'basic') and rank <= 20), rank) = 1").replace("with ", "with recursive ", 1) + f""",
+    seq as (
+      select req_id, 0 as pos, item_id, label, energy, difficulty, score, [item_id] as used, [label] as labels from opening
+      union all
+      select req_id, pos, item_id, label, energy, difficulty, score, used, labels from (
+        select a.req_id, a.pos + 1 as pos, c.item_id, c.label, c.energy, c.difficulty, c.score, list_append(a.used, c.item_id) as used,
+          [a.label, c.label] as labels, row_number() over (partition by a.req_id order by round(
+            (c.score + case when c.item_id <> a.item_id and {COMPAT_SQL} then 0.4 * 0.3 else 0 end)
+              * case when list_contains(a.used, c.item_id) then 0.7 else 1.0 end
+            + case when a.pos >= 1 and not list_contains(a.labels, c.label) then 0.3 * 0.2 else 0 end, 9) desc, c.rank) as best
+        from seq a join cand c on a.req_id = c.req_id where a.pos < 7) where best = 1)
+    select req_id, pos::int as pos, item_id, label, round(score, 6) as score from seq"""
+
+
+@query("seq1_transition_greedy", SEQ1_SQL)
 def seq1(spark, sf):
     p = lists(spark, sf).withColumn("picked", folds.transition_greedy(F.col("cands"), "kind", 8, F.lit(0.3), F.lit(0.4)))
     return rounded(_unrolled(p).select("req_id", "pos", "item_id", "label", "score"))
