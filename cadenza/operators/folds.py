@@ -25,14 +25,14 @@ def _as_class(c: Column) -> dict[str, Column]:
     return {k: c[k] for k in CLASS}
 
 
-def transition_greedy(cands: Column, kind: str, steps: int, diversity, weight) -> Column:
-    """First a `basic` item, else the best; then arg-max of the adjusted score at each step.
+def transition_greedy(cands: Column, kind: str, steps: int, diversity, weight, opening: int = 20) -> Column:
+    """First a `basic` item of the `opening` best, else the best; then arg-max of the adjusted score at each step.
 
     +0.3 * weight for a compatible follower, times (1 - diversity) when used
     before, +0.2 * diversity when the label is not among the last two.
     """
     empty = F.slice(cands, 1, 0)
-    basics = F.filter(cands, lambda c: c["label"].contains("basic"))
+    basics = F.filter(cands, lambda c: c["label"].contains("basic") & (c["rank"] <= opening))
     first = F.slice(F.when(F.size(basics) > 0, basics).otherwise(cands), 1, 1)
 
     def step(picked, i):
@@ -127,7 +127,7 @@ def per_step_lists(cands: Column, steps: int, diversity: float, keep: int) -> Co
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.slice(cands, 1, 0), step)
 
 
-def usage_balanced(cands: Column, key: Column, steps: int, seed: int) -> Column:
+def usage_balanced(cands: Column, key: Column, steps: Column, seed: int) -> Column:
     """Rotate types, avoid the last two picks, least used first, seeded noise on the score."""
     types = F.array_distinct(F.transform(cands, lambda c: c["kind"]))
 
@@ -154,4 +154,4 @@ def usage_balanced(cands: Column, key: Column, steps: int, seed: int) -> Column:
         pick = F.when(coin, drawn).otherwise(F.element_at(ranked, 1)["c"])
         return F.concat(picked, F.array(pick))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.slice(cands, 1, 0), step)
+    return F.aggregate(F.sequence(F.lit(0), steps - 1), F.slice(cands, 1, 0), step)

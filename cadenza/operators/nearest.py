@@ -405,6 +405,7 @@ class MultiFactor:
 
     def __init__(self, weights: dict, tolerance: float = 10.0):
         self.w, self.tol = dict(weights), tolerance
+        self.slope = self.w["audio"] / 2.0
 
     def __call__(self, cos: np.ndarray, left: dict, right: dict) -> np.ndarray:
         gap = _gap(left, right)
@@ -430,6 +431,32 @@ class Within:
         return s
 
 
+class TempoBlend:
+    """0.3 * cosine + 0.7 * closeness in tempo; nothing beyond the tolerance."""
+
+    slope = 0.3
+
+    def __init__(self, tolerance: float):
+        self.tolerance = tolerance
+
+    def __call__(self, cos, left, right):
+        gap = np.abs(left["tempo"][:, None] - right["tempo"][None, :])
+        return np.where(gap <= self.tolerance, 0.3 * cos + 0.7 * (1.0 - gap / self.tolerance), -np.inf)
+
+
+class CategoricalBlend:
+    """Mean of cosine and categorical score (level 0.4, role 0.4, difficulty 0.2); nothing under a categorical 0.6. Role 1 goes with all."""
+
+    slope = 0.5
+
+    def __call__(self, cos, left, right):
+        a, b = left["role_code"][:, None], right["role_code"][None, :]
+        role = np.where((a == 1) | (b == 1) | (a == b), 1.0, 0.6)
+        step = np.abs(left["difficulty_rank"][:, None] - right["difficulty_rank"][None, :])
+        cat = 0.4 * _steps([1.0, 0.7, 0.3], left["energy_rank"], right["energy_rank"]) + 0.4 * role + 0.2 * np.maximum(0.0, 1.0 - step / 2.0)
+        return np.where(np.round(cat, DIGITS) >= 0.6, 0.5 * cos + 0.5 * cat, -np.inf)
+
+
 class NotSelf:
     """Another scorer with the pair of a row and itself left out."""
 

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions import encode, labels, scores, text, vectors, vocab
 from ..operators import graph
+from ..operators.bounded import bounded_topk
 from ..operators.diversity import capped_topk
-from ..operators.nearest import block_topk
+from ..operators.nearest import CategoricalBlend, TempoBlend, block_topk
 from ..operators.profiles import rounded
 from . import binding as b
 from .registry import query
-from .scoring import TOPK_SQL, best_items, categorical_blend
+from .scoring import TOPK_SQL, pool_size
 
 RANK = b.sql_rank
+ROLES = ["both", "lead_focus", "follow_focus"]
 SPACES = vocab.SPACE_WEIGHTS
 
 
@@ -164,12 +166,52 @@ def prj12(spark, sf):
     return rounded(q.select("req_id", F.size(v).alias("dim"), vectors.norm(v).alias("length"), vectors.vec_sum(F.slice(v, 385, 8)).alias("tempo_sum")))
 
 
+#: What a query vector depends on: requests that agree on these are one class.
+ASKED = ["style", "energy", "difficulty", "tempo", "role"]
+
+
+def request_classes(spark, sf, words, weights, keep=()):
+    """(req_id, rep) and the query vector of each rep, the smallest request of its class."""
+    asked = b.requests(spark, sf)
+    reps = asked.groupBy(*ASKED).agg(F.min("req_id").alias("rep"))
+    members = asked.join(reps, ASKED).select("req_id", "rep")
+    vecs = query_vectors(reps, words, weights).select(F.col("rep").alias("req_id"), "vec", *keep)
+    return members, vecs
+
+
+def to_members(found, members):
+    return found.withColumnRenamed("req_id", "rep").join(members, "rep").drop("rep")
+
+
 def search(spark, sf, weights, k, said=True):
+    """The k items nearest to each request; requests of one class are searched once."""
     words = F.concat_ws(" ", "style", "energy", "difficulty") if said else None
-    asked = query_vectors(b.requests(spark, sf), words, weights).select("req_id", "vec")
+    members, asked = request_classes(spark, sf, words, weights)
     found = unified_items(spark, sf).select("item_id", "vec")
-    sizes = b.table(spark, sf, "customer").count(), b.table(spark, sf, "part").count()
-    return block_topk(asked, found, "req_id", "item_id", k, sizes=sizes, left_rows=1024, right_rows=2048)
+    sizes = asked.count(), b.table(spark, sf, "part").count()
+    return to_members(block_topk(asked, found, "req_id", "item_id", k, sizes=sizes, left_rows=1024, right_rows=2048), members)
+
+
+def blended_search(spark, sf, words, weights, k, scorer, classes):
+    """The k items of the highest blend; the blend and its limits count before the ranking."""
+    attributes = {
+        "tempo": F.col("tempo").cast("double"), "energy_rank": scores.level_rank(F.col("energy")),
+        "difficulty_rank": scores.level_rank(F.col("difficulty")), "role_code": F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))}
+    own = [v.alias(c) for c, v in attributes.items() if c in classes]
+    members, asked = request_classes(spark, sf, words, weights, own)
+    found = unified_items(spark, sf).join(b.items(spark, sf).select("item_id", *own), "item_id").select("item_id", "vec", *classes)
+    best = bounded_topk(asked, found, "req_id", "item_id", k, scorer, classes, (asked.count(), b.table(spark, sf, "part").count()))
+    return to_members(best, members).select("req_id", "item_id", F.round("score", 6).alias("score"), "rank")
+
+
+def tempo_search(spark, sf, k, tolerance):
+    words = F.concat_ws(" ", "style", "energy", "difficulty")
+    return blended_search(spark, sf, words, vocab.TEMPO_SEARCH_WEIGHTS, k, TempoBlend(tolerance), ["tempo"])
+
+
+def categorical_search(spark, sf, k):
+    words = F.concat(F.col("energy"), F.lit(" energy moves for "), F.col("role"))
+    return blended_search(spark, sf, words, vocab.CATEGORICAL_SEARCH_WEIGHTS, k, CategoricalBlend(), ["energy_rank", "role_code", "difficulty_rank"])
 
 
 def _single_space(name, weights, said):
@@ -189,17 +231,7 @@ _single_space("top4_text_search", TEXT_ONLY, True)
         from near join requests r using (req_id) join items i using (item_id) where abs(i.tempo - r.tempo) <= 10""") + f"""
     select req_id, item_id, round(score, 6) as score, rank from ({TOPK_SQL.format(src='mixed')}) where rank <= 10""")
 def top5(spark, sf):
-    return tempo_rerank(spark, sf, search(spark, sf, vocab.TEMPO_SEARCH_WEIGHTS, 20), 10.0, 10)
-
-
-def tempo_rerank(spark, sf, found, tolerance, k):
-    j = found.join(b.requests(spark, sf).select("req_id", F.col("tempo").alias("want")), "req_id").join(
-        b.items(spark, sf).select("item_id", "tempo"), "item_id")
-    gap = F.abs(F.col("tempo") - F.col("want"))
-    s = j.where(gap <= tolerance).select("req_id", "item_id", F.round(F.col("score") * 0.3 + (1.0 - gap / tolerance) * 0.7, 9).alias("score"))
-    w = Window.partitionBy("req_id").orderBy(F.desc("score"), "item_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumns(
-        {"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+    return tempo_search(spark, sf, 10, 10.0)
 
 
 WANTED = "energy || ' energy moves for ' || role"
@@ -213,7 +245,7 @@ WANTED = "energy || ' energy moves for ' || role"
       mixed="select req_id, item_id, round(0.5 * score + 0.5 * cat, 9) as score from blend where round(cat, 9) >= 0.6") + f"""
     select req_id, item_id, round(score, 6) as score, rank from ({TOPK_SQL.format(src='mixed')}) where rank <= 10""")
 def flt8(spark, sf):
-    return categorical_blend(spark, sf, best_items(spark, sf, 20), 10)
+    return categorical_search(spark, sf, 10)
 
 
 @query("top10_oversampled_recommend", b.with_("requests", "items", **UNIFIED_SQL, **_asked_sql(SPACES), **_search_sql(30),
@@ -232,7 +264,7 @@ def top10(spark, sf):
 
 def recommend(spark, sf, k, mode="ordered", seed=0):
     """Fetch max(5k, 30), spread over labels, keep k, explain each."""
-    found = search(spark, sf, SPACES, max(5 * k, 30)).join(b.items(spark, sf).select("item_id", "label"), "item_id")
+    found = search(spark, sf, SPACES, pool_size(k)).join(b.items(spark, sf).select("item_id", "label"), "item_id")
     kept = capped_topk(found, "req_id", "label", k, mode=mode, seed=seed).select("req_id", "item_id", "place", "score")
     j = kept.join(b.requests(spark, sf).select("req_id", F.col("tempo").alias("want")), "req_id").join(b.items(spark, sf), "item_id")
     told = text.match_explanation(F.col("score"), F.abs(F.col("tempo") - F.col("want")), F.col("energy"), F.col("label"), F.col("notes"))
@@ -249,7 +281,9 @@ def top11(spark, sf):
     """Five varied rows of a filtered catalogue and the number of matches."""
     hit = b.items(spark, sf).where((F.col("difficulty") == "beginner") & F.col("tempo").between(100, 130)).select(
         "item_id", "label", F.abs(F.col("tempo") - 115).alias("gap"))
-    few = hit.orderBy("gap", "item_id").limit(30)  # the oversampled candidates of one report
+    # Of a label no row beyond its first six can be picked: one under the cap, five to fill. The report is one key.
+    by_label = Window.partitionBy("label").orderBy("gap", "item_id")
+    few = hit.withColumn("place", F.row_number().over(by_label)).where("place <= 6").drop("place")
     ranked = few.withColumn("one", F.lit(1)).withColumn("rank", F.row_number().over(Window.partitionBy("one").orderBy("gap", "item_id")))
     return capped_topk(ranked, "one", "label", 5).select("item_id", "label", "place", hit.agg(F.count(F.lit(1))).scalar().alias("total"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, vectors, vocab
+from ..operators.bounded import bounded_topk
 from ..operators.diversity import capped_topk
 from ..operators.nearest import (
     MultiFactor, NotSelf, Within, block_topk, coarse_topk, cosine_score,
@@ -257,9 +258,13 @@ def prj27(spark, sf):
 
 # --- top-k -----------------------------------------------------------------------
 
-def best_items(spark, sf, k, scorer=None, on=()):
+def best_items(spark, sf, k, group=None, exclude=None):
+    """The k best items of each request, or of each request and group: `group` is a column expression over the items."""
     left, right, sizes = b.scoring_sides(spark, sf)
-    return block_topk(left, right, "req_id", "item_id", k, scorer=scorer or MultiFactor(W), sizes=sizes, on=on)
+    if group is not None:
+        right = right.join(b.items(spark, sf).select("item_id", group.alias("group")), "item_id")
+    return bounded_topk(left, right, "req_id", "item_id", k, MultiFactor(W), ["tempo_lo", "tempo_hi", "energy_rank", "difficulty_rank"], sizes,
+                        group=None if group is None else "group", exclude=exclude)
 
 
 @query("top1_best_items", b.with_("request_vectors", "item_vectors", **ALL_SCORES) + f"""
@@ -372,20 +377,13 @@ def flt7(spark, sf):
     return p.where(F.col("score") >= 0.1).withColumn("score", F.round("score", 6))
 
 
-def categorical_blend(spark, sf, ranked, k):
-    from pyspark.sql import Window
+def pool_size(k):
+    """Candidates fetched for a varied selection of k."""
+    return max(5 * k, 30)
 
-    j = ranked.join(_prefixed(b.requests(spark, sf), "r_", {"req_id"}), "req_id").join(
-        _prefixed(b.items(spark, sf), "i_", {"item_id"}), "item_id")
-    cat = F.round(
-        scores.level_compat(F.col("r_energy"), F.col("i_energy")) * 0.4
-        + scores.role_compat(F.col("r_role"), F.col("i_role")) * 0.4
-        + scores.difficulty_compat(F.col("r_difficulty"), scores.level_rank(F.col("i_difficulty"))) * 0.2, 9)
-    kept = j.withColumn("cat", cat).where("cat >= 0.6").select(
-        "req_id", "item_id", F.round(F.col("score") * 0.5 + F.col("cat") * 0.5, 9).alias("score"))
-    w = Window.partitionBy("req_id").orderBy(F.desc("score"), "item_id")
-    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumns(
-        {"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
+
+def label_pool(spark, sf, k):
+    return best_items(spark, sf, pool_size(k)).join(b.items(spark, sf).select("item_id", "label"), "item_id")
 
 
 @query("top7_category_capped", b.with_("request_vectors", "item_vectors", **ALL_SCORES,
@@ -396,15 +394,13 @@ def categorical_blend(spark, sf, ranked, k):
     select req_id, item_id, label, row_number() over (partition by req_id order by rank) as place
     from slotted where slot <= 8""")
 def top7(spark, sf):
-    ranked = best_items(spark, sf, 30).join(b.items(spark, sf).select("item_id", "label"), "item_id")
-    return capped_topk(ranked, "req_id", "label", 8).select("req_id", "item_id", "label", "place")
+    return capped_topk(label_pool(spark, sf, 8), "req_id", "label", 8).select("req_id", "item_id", "label", "place")
 
 
 @query("top7_category_capped_sampled")
 def top7_sampled(spark, sf):
     """Seeded rank-weighted fill (without replacement)."""
-    ranked = best_items(spark, sf, 30).join(b.items(spark, sf).select("item_id", "label"), "item_id")
-    return capped_topk(ranked, "req_id", "label", 8, mode="weighted", seed=11).select("req_id", "item_id", "label", "place")
+    return capped_topk(label_pool(spark, sf, 8), "req_id", "label", 8, mode="weighted", seed=11).select("req_id", "item_id", "label", "place")
 
 
 @query("agg27_label_purity", b.with_("vecs", near="""

@@ -9,12 +9,14 @@ from ..operators import diversity, folds, timeline
 from ..operators.profiles import rounded
 from . import binding as b
 from .catalogue import _first_sql, truth_accuracy
-from .encoding import COMPAT_SQL, search, tempo_rerank
+from .encoding import COMPAT_SQL, categorical_search, search, tempo_search
 from .registry import query
-from .scoring import ALL_SCORES, TOPK_SQL, best_items, categorical_blend, with_style
+from .scoring import ALL_SCORES, TOPK_SQL, best_items, purchases, with_style
 
 RANK = b.sql_rank
 S = ["seq_id", "part_no"]
+#: Item types, numbered from 1 where a type is a group of a search.
+KINDS = [*dict.fromkeys(x[-1] for x in vocab.TYPE_RULES), "other"]
 KIND_SQL = _first_sql("label", vocab.TYPE_RULES, "'other'")
 
 # --- selection --------------------------------------------------------------------------------
@@ -25,11 +27,8 @@ USED = dict(used="select distinct o_custkey as req_id, l_partkey as item_id from
 @query("jon17_used_item_exclusion", b.with_("request_vectors", "item_vectors", **ALL_SCORES, **USED, fresh="select * from scored anti join used using (req_id, item_id)") + f"""
     select req_id, item_id, rank from ({TOPK_SQL.format(src='fresh')}) where rank <= 10""")
 def jon17(spark, sf):
-    """Ranked items without those the customer already had."""
-    li = b.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item_id"))
-    o = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("req_id"))
-    used = li.join(o, "l_orderkey").select("req_id", "item_id")
-    return best_items(spark, sf, 10).join(used, ["req_id", "item_id"], "left_anti").select("req_id", "item_id", "rank")
+    """The best ten items that the customer has not had yet: the exclusion counts before the ranking."""
+    return best_items(spark, sf, 10, exclude=purchases(spark, sf)).select("req_id", "item_id", "rank")
 
 
 @query("top8_round_robin", b.with_("items", r="select item_id, label, row_number() over (partition by label order by item_id) as round, min(item_id) over (partition by label) as first from items") + """
@@ -41,8 +40,10 @@ def top8(spark, sf):
 @query("top9_best_per_type", b.with_("request_vectors", "item_vectors", **ALL_SCORES, typed=f"select t.*, {KIND_SQL} as kind from scored t join items using (item_id)",
       k="select *, row_number() over (partition by req_id, kind order by score desc, item_id) as type_rank from typed") + "select req_id, item_id, kind, type_rank from k where type_rank <= 2")
 def top9(spark, sf):
-    ranked = typed_candidates(spark, sf, 30)
-    return diversity.best_per_type(ranked, "req_id", "kind", "score", 2, "item_id").select("req_id", "item_id", "kind", "type_rank")
+    """The two best items of every type for each request."""
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    best = best_items(spark, sf, 2, group=F.array_position(kinds, labels.type_of(F.col("label"))))
+    return best.select("req_id", "item_id", F.element_at(kinds, F.col("group").cast("int")).alias("kind"), F.col("rank").alias("type_rank"))
 
 
 def typed_candidates(spark, sf, k):
@@ -50,6 +51,15 @@ def typed_candidates(spark, sf, k):
     return best_items(spark, sf, k).join(i, "item_id").withColumn("kind", labels.type_of(F.col("label")))
 
 
+#: Items that a recommendation hands on to the sequence of a whole song.
+RECOMMENDED = 15
+
+
+def song_seconds():
+    """Length of the song of a request."""
+    return 30.0 + F.col("req_id") % 200
+
+
 FIELDS = ["item_id", "label", "energy", "difficulty", "duration", "kind", "score"]
 
 
@@ -63,7 +73,9 @@ def _unrolled(df, col="picked", extra=()):
 
 @query("top15_usage_balanced_pick")
 def top15(spark, sf):
-    p = lists(spark, sf, 12).withColumn("picked", folds.usage_balanced(F.col("cands"), F.col("req_id"), 10, 7))
+    """Picks for a whole song: one for every eight seconds, at least eight, out of the fifteen recommended."""
+    steps = F.greatest(F.lit(8), F.floor(song_seconds() / 8)).cast("int")
+    p = lists(spark, sf, RECOMMENDED).withColumn("picked", folds.usage_balanced(F.col("cands"), F.col("req_id"), steps, 7))
     return _unrolled(p).select("req_id", "pos", "item_id", "label")
 
 
@@ -111,8 +123,8 @@ def seq4(spark, sf):
     from .encoding import SEMANTIC
 
     opening = search(spark, sf, SEMANTIC, 10).groupBy("req_id").agg(F.count(F.lit(1)).alias("n_semantic"))
-    tempo = tempo_rerank(spark, sf, search(spark, sf, vocab.TEMPO_SEARCH_WEIGHTS, 30), 10.0, 15).groupBy("req_id").agg(F.count(F.lit(1)).alias("n_tempo"))
-    cat = categorical_blend(spark, sf, best_items(spark, sf, 40), 20).groupBy("req_id").agg(F.count(F.lit(1)).alias("n_categorical"))
+    tempo = tempo_search(spark, sf, 15, 10.0).groupBy("req_id").agg(F.count(F.lit(1)).alias("n_tempo"))
+    cat = categorical_search(spark, sf, 20).groupBy("req_id").agg(F.count(F.lit(1)).alias("n_categorical"))
     r = with_style(b.requests(spark, sf)).select("req_id", "tolerance", "diversity", "transition_weight", F.col("tempo").alias("song_tempo"), F.col("energy").alias("target_energy"))
     p = lists(spark, sf).join(r, "req_id").withColumn(
         "picked", folds.transition_greedy(F.col("cands"), "kind", 8, F.col("diversity"), F.col("transition_weight")))
@@ -130,7 +142,7 @@ def seq4(spark, sf):
 def seq5(spark, sf):
     """Requests x catalogue -> recommendations -> sequence -> timed slots -> metadata row."""
     seqs = lists(spark, sf).withColumn("picked", folds.transition_greedy(F.col("cands"), "kind", 8, F.lit(0.3), F.lit(0.4))).select(
-        "req_id", F.transform("picked", lambda p: p["item_id"]).alias("ids"), (30.0 + F.col("req_id") % 200).alias("target"))
+        "req_id", F.transform("picked", lambda p: p["item_id"]).alias("ids"), song_seconds().alias("target"))
     slots = timeline.fixed_slots(seqs, "ids", "target").join(b.items(spark, sf).select("item_id", "label", "difficulty"), "item_id")
     g = slots.groupBy("req_id").agg(
         F.count(F.lit(1)).alias("n_slots"), F.sum("seconds").alias("total_seconds"), F.count_distinct("item_id").alias("n_items"),

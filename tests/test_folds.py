@@ -59,8 +59,8 @@ def test_usage_balanced_never_repeats_last_two(spark):
     got = entry.queries()["top15_usage_balanced_pick"](spark, SF).toPandas().sort_values(["req_id", "pos"])
     for _, g in got.groupby("req_id"):
         ids = list(g.item_id)
-        assert len(ids) == 10
-        assert all(ids[i] not in ids[max(0, i - 2):i] for i in range(1, 10))
+        assert len(ids) == max(8, (30 + g.req_id.iloc[0] % 200) // 8)
+        assert all(ids[i] not in ids[max(0, i - 2):i] for i in range(1, len(ids)))
 
 
 def test_sequences_have_all_requests(spark):

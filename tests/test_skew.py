@@ -154,16 +154,6 @@ def test_capped_topk(spark, mode):
     assert sorted(map(tuple, got.values)) == sorted(map(tuple, again.values))
 
 
-def test_lsh_recall(spark):
-    import __spark_entry__ as entry
-
-    sf = "/root/testdata/sf0.001"
-    exact = entry.queries()["top2_exact_knn"](spark, sf).select("vec_id", "other").toPandas()
-    near = entry.queries()["top3_approximate_knn"](spark, sf).toPandas()
-    want, got = set(map(tuple, exact.values)), set(zip(near.a, near.b))
-    assert len(want & got) / len(want) > 0.5
-
-
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
 def test_approximate_knn_is_whole(spark, size):
     """Five neighbours for every vector, and a recall of 0.9 against the exact ones."""
