@@ -26,6 +26,11 @@ CELL_LEFT, CELL_RIGHT = 1 << 14, 1 << 16
 LEAST = -1e300
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To DIGITS places, halves up."""
+    return np.floor(x * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+
+
 def best_of_cell(lm, lc: dict, rm, rc: dict, right_id: str, k: int, scorer: Scorer, classes: list[str], used=None):
     """(left rows, right ids, scores) of the k best right rows of each left row, and how many pairs were scored.
 
@@ -75,6 +80,8 @@ def best_of_cell(lm, lc: dict, rm, rc: dict, right_id: str, k: int, scorer: Scor
             for lo in range(0, len(slots), 8 * TILE_RIGHT):
                 part = slots[lo: lo + 8 * TILE_RIGHT]
                 s = lm[mine[open_]] @ rm[part].T
+                if getattr(scorer, "of_reported", False):  # a blend of the similarity as a search reports it
+                    s = rounded(s)
                 s *= scorer.slope
                 s += base[np.ix_(open_, kind[lo: lo + 8 * TILE_RIGHT])]
                 scored += s.size
@@ -83,10 +90,10 @@ def best_of_cell(lm, lc: dict, rm, rc: dict, right_id: str, k: int, scorer: Scor
                 x, y = np.nonzero(s >= np.maximum(best[open_, :1] - 10.0 ** -DIGITS, LEAST))
                 if not len(x):
                     continue
-                value = np.round(s[x, y], DIGITS)
+                value = rounded(s[x, y])
                 held.append((open_[x], rc[right_id][order[part[y]]], value))
                 hit = np.unique(x)
-                both = np.concatenate((best[open_[hit]], np.round(s[hit], DIGITS)), axis=1)
+                both = np.concatenate((best[open_[hit]], rounded(s[hit])), axis=1)
                 best[open_[hit]] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
         if held:
             row, ids, s = (np.concatenate(x) for x in zip(*held))

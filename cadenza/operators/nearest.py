@@ -434,7 +434,7 @@ class Within:
 class TempoBlend:
     """0.3 * cosine + 0.7 * closeness in tempo; nothing beyond the tolerance."""
 
-    slope = 0.3
+    slope, of_reported = 0.3, True
 
     def __init__(self, tolerance: float):
         self.tolerance = tolerance
@@ -447,7 +447,7 @@ class TempoBlend:
 class CategoricalBlend:
     """Mean of cosine and categorical score (level 0.4, role 0.4, difficulty 0.2); nothing under a categorical 0.6. Role 1 goes with all."""
 
-    slope = 0.5
+    slope, of_reported = 0.5, True
 
     def __call__(self, cos, left, right):
         a, b = left["role_code"][:, None], right["role_code"][None, :]

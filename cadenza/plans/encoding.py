@@ -199,7 +199,7 @@ def blended_search(spark, sf, words, weights, k, scorer, classes):
         "difficulty_rank": scores.level_rank(F.col("difficulty")), "role_code": F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))}
     own = [v.alias(c) for c, v in attributes.items() if c in classes]
     members, asked = request_classes(spark, sf, words, weights, own)
-    found = unified_items(spark, sf).join(b.items(spark, sf).select("item_id", *own), "item_id").select("item_id", "vec", *classes)
+    found = unified_items(spark, sf).select("item_id", "vec").join(b.items(spark, sf).select("item_id", *own), "item_id")
     best = bounded_topk(asked, found, "req_id", "item_id", k, scorer, classes, (asked.count(), b.table(spark, sf, "part").count()))
     return to_members(best, members).select("req_id", "item_id", F.round("score", 6).alias("score"), "rank")
 

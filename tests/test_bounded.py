@@ -40,7 +40,10 @@ def brute(left, right, scorer, k, group=None, used=frozenset()):
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
     cols = lambda d: {c: d[c].to_numpy() for c in d if c != "vec"}
-    s = np.round(scorer(unit(left) @ unit(right).T, cols(left), cols(right)), 9)
+    cos = unit(left) @ unit(right).T
+    if getattr(scorer, "of_reported", False):
+        cos = bounded.rounded(cos)
+    s = bounded.rounded(scorer(cos, cols(left), cols(right)))
     out = set()
     for i in range(len(left)):
         for g in [None] if group is None else right[group].unique():
