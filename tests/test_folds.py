@@ -23,7 +23,7 @@ def compatible(a, b):
 
 
 def greedy(cands, steps, div, weight):
-    picked = [next((c for c in cands if "basic" in c.label), cands[0])]
+    picked = [next((c for c in cands if "basic" in c.label and c.rank <= 20), cands[0])]
     for i in range(1, steps):
         best = None
         for c in cands:
