@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import scores, vocab
 from ..operators.ordering import dense_index
 
-CLIP_FRAMES = 64  # a clip has at most this many frames
 SEQUENCE_SLOTS = 100  # a sequence has at most this many slots
 DAY = 86400
 
@@ -145,14 +144,13 @@ def day_of(t: Column) -> Column:
 
 
 def frames(spark, sf_dir) -> DataFrame:
-    """Ordered observations of a user, cut into clips of at most CLIP_FRAMES frames."""
+    """Ordered observations of a user; all of them are one song."""
     e = events(spark, sf_dir)
     # The unit only serves users above the row limit of dense_index, so it may be fine.
     idx = dense_index(e, ["user_id"], ["ts", "event_id"], F.date_trunc("minute", "ts"))
     return idx.select(
         "user_id",
-        F.floor(F.col("idx") / CLIP_FRAMES).alias("clip"),
-        (F.col("idx") % CLIP_FRAMES).alias("f"),
+        F.col("idx").alias("f"),
         "event_id", "ts", "t", "event_type", "value",
         (F.col("value") / 487.0).alias("x"),
         (F.get_json_object("props", "$.k").cast("double") / 100.0).alias("y"),
@@ -173,7 +171,7 @@ def pose_frames(spark, sf_dir) -> DataFrame:
         ),
     )
     return fr.join(vectors(spark, sf_dir), "vec_id").select(
-        "user_id", "clip", "f", F.col("x").alias("confidence"), landmarks.alias("landmarks")
+        "user_id", "f", F.col("x").alias("confidence"), landmarks.alias("landmarks")
     )
 
 
@@ -235,12 +233,12 @@ CTES = {
         vec[13] as cx, vec[14] as cy, item_id % 4 as direction,
         {_rank('energy')} as energy_rank, {_rank('difficulty')} as difficulty_rank from item_vectors""",
     "ev": "select *, epoch_us(ts) / 1e6 as t from events",
-    "frames": f"""
-        select user_id, idx // {CLIP_FRAMES} as clip, idx % {CLIP_FRAMES} as f, event_id, ts, t, event_type, value,
+    "frames": """
+        select user_id, idx as f, event_id, ts, t, event_type, value,
           value / 487.0 as x, (props->>'$.k')::double / 100.0 as y
         from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as idx from ev)""",
     "pose_frames": """
-        select user_id, clip, f, x as confidence, [{'x': vec[(j*2)%64+1], 'y': vec[(j*2+1)%64+1],
+        select user_id, f, x as confidence, [{'x': vec[(j*2)%64+1], 'y': vec[(j*2+1)%64+1],
           'z': vec[(j*2+7)%64+1], 'vis': abs(vec[j+1])} for j in range(0, 33)] as lm
         from (select *, event_id % (select n from nvec) as vec_id from frames) join vecs using (vec_id)""",
     "slots": f"""

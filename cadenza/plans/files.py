@@ -16,7 +16,7 @@ from .registry import query
 from .songs import detection_quality
 
 QUALITY_SQL = """select 0.4 * least(1, rate / 0.8) + 0.4 * least(1, conf / 0.6) + 0.2 * greatest(0, 1 - low / 0.2) as score, rate < 0.8 or conf < 0.6 or low > 0.2 as bad
-    from (select avg((y > 0.1)::int) as rate, avg(x) as conf, count(*) filter (x < 0.5) / count(*)::double as low from frames group by user_id, clip)"""
+    from (select avg((y > 0.1)::int) as rate, avg(x) as conf, count(*) filter (x < 0.5) / count(*)::double as low from frames group by user_id)"""
 SHARD = 500  # clips per catalogue document
 
 

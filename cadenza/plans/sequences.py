@@ -181,24 +181,24 @@ def win26_simple(spark, sf):
     return b.slots(spark, sf).select(*S, "pos", "item_id", (F.col("pos") * 10.0).alias("start"), F.lit(10.0).alias("seconds"))
 
 
-BEATS_SQL = dict(bt="""select user_id, clip, list((t - t0) / 9000 order by f) as bts from (select *, min(t) over (partition by user_id, clip) as t0 from frames where event_type in ('view', 'click')) group by 1, 2""",
+BEATS_SQL = dict(bt="""select user_id, list((t - t0) / 9000 order by f) as bts from (select *, min(t) over (partition by user_id) as t0 from frames where event_type in ('view', 'click')) group by 1""",
     x="select *, len(bts) as n, 60.0 / (90 + user_id % 61) as gap, unnest(range(0, 8)) as slot from bt",
     st="select *, case when slot * 4 < n then bts[slot * 4 + 1] else bts[n] + (slot * 4 - n + 1) * gap end as start, least(slot * 4 + 4, n - 1) as j from x",
     d="select *, greatest(6.0, least(15.0, case when j > slot * 4 and j < n then bts[j + 1] - start else 4 * gap end))::double as seconds from st",
-    k="select *, coalesce(max((start + seconds >= 90)::int) over (partition by user_id, clip order by slot rows between unbounded preceding and 1 preceding), 0) as done from d")
+    k="select *, coalesce(max((start + seconds >= 90)::int) over (partition by user_id order by slot rows between unbounded preceding and 1 preceding), 0) as done from d")
 
 
-@query("win27_beat_aligned", b.with_("frames", **BEATS_SQL) + "select user_id, clip, slot::int as slot, round(start, 5) as start, round(seconds, 5) as seconds from k where done = 0")
+@query("win27_beat_aligned", b.with_("frames", **BEATS_SQL) + "select user_id, slot::int as slot, round(start, 5) as start, round(seconds, 5) as seconds from k where done = 0")
 def win27(spark, sf):
     from pyspark.sql import Window
 
     from .series import beats
 
-    t0 = F.min("t").over(Window.partitionBy("user_id", "clip"))
-    bt = beats(spark, sf).withColumn("s", (F.col("t") - t0) / 9000).groupBy("user_id", "clip").agg(
-        F.array_sort(F.collect_list(F.struct("f", "s"))).alias("r")).select("user_id", "clip", F.transform("r", lambda r: r["s"]).alias("bts"))
+    t0 = F.min("t").over(Window.partitionBy("user_id"))
+    bt = beats(spark, sf).withColumn("s", (F.col("t") - t0) / 9000).groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("f", "s"))).alias("r")).select("user_id", F.transform("r", lambda r: r["s"]).alias("bts"))
     slots = timeline.beat_slots(bt, "bts", (90 + F.col("user_id") % 61), 8, 90.0)
-    return rounded(slots.select("user_id", "clip", "slot", "start", "seconds"), 5)
+    return rounded(slots.select("user_id", "slot", "start", "seconds"), 5)
 
 
 @query("win31_total_check", """

@@ -103,10 +103,10 @@ def jon12(spark, sf):
 
 # --- sections of a clip ----------------------------------------------------------------------
 
-SECTION_SQL = dict(c="select *, count(*) over (partition by user_id, clip) as n from frames",
+SECTION_SQL = dict(c="select *, count(*) over (partition by user_id) as n from frames",
     p="select *, (f >= n // 4)::int + (f >= n * 2 // 4)::int + (f >= n * 3 // 4)::int as part from c",
-    sec="""select user_id, clip, part, any_value(n) as n, count(*) * 1.7 as seconds, (any_value(n) * part // 4) * 1.7 as start, any_value(n) * 1.7 as song_seconds,
-      avg(x) * 0.6 as energy, 1 - stddev_pop(x) as stability from p group by 1, 2, 3""",
+    sec="""select user_id, part, any_value(n) as n, count(*) * 1.7 as seconds, (any_value(n) * part // 4) * 1.7 as start, any_value(n) * 1.7 as song_seconds,
+      avg(x) * 0.6 as energy, 1 - stddev_pop(x) as stability from p group by 1, 2""",
     kinds="""select *, case when part = 0 then 'intro' when part = 3 then 'outro' when seconds < 15 then 'bridge'
       when energy > 0.25 and start / song_seconds > 0.2 and start / song_seconds < 0.8 then 'chorus' when stability > 0.7 and energy > 0.15 and energy < 0.3 then 'verse'
       when energy < 0.2 and start / song_seconds > 0.3 and start / song_seconds < 0.7 then 'bridge' when energy > 0.25 then 'chorus' else 'verse' end as kind from sec""",
@@ -133,20 +133,20 @@ def sections(spark, sf):
     return g.withColumn("types", music.section_types(c("kind"), c("energy"), c("stability"), c("seconds")))
 
 
-@query("prj30_section_classification", b.with_("frames", **SECTION_SQL) + "select user_id, clip, part, kind, round(energy, 6) as energy, round(stability, 6) as stability from kinds")
+@query("prj30_section_classification", b.with_("frames", **SECTION_SQL) + "select user_id, part, kind, round(energy, 6) as energy, round(stability, 6) as stability from kinds")
 def prj30(spark, sf):
     return rounded(sections(spark, sf).select(*K, "part", "kind", "energy", "stability"))
 
 
-@query("prj31_section_types", b.with_("frames", **SECTION_SQL) + "select user_id, clip, part, kind, array_to_string(types, ',') as types from typed")
+@query("prj31_section_types", b.with_("frames", **SECTION_SQL) + "select user_id, part, kind, array_to_string(types, ',') as types from typed")
 def prj31(spark, sf):
     return sections(spark, sf).select(*K, "part", "kind", F.array_join("types", ",").alias("types"))
 
 
 @query("jon14_section_candidates", b.with_("frames", "items", **SECTION_SQL, k="select label, energy as level, count(*) as n from items group by 1, 2",
-      hit="""select t.user_id, t.clip, t.part, coalesce(sum(k.n) filter (len([z for z in t.types if contains(k.label, z)]) > 0
-        or abs(t.energy - case level when 'low' then 0.3 when 'medium' then 0.6 else 0.9 end) < 0.4), 0) as m from typed t, k group by 1, 2, 3""") + """
-    select user_id, clip, part, m::bigint as n_matching, case when m = 0 then (select count(*) from items) else m end::bigint as n_candidates from hit""")
+      hit="""select t.user_id, t.part, coalesce(sum(k.n) filter (len([z for z in t.types if contains(k.label, z)]) > 0
+        or abs(t.energy - case level when 'low' then 0.3 when 'medium' then 0.6 else 0.9 end) < 0.4), 0) as m from typed t, k group by 1, 2""") + """
+    select user_id, part, m::bigint as n_matching, case when m = 0 then (select count(*) from items) else m end::bigint as n_candidates from hit""")
 def jon14(spark, sf):
     """Candidates per section, from the catalogue's (label, level) counts: at most 36 classes."""
     k = b.items(spark, sf).groupBy("label", "energy").agg(F.count(F.lit(1)).alias("n"))
@@ -163,9 +163,9 @@ def jon14(spark, sf):
     return out.select(*K, "part", "n_matching", F.when(F.col("n_matching") == 0, total).otherwise(F.col("n_matching")).alias("n_candidates"))
 
 
-@query("prj19_level_detection", b.with_("frames", m="""select user_id, clip, least(1, avg(x) * 0.5) * 0.3 + least(1, (90 + user_id % 61) / 130.0) * 0.2 + least(1, avg(y) * 3000 / 2000) * 0.2
-      + least(1, avg(abs(x - y)) * 2.5) * 0.2 + least(1, var_pop(x) * 10) * 0.1 as s from frames group by user_id, clip""") + """
-    select user_id, clip, round(coalesce(s, 0), 6) as score, case when s < 0.35 then 'low' when s < 0.65 then 'medium' else 'high' end as level from m""")
+@query("prj19_level_detection", b.with_("frames", m="""select user_id, least(1, avg(x) * 0.5) * 0.3 + least(1, (90 + user_id % 61) / 130.0) * 0.2 + least(1, avg(y) * 3000 / 2000) * 0.2
+      + least(1, avg(abs(x - y)) * 2.5) * 0.2 + least(1, var_pop(x) * 10) * 0.1 as s from frames group by user_id""") + """
+    select user_id, round(coalesce(s, 0), 6) as score, case when s < 0.35 then 'low' when s < 0.65 then 'medium' else 'high' end as level from m""")
 def prj19(spark, sf):
     g = b.frames(spark, sf).groupBy(*K).agg(
         (F.avg("x") * 0.05).alias("rms"), (F.avg("y") * 3000).alias("centroid"), (F.avg(F.abs(F.col("x") - F.col("y"))) * 0.5).alias("percussive"),
@@ -175,8 +175,8 @@ def prj19(spark, sf):
     return rounded(g.select(*K, score.alias("score")).withColumn("level", music.level_of(c("score"))))
 
 
-@query("agg10_detection_quality", b.with_("frames", q="""select user_id, clip, avg((y > 0.1)::int) as rate, avg(x) as conf, stddev_pop(x) as sd, count(*) filter (x < 0.5) as low, count(*) as n from frames group by 1, 2""") + """
-    select user_id, clip, round(rate, 6) as rate, round(conf, 6) as confidence, round(sd, 6) as std, low as n_low,
+@query("agg10_detection_quality", b.with_("frames", q="""select user_id, avg((y > 0.1)::int) as rate, avg(x) as conf, stddev_pop(x) as sd, count(*) filter (x < 0.5) as low, count(*) as n from frames group by 1""") + """
+    select user_id, round(rate, 6) as rate, round(conf, 6) as confidence, round(sd, 6) as std, low as n_low,
       round(0.4 * least(1, rate / 0.8) + 0.4 * least(1, conf / 0.6) + 0.2 * greatest(0, 1 - low / n::double / 0.2), 6) as score,
       array_to_string([z for z in [case when rate < 0.8 then 'low_detection' end, case when conf < 0.6 then 'low_confidence' end, case when low / n::double > 0.2 then 'many_low_frames' end] if z is not null], ',') as issues from q""")
 def agg10(spark, sf):
@@ -212,38 +212,38 @@ def win17(spark, sf):
 from .series import COORD, POSED  # noqa: E402
 
 DYN = dict(**COORD,
-    w1="select *, cx - lag(cx) over w as vx, cy - lag(cy) over w as vy from posed window w as (partition by user_id, clip order by f)",
+    w1="select *, cx - lag(cx) over w as vx, cy - lag(cy) over w as vy from posed window w as (partition by user_id order by f)",
     w2="select *, sqrt(vx * vx + vy * vy) as speed from w1",
-    w3="select *, vx - lag(vx) over w as ax, vy - lag(vy) over w as ay, speed - lag(speed) over w as dspeed from w2 window w as (partition by user_id, clip order by f)",
+    w3="select *, vx - lag(vx) over w as ax, vy - lag(vy) over w as ay, speed - lag(speed) over w as dspeed from w2 window w as (partition by user_id order by f)",
     w4="select *, sqrt(ax * ax + ay * ay) as accel from w3",
-    w5="select *, abs(accel - lag(accel) over w) as daccel, sign(dspeed) - sign(lag(dspeed) over w) as turn from w4 window w as (partition by user_id, clip order by f)",
+    w5="select *, abs(accel - lag(accel) over w) as daccel, sign(dspeed) - sign(lag(dspeed) over w) as turn from w4 window w as (partition by user_id order by f)",
     w6="""select *, coalesce(daccel > avg(daccel) over g + stddev_pop(daccel) over g and daccel > lag(daccel) over w and daccel > lead(daccel) over w, false) or coalesce(abs(turn) > 1, false) as tr,
       sqrt(power(lm[28].x - lm[29].x, 2) + power(lm[28].y - lm[29].y, 2)) as foot_gap,
       (part_left_arm > 0.01)::int + (part_right_arm > 0.01)::int + (part_left_leg > 0.01)::int + (part_right_leg > 0.01)::int + (part_head > 0.01)::int as moving
-      from w5 window w as (partition by user_id, clip order by f), g as (partition by user_id, clip)""",
-    dyn="""select user_id, clip, count(*) as n, (max(cx) - min(cx)) * (max(cy) - min(cy)) as coverage, coalesce(1 / (1 + stddev_pop(speed) / (avg(speed) + 1e-6)), 0) as rhythm,
+      from w5 window w as (partition by user_id order by f), g as (partition by user_id)""",
+    dyn="""select user_id, count(*) as n, (max(cx) - min(cx)) * (max(cy) - min(cy)) as coverage, coalesce(1 / (1 + stddev_pop(speed) / (avg(speed) + 1e-6)), 0) as rhythm,
       coalesce(avg(speed), 0) as ms, coalesce(stddev_pop(speed), 0) as ss, coalesce(stddev_pop(accel), 0) as sa, count(*) filter (tr) as ntr, count(*) filter (turn <> 0) as nturn, count(speed) as m,
       """ + " + ".join(f"case when avg({j}) > 0 then least(1, stddev_pop({j}) / avg({j})) else stddev_pop({j}) / 180 end" for j in s.JOINT_NAMES) + """ as jsum,
       (""" + " + ".join(f"stddev_pop({j})" for j in vocab.JOINTS) + """) / 4 / 180 as complexity, sqrt(var_pop(cx) + var_pop(cy)) as sway, stddev_pop(foot_gap) as fg, stddev_pop(confidence) as cs,
-      coalesce(avg(moving), 0) as mm, coalesce(max(moving), 0) as mx from w6 group by 1, 2""",
+      coalesce(avg(moving), 0) as mm, coalesce(max(moving), 0) as mx from w6 group by 1""",
     scored="""select *, greatest(0, least(1, 0.25 * case when n < 2 then 0 else jsum / 5 end + 0.2 * least(1, coverage * 10)
         + 0.15 * case when m < 2 then 0 else 0.7 * least(1, case when ms > 1e-6 then ss / ms else ss * 100 end) + 0.3 * least(1, nturn / m::double * 2) end
-        + 0.15 * greatest(0, coalesce(cc, 0)) + 0.15 * least(1, ntr / dyn.n::double * 2) + 0.1 * (1 - rhythm))) as cplx from dyn join coord using (user_id, clip, n)""")
+        + 0.15 * greatest(0, coalesce(cc, 0)) + 0.15 * least(1, ntr / dyn.n::double * 2) + 0.1 * (1 - rhythm))) as cplx from dyn join coord using (user_id, n)""")
 
 
-@query("win18_complexity_score", b.with_("pose_frames", **DYN) + "select user_id, clip, n, round(cplx, 5)::double as complexity from scored")
+@query("win18_complexity_score", b.with_("pose_frames", **DYN) + "select user_id, n, round(cplx, 5)::double as complexity from scored")
 def win18(spark, sf):
     return rounded(clip_dynamics(spark, sf).select(*K, "n", cf.complexity_score().alias("complexity")), 5)
 
 
-@query("win19_tempo_range", b.with_("pose_frames", **DYN, sp="select user_id, clip, f - 1 as i, speed, avg(speed) over g as mu, stddev_pop(speed) over g as sd, count(*) over g as m from w2 where speed is not null window g as (partition by user_id, clip)",
-      ac="select a.user_id, a.clip, c.i - a.i as lag, any_value(a.m) as m, sum((a.speed - a.mu) / (a.sd + 1e-6) * (c.speed - c.mu) / (c.sd + 1e-6)) as z from sp a join sp c on a.user_id = c.user_id and a.clip = c.clip and c.i >= a.i group by 1, 2, 3",
-      rc="select user_id, clip, coalesce(case when any_value(m) >= 4 then greatest(0, max(z) filter (lag >= 2 and lag < m // 2) / max(z) filter (lag = 0)) end, 0) as rc from ac group by 1, 2",
-      r="""select user_id, clip, n, case when ms < 0.01 then -20 when ms > 0.05 then 10 else 0 end + case when ms < 0.01 then -15 when ms < 0.03 then 0 else 5 end
+@query("win19_tempo_range", b.with_("pose_frames", **DYN, sp="select user_id, f - 1 as i, speed, avg(speed) over g as mu, stddev_pop(speed) over g as sd, count(*) over g as m from w2 where speed is not null window g as (partition by user_id)",
+      ac="select a.user_id, c.i - a.i as lag, any_value(a.m) as m, sum((a.speed - a.mu) / (a.sd + 1e-6) * (c.speed - c.mu) / (c.sd + 1e-6)) as z from sp a join sp c on a.user_id = c.user_id and c.i >= a.i group by 1, 2",
+      rc="select user_id, coalesce(case when any_value(m) >= 4 then greatest(0, max(z) filter (lag >= 2 and lag < m // 2) / max(z) filter (lag = 0)) end, 0) as rc from ac group by 1",
+      r="""select user_id, n, case when ms < 0.01 then -20 when ms > 0.05 then 10 else 0 end + case when ms < 0.01 then -15 when ms < 0.03 then 0 else 5 end
         + case when complexity < 0.3 then -10 when complexity > 0.7 then -5 else 0 end + case when rc > 0.7 then -5 when rc < 0.3 then -15 else 0 end as a,
         case when ms < 0.01 then -10 when ms > 0.05 then 20 else 0 end + case when ms < 0.01 then -5 when ms < 0.03 then 0 else 15 end
-        + case when complexity < 0.3 then 10 when complexity > 0.7 then 5 else 0 end + case when rc > 0.7 then 5 when rc < 0.3 then 15 else 0 end as h from dyn join rc using (user_id, clip)""") + """
-    select user_id, clip, case when greatest(80, 90 + a) >= least(160, 150 + h) then least(160, 150 + h) - 10 else greatest(80, 90 + a) end::double as low, least(160, 150 + h)::double as high from r where n >= 2""")
+        + case when complexity < 0.3 then 10 when complexity > 0.7 then 5 else 0 end + case when rc > 0.7 then 5 when rc < 0.3 then 15 else 0 end as h from dyn join rc using (user_id)""") + """
+    select user_id, case when greatest(80, 90 + a) >= least(160, 150 + h) then least(160, 150 + h) - 10 else greatest(80, 90 + a) end::double as low, least(160, 150 + h)::double as high from r where n >= 2""")
 def win19(spark, sf):
     low, high = cf.tempo_range()
     return clip_dynamics(spark, sf).where("n >= 2").select(*K, low.alias("low"), high.alias("high"))
@@ -251,7 +251,7 @@ def win19(spark, sf):
 
 @query("win20_difficulty_score", b.with_("pose_frames", **DYN, z="""select *, 0.2 * least(1, ms * 20) + 0.2 * cplx + 0.15 * case when n < 2 then 0 else least(1, (0.6 * mm + 0.4 * mx) / 5) end
       + 0.15 * list_avg([q for q in [case when n > 1 then least(1, sway * 10) end, least(1, fg * 5), case when n > 1 then least(1, sa * 2) end, least(1, cs * 2)] if q is not null])
-      + 0.1 * (1 - rhythm) + 0.1 * least(1, coverage * 5) + 0.1 * least(1, ntr / n::double * 3) as d from scored""") + "select user_id, clip, round(greatest(0, least(1, d)), 5)::double as difficulty from z")
+      + 0.1 * (1 - rhythm) + 0.1 * least(1, coverage * 5) + 0.1 * least(1, ntr / n::double * 3) as d from scored""") + "select user_id, round(greatest(0, least(1, d)), 5)::double as difficulty from z")
 def win20(spark, sf):
     return rounded(clip_dynamics(spark, sf).select(*K, cf.difficulty_score().alias("difficulty")), 5)
 
@@ -265,8 +265,8 @@ def win21(spark, sf):
 FOOT = ", ".join(f"lm[{i + 1}]" for i in vocab.FOOT_POINTS)
 
 
-@query("win21_box_area", b.with_("pose_frames", pts=f"select user_id, clip, unnest([{FOOT}]) as p from pose_frames") + """
-    select user_id, clip, round((max(p.x) - min(p.x)) * (max(p.y) - min(p.y)), 6) as foot_box from pts group by 1, 2""")
+@query("win21_box_area", b.with_("pose_frames", pts=f"select user_id, unnest([{FOOT}]) as p from pose_frames") + """
+    select user_id, round((max(p.x) - min(p.x)) * (max(p.y) - min(p.y)), 6) as foot_box from pts group by 1""")
 def win21_box(spark, sf):
     p = b.pose_frames(spark, sf).select(*K, F.inline(F.array(*[F.get("landmarks", i) for i in vocab.FOOT_POINTS])))
     span = lambda c: F.max(c) - F.min(c)
