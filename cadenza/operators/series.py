@@ -1,13 +1,15 @@
-"""Time-series features of clips.
+"""Time-series features of whole songs, of any length.
 
-A clip is a bounded group (its frame count is limited), so windows and arrays
-per clip stay small; a hot source only has more clips.
+A song is cut into units of UNIT rows by the position of its rows. Windows run inside a unit that also holds the few rows
+around it that they reach (its halo); what they give is summed over units, partly before the shuffle. Values of the whole
+song (means, counts, limits) are aggregates that are joined back. Lag products and Fourier sums are worked out for pairs
+of units and added up. So no song is one sorted group or one array, and the unit has no part in a result.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,39 @@ from ..functions import pose, vectors, vocab
 from ..functions.music import flag
 
 
+#: Rows of a unit.
+UNIT = 4096
+#: Frequencies that one call works out.
+WAVES = 256
+
+
 def _w(keys: list[str], order: str = "f"):
-    return Window.partitionBy(*keys).orderBy(order)
+    """Order inside a unit; see `haloed`."""
+    return Window.partitionBy(*keys, "_u").orderBy(order)
+
+
+def unit_of(order: str = "f") -> Column:
+    return F.floor(F.col(order) / UNIT)
+
+
+def haloed(df: DataFrame, before: int, after: int, order: str = "f") -> DataFrame:
+    """Rows with their unit `_u`; rows near an end are also in the next unit, which reaches `before` rows back and `after` ahead.
+
+    `order` counts the rows of a song from 0.
+    """
+    u, at = unit_of(order), F.col(order) % UNIT
+    seats = F.array_compact(F.array(u, F.when((at < after) & (u > 0), u - 1), F.when(at >= UNIT - before, u + 1)))
+    return df.withColumn("_u", F.explode(seats))
+
+
+def own(df: DataFrame, order: str = "f") -> DataFrame:
+    """Every row once, in its own unit."""
+    return df.where(unit_of(order) == F.col("_u")).drop("_u")
+
+
+def with_whole(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
+    """Aggregates of the whole song on each of its rows."""
+    return df.join(df.groupBy(*keys).agg(*[c.alias(k) for k, c in aggs.items()]), keys, "left")
 
 
 def safe(x: Column, default: float = 0.0) -> Column:
@@ -26,7 +59,7 @@ def safe(x: Column, default: float = 0.0) -> Column:
 def kinematics(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Per frame: velocity, speed, acceleration, their changes, and transition marks."""
     w = _w(keys)
-    v = df.withColumns({"vx": F.col(x) - F.lag(x).over(w), "vy": F.col(y) - F.lag(y).over(w)})
+    v = haloed(df, 4, 1).withColumns({"vx": F.col(x) - F.lag(x).over(w), "vy": F.col(y) - F.lag(y).over(w)})
     v = v.withColumn("speed", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")))
     a = v.withColumns({
         "ax": F.col("vx") - F.lag("vx").over(w), "ay": F.col("vy") - F.lag("vy").over(w),
@@ -38,14 +71,12 @@ def kinematics(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> Da
         "daccel": F.abs(F.col("accel") - F.lag("accel").over(w)),
         "turn": F.signum("dspeed") - F.signum(F.lag("dspeed").over(w)),
     })
-    whole = Window.partitionBy(*keys)
-    limit = F.avg("daccel").over(whole) + F.stddev_pop("daccel").over(whole)
-    peak = (
-        (F.col("daccel") > limit)
-        & (F.col("daccel") > F.lag("daccel").over(w))
-        & (F.col("daccel") > F.lead("daccel").over(w))
-    )
-    return a.withColumn("is_transition", F.coalesce(peak, F.lit(False)) | F.coalesce(F.abs("turn") > 1, F.lit(False)))
+    a = own(a.withColumns({"_daccel_before": F.lag("daccel").over(w), "_daccel_after": F.lead("daccel").over(w)}))
+    a = with_whole(a, keys, _limit=F.avg("daccel") + F.stddev_pop("daccel"))
+    d = F.col("daccel")
+    peak = (d > F.col("_limit")) & (d > F.col("_daccel_before")) & (d > F.col("_daccel_after"))
+    return a.withColumn("is_transition", F.coalesce(peak, F.lit(False)) | F.coalesce(F.abs("turn") > 1, F.lit(False))).drop(
+        "_limit", "_daccel_before", "_daccel_after")
 
 
 def movement_aggs(x: str = "x", y: str = "y") -> list[Column]:
@@ -80,12 +111,12 @@ def movement(kin: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> Dat
 
 def moving_average(df: DataFrame, keys: list[str], value: str, name: str = "smooth") -> DataFrame:
     """Ten wide, zero padded: five rows before to four rows after, over ten."""
-    return df.withColumn(name, F.sum(value).over(_w(keys).rowsBetween(-5, 4)) / 10.0)
+    return own(haloed(df, 5, 4).withColumn(name, F.sum(value).over(_w(keys).rowsBetween(-5, 4)) / 10.0))
 
 
 def regularity(df: DataFrame, keys: list[str], t: str, at_least: int) -> DataFrame:
-    """1 - std/mean of the gaps between consecutive rows, in [0, 1]; 0.5 for too few rows."""
-    gaps = df.withColumn("_gap", F.col(t) - F.lag(t).over(_w(keys, t)))
+    """1 - std/mean of the gaps between consecutive rows, in [0, 1]; 0.5 for too few rows. `i` counts the rows."""
+    gaps = own(haloed(df, 1, 0, "i").withColumn("_gap", F.col(t) - F.lag(t).over(_w(keys, "i"))), "i")
     ratio = F.try_divide(F.stddev_pop("_gap"), F.avg("_gap"))
     ok = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - ratio))
     n = F.count(F.lit(1))
@@ -93,9 +124,8 @@ def regularity(df: DataFrame, keys: list[str], t: str, at_least: int) -> DataFra
 
 
 def measures(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Strong (1st, 3rd) over weak (2nd, 4th) beats of each complete group of four."""
-    i = F.row_number().over(_w(keys)) - 1
-    beats = df.withColumn("_i", i).withColumn("_m", F.floor(F.col("_i") / 4))
+    """Strong (1st, 3rd) over weak (2nd, 4th) beats of each complete group of four; `i` counts the beats."""
+    beats = df.withColumn("_i", F.col("i")).withColumn("_m", F.floor(F.col("_i") / 4))
     strong = F.sum(F.when(F.col("_i") % 2 == 0, F.col(value))) / 2.0
     weak = F.sum(F.when(F.col("_i") % 2 == 1, F.col(value))) / 2.0
     m = beats.groupBy(*keys, "_m").agg(F.count(F.lit(1)).alias("_c"), strong.alias("_s"), weak.alias("_w"))
@@ -106,9 +136,8 @@ def measures(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def alternation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Mean absolute difference of non-overlapping neighbours, doubled, at most 1."""
-    i = F.row_number().over(_w(keys)) - 1
-    pairs = df.withColumn("_p", F.floor(i / 2)).groupBy(*keys, "_p").agg(
+    """Mean absolute difference of non-overlapping neighbours, doubled, at most 1; `i` counts the beats."""
+    pairs = df.withColumn("_p", F.floor(F.col("i") / 2)).groupBy(*keys, "_p").agg(
         F.count(F.lit(1)).alias("_c"), (F.max(value) - F.min(value)).alias("_d"))
     n = F.sum("_c")
     total = safe(F.sum(F.when(F.col("_c") == 2, F.col("_d"))))
@@ -116,10 +145,14 @@ def alternation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         n.alias("n"), F.when(n < 4, 0.5).otherwise(F.least(F.lit(1.0), total / F.floor(n / 2) * 2)).alias("alternation"))
 
 
+def with_peaks(df: DataFrame, keys: list[str], value: str, name: str = "_pk") -> DataFrame:
+    w = _w(keys)
+    return own(haloed(df, 1, 1).withColumn(name, (F.col(value) > F.lag(value).over(w)) & (F.col(value) > F.lead(value).over(w))))
+
+
 def peak_density(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Strict local maxima over the number of rows."""
-    w = _w(keys)
-    m = df.withColumn("_pk", (F.col(value) > F.lag(value).over(w)) & (F.col(value) > F.lead(value).over(w)))
+    m = with_peaks(df, keys, value)
     n = F.count(F.lit(1))
     return m.groupBy(*keys).agg(n.alias("n"), (F.count_if("_pk") / n).alias("peak_density"))
 
@@ -134,71 +167,68 @@ def trend_and_shape(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.when((n < 3) | (F.stddev_pop(value) == 0), 0.0).otherwise(safe(F.skewness(value))).alias("skewness"))
 
 
-def series_array(value: str, order: str = "f") -> Column:
-    """Aggregate: the non-null values of a clip in order (a bounded array)."""
-    rows = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value))))
-    return column_of(rows, value)
-
-
 def column_of(rows, field: str) -> Column:
     """One field of an array of structs, as an array."""
     return F.transform(rows, lambda r: r[field])
 
 
-def _lagged(v: Column, k: Column) -> Column:
-    m = F.size(v)
-    return F.aggregate(
-        F.zip_with(F.slice(v, F.lit(1), m - k), F.slice(v, k + 1, m - k), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-
-def _centred(v: Column) -> Column:
-    return vectors.let(vectors.vec_mean(v), lambda m: F.transform(v, lambda x: x - m))
-
-
-def _peak_after(v: Column, first: int, floor: float) -> Column:
-    """Largest autocorrelation at lags first .. n/2 - 1 over lag 0 (+ floor)."""
-    last = F.floor(F.size(v) / 2).cast("int") - 1
-    peak = F.array_max(F.transform(F.sequence(F.lit(first), last), lambda k: _lagged(v, k)))
-    ratio = F.try_divide(peak, _lagged(v, F.lit(0)) + floor)
-    return F.when((F.size(v) >= 4) & (last >= first), ratio)
-
-
-def rhythm_compatibility(v: Column) -> Column:
-    """Secondary autocorrelation peak of the z-scored series (lags from 2)."""
-
-    def body(w):
-        std = F.sqrt(vectors.vec_var(w)) + 1e-6
-        z = vectors.let(std, lambda s: F.transform(_centred(w), lambda x: x / s))
-        return vectors.let(z, lambda u: safe(F.greatest(F.lit(0.0), _peak_after(u, 2, 0.0))))
-
-    return vectors.let(v, body)
-
-
-def movement_rhythm(v: Column) -> Column:
-    """Secondary autocorrelation peak of the centred series (lags from 1)."""
-    return vectors.let(_centred(v), lambda u: safe(_peak_after(u, 1, 1e-6)))
-
-
-def periodicity(v: Column) -> Column:
-    """Largest amplitude of the discrete Fourier transform over the sum, without the mean."""
-
-    def amplitudes(u):
-        n = F.size(u)
-        half = F.floor(n / 2).cast("int")
-
-        def amp(k):
-            def part(fn):
-                wave = F.transform(u, lambda x, i: x * fn(F.lit(2 * math.pi) * k * i / n))
-                return F.aggregate(wave, F.lit(0.0), lambda s, x: s + x)
-
-            re, im = part(F.cos), part(F.sin)
-            return F.sqrt(re * re + im * im)
-
-        a = F.transform(F.sequence(F.lit(1), half - 1), amp)
-        share = vectors.let(a, lambda b: F.array_max(b) / (vectors.vec_sum(b) + 1e-6))
-        return F.when((n >= 4) & (half > 1), share).otherwise(0.0)
-
-    return vectors.let(_centred(v), amplitudes)
+@F.pandas_udf("array<double>")
+def _products(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Sums of products of two pieces by the distance of their places, from -(len(a) - 1) on."""
+    return pd.Series([np.correlate(np.asarray(y), np.asarray(x), "full") for x, y in zip(a, b)])
+
+
+@F.pandas_udf("array<struct<re: double, im: double>>")
+def _waves(v: pd.Series, at: pd.Series, n: pd.Series, first: pd.Series) -> pd.Series:
+    """What a piece that begins at row `at` of n adds to the Fourier sums of WAVES frequencies from `first` on."""
+    out = []
+    for x, a, m, k0 in zip(v, at, n, first):
+        k = np.arange(k0, min(k0 + WAVES, m // 2))
+        angle = (np.outer(k, np.arange(a, a + len(x))) % m) * (2 * np.pi / m)
+        re, im = np.cos(angle) @ x, np.sin(angle) @ x
+        out.append([{"re": r, "im": i} for r, i in zip(re, im)])
+    return pd.Series(out)
+
+
+def _pieces(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """Units of the series less its mean, as arrays of at most UNIT values, with rows `_m` and rows before the first value."""
+    known = df.where(F.col(value).isNotNull())
+    d = with_whole(known, keys, _mu=F.avg(value), _m=F.count(F.lit(1)), _from=F.min(order))
+    d = d.withColumn("_i", F.col(order) - F.col("_from")).withColumn("_piece", F.floor(F.col("_i") / UNIT))
+    rows = F.array_sort(F.collect_list(F.struct("_i", (F.col(value) - F.col("_mu")).alias("x"))))
+    return d.groupBy(*keys, "_piece").agg(F.first("_m").alias("_m"), rows.alias("_v")).withColumn("_v", column_of("_v", "x"))
+
+
+def autocorrelation(df: DataFrame, keys: list[str], value: str, order: str = "f") -> DataFrame:
+    """Per song `rhythm_compatibility` (largest lag product from lag 2 on over that of lag 0) and `movement_rhythm` (from lag 1).
+
+    Lags go up to n/2 - 1; both are 0 for fewer than four values. The values of a song follow each other without a gap.
+    """
+    p = _pieces(df, keys, value, order)
+    last = F.floor((F.col("_m") - 1) / UNIT)
+    reach = F.least(last, F.col("_piece") + F.floor(F.col("_m") / 2 / UNIT) + 1)
+    a = p.withColumn("_other", F.explode(F.sequence("_piece", reach)))
+    b = p.select(*keys, F.col("_piece").alias("_other"), F.col("_v").alias("_w"))
+    sums = a.join(b, [*keys, "_other"]).select(
+        *keys, "_m", ((F.col("_other") - F.col("_piece")) * UNIT - F.size("_v") + 1).alias("_low"), F.posexplode(_products("_v", "_w")).alias("_at", "_r"))
+    by_lag = sums.withColumn("_lag", F.col("_low") + F.col("_at")).where("_lag >= 0 and (_lag = 0 or _lag < floor(_m / 2))")
+    by_lag = by_lag.groupBy(*keys, "_lag").agg(F.first("_m").alias("_m"), F.sum("_r").alias("_r"))
+    zero, enough = F.max(F.when(F.col("_lag") == 0, F.col("_r"))), F.max("_m") >= 4
+    peak = lambda first: F.when(enough, F.max(F.when(F.col("_lag") >= first, F.col("_r"))))
+    return by_lag.groupBy(*keys).agg(
+        F.greatest(F.lit(0.0), safe(F.try_divide(peak(2), zero))).alias("rhythm_compatibility"),
+        safe(peak(1) / (zero + 1e-6)).alias("movement_rhythm"))
+
+
+def spectrum(df: DataFrame, keys: list[str], value: str, order: str = "f") -> DataFrame:
+    """Per song `periodicity`: the largest amplitude of the discrete Fourier transform over the sum, without the mean."""
+    p = _pieces(df, keys, value, order)
+    blocks = F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("_m") / 2) - 1), F.lit(WAVES).cast("long"))
+    part = p.withColumn("_first", F.explode(blocks)).select(
+        *keys, "_first", F.posexplode_outer(_waves("_v", F.col("_piece") * UNIT, "_m", "_first")).alias("_at", "_z"))
+    wave = part.groupBy(*keys, (F.col("_first") + F.col("_at")).alias("_k")).agg(F.sum("_z.re").alias("re"), F.sum("_z.im").alias("im"))
+    amplitude = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    return wave.groupBy(*keys).agg(safe(F.max(amplitude) / (F.sum(amplitude) + 1e-6)).alias("periodicity"))
 
 
 def with_path_columns(kin: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
@@ -208,7 +238,7 @@ def with_path_columns(kin: DataFrame, keys: list[str], x: str = "x") -> DataFram
     angle = F.when(
         (F.col("speed") > 1e-6) & (F.col("prev_speed") > 1e-6),
         F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
-    return kin.withColumns({"_side": F.col(x) - F.avg(x).over(Window.partitionBy(*keys)), "_angle": angle})
+    return with_whole(kin, keys, _mid=F.avg(x)).withColumns({"_side": F.col(x) - F.col("_mid"), "_angle": angle}).drop("_mid")
 
 
 def path_aggs(x: str = "x", y: str = "y", prefix: str = "") -> list[Column]:
@@ -237,12 +267,11 @@ def path_descriptors(kin: DataFrame, keys: list[str], x: str = "x", y: str = "y"
 
 def equal_parts(df: DataFrame, keys: list[str], value: str, parts: int = 4) -> DataFrame:
     """Mean value per part by both cut rules: size n // parts, and bounds int(i * n / parts)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     size = F.floor(F.col("_n") / parts)
     by_size = F.least(F.when(size > 0, F.floor(F.col("f") / size)).otherwise(parts - 1), F.lit(parts - 1))
     cut = lambda i: F.floor(F.col("_n") * i / parts)
     by_bound = sum((F.when(F.col("f") >= cut(i), 1).otherwise(0) for i in range(2, parts)), F.when(F.col("f") >= cut(1), 1).otherwise(0))
-    d = df.withColumn("_n", n).withColumns({"_a": by_size, "_b": by_bound})
+    d = with_whole(df, keys, _n=F.count(F.lit(1))).withColumns({"_a": by_size, "_b": by_bound})
     return d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[safe(F.avg(F.when(F.col("_a") == i, F.col(value)))).alias(f"size_{i}") for i in range(parts)],
@@ -279,7 +308,7 @@ def correlation(a, b) -> Column:
 def posed(df: DataFrame, keys: list[str]) -> DataFrame:
     """Pose frames with angles, centre, box and the displacement of every body group."""
     lm = F.col("landmarks")
-    base = df.withColumn("_before", F.lag("landmarks").over(_w(keys)))
+    base = own(haloed(df, 1, 0).withColumn("_before", F.lag("landmarks").over(_w(keys))))
     x0, width = pose.extent(lm, "x")
     y0, height = pose.extent(lm, "y")
     groups = {
@@ -290,6 +319,7 @@ def posed(df: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "f", "confidence", "landmarks",
         *[pose.joint_angle(lm, j).alias(j) for j in vocab.JOINTS], pose.torso_lean(lm).alias("torso_lean"),
         pose.centre(lm, "x").alias("cx"), pose.centre(lm, "y").alias("cy"),
+        F.sqrt(sum((F.pow(pose.centre(lm, k) - pose.centre(F.col("_before"), k), 2.0) for k in "xy"), F.lit(0.0))).alias("centre_step"),
         x0.alias("box_x"), y0.alias("box_y"), width.alias("box_w"), height.alias("box_h"),
         *[pose.mean_step(lm, F.col("_before"), pts).alias(name) for name, pts in groups.items()],
     )
@@ -300,11 +330,9 @@ JOINT_NAMES = [*vocab.JOINTS, "torso_lean"]
 
 def intensity(posed_df: DataFrame, keys: list[str]) -> DataFrame:
     """0.7 * mean normalised joint offset + 0.3 * centre step, per frame."""
-    w = _w(keys)
     offsets = [F.abs(F.col(j) - (0.0 if j == "torso_lean" else 180.0)) / 180.0 for j in JOINT_NAMES]
     mean = sum(offsets[1:], offsets[0]) / float(len(offsets))
-    step = F.sqrt(F.pow(F.col("cx") - F.lag("cx").over(w), 2.0) + F.pow(F.col("cy") - F.lag("cy").over(w), 2.0))
-    return posed_df.withColumn("intensity", mean * 0.7 + safe(step) * 0.3)
+    return posed_df.withColumn("intensity", mean * 0.7 + safe(F.col("centre_step")) * 0.3)
 
 
 def coordination_aggs() -> list[Column]:

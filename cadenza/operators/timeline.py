@@ -28,8 +28,11 @@ def natural_slots(slots: DataFrame, keys: list[str], order: str, seconds: str, t
 
 
 def beat_slots(songs: DataFrame, beats: str, tempo: Column, items: int, target: float | None = None) -> DataFrame:
-    """Every four beats, 6 to 15 seconds, extrapolated past the last beat; stops at the target."""
-    n = F.size(beats)
+    """Every four beats, 6 to 15 seconds, extrapolated past the last beat; stops at the target.
+
+    `n` counts all beats of a song; the array needs the first 4 * items + 1 of them.
+    """
+    n = F.col("n")
     s = songs.where(n > 0).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(items - 1))))
     i = F.col("slot") * 4
     gap = 60.0 / tempo
@@ -39,7 +42,7 @@ def beat_slots(songs: DataFrame, beats: str, tempo: Column, items: int, target:
     s = s.withColumn("start", start).withColumn("seconds", F.greatest(F.lit(6.0), F.least(F.lit(15.0), length)))
     if target is not None:
         done = (F.col("start") + F.col("seconds") >= target).cast("int")
-        keys = [c for c in songs.columns if c != beats]
+        keys = [c for c in songs.columns if c not in (beats, "n")]
         before = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
         s = s.withColumn("_done", F.coalesce(F.max(done).over(before), F.lit(0))).where("_done = 0").drop("_done")
     return s.drop(beats)

@@ -190,13 +190,12 @@ BEATS_SQL = dict(bt="""select user_id, list((t - t0) / 9000 order by f) as bts f
 
 @query("win27_beat_aligned", b.with_("frames", **BEATS_SQL) + "select user_id, slot::int as slot, round(start, 5) as start, round(seconds, 5) as seconds from k where done = 0")
 def win27(spark, sf):
-    from pyspark.sql import Window
-
     from .series import beats
 
-    t0 = F.min("t").over(Window.partitionBy("user_id"))
-    bt = beats(spark, sf).withColumn("s", (F.col("t") - t0) / 9000).groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("f", "s"))).alias("r")).select("user_id", F.transform("r", lambda r: r["s"]).alias("bts"))
+    # Eight slots of four beats read the first 33 beats, and the number of all.
+    first = F.array_sort(F.collect_list(F.when(F.col("i") <= 32, F.struct("i", "t"))))
+    bt = beats(spark, sf).groupBy("user_id").agg(first.alias("r"), F.min("t").alias("t0"), F.count(F.lit(1)).alias("n")).select(
+        "user_id", "n", F.transform("r", lambda r: (r["t"] - F.col("t0")) / 9000).alias("bts"))
     slots = timeline.beat_slots(bt, "bts", (90 + F.col("user_id") % 61), 8, 90.0)
     return rounded(slots.select("user_id", "slot", "start", "seconds"), 5)
 

@@ -1,4 +1,4 @@
-"""Time-series features on clips of the event stream."""
+"""Time-series features of songs: all observations of a user, in order."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pose, vectors, vocab
 from ..operators import series as s
+from ..operators.ordering import dense_index
 from ..operators.profiles import rounded
 from . import binding as b
 from .registry import query
@@ -53,7 +54,9 @@ BEATS = dict(beats="select * from frames where event_type in ('view', 'click')")
 
 
 def beats(spark, sf):
-    return b.frames(spark, sf).where(F.col("event_type").isin("view", "click"))
+    """The beats of a song, numbered from 0."""
+    e = b.frames(spark, sf).where(F.col("event_type").isin("view", "click"))
+    return dense_index(e, K, ["f"], s.unit_of(), name="i")
 
 
 @query("win3_interval_regularity", b.with_("frames", **BEATS, g="select user_id, t - lag(t) over (partition by user_id order by t) as gap from beats") + """
@@ -81,9 +84,7 @@ def win5(spark, sf):
 
 @query("win6_transition_points", b.with_("frames", **KIN) + "select user_id, f - 2 as point from kin where is_transition")
 def win6(spark, sf):
-    points = F.array_sort(F.collect_list(F.when(F.col("is_transition"), F.col("f") - 2)))
-    out = kin(spark, sf).groupBy(*K).agg(F.array_join(points, ",").alias("points"), F.count_if("is_transition").alias("n_points"))
-    return out.where("n_points > 0")
+    return kin(spark, sf).where("is_transition").select(*K, (F.col("f") - 2).alias("point"))
 
 
 @query("win7_peak_density", b.with_("frames", p="""select user_id, value > lag(value) over w and value > lead(value) over w as pk from frames
@@ -93,25 +94,19 @@ def win7(spark, sf):
     return rounded(s.peak_density(b.frames(spark, sf), K, "value"))
 
 
-# --- arrays of a clip ---------------------------------------------------------------------
+# --- lags and waves ---------------------------------------------------------------------
 
 AUTO = dict(**KIN, sp="select user_id, f - 1 as i, speed, count(*) over g as m, avg(speed) over g as mu, stddev_pop(speed) over g as sd from kin where speed is not null window g as (partition by user_id)",
     ac="""select a.user_id, c.i - a.i as lag, any_value(a.m) as m, sum((a.speed - a.mu) / (a.sd + 1e-6) * (c.speed - c.mu) / (c.sd + 1e-6)) as z,
       sum((a.speed - a.mu) * (c.speed - c.mu)) as r from sp a join sp c on a.user_id = c.user_id and c.i >= a.i group by 1, 2""")
 
 
-def speed_arrays(spark, sf):
-    return kin(spark, sf).groupBy(*K).agg(s.series_array("speed").alias("v")).where(F.size("v") > 0)
-
-
 @query("win10_autocorrelation_peak", b.with_("frames", **AUTO) + """
     select user_id, round(coalesce(case when any_value(m) >= 4 then greatest(0, max(z) filter (lag >= 2 and lag < m // 2) / max(z) filter (lag = 0)) end, 0), 6) as rhythm_compatibility,
       round(coalesce(case when any_value(m) >= 4 then max(r) filter (lag >= 1 and lag < m // 2) / (max(r) filter (lag = 0) + 1e-6) end, 0), 6) as movement_rhythm
     from ac group by 1""")
 def win10(spark, sf):
-    v = F.col("v")
-    return rounded(speed_arrays(spark, sf).select(
-        *K, s.rhythm_compatibility(v).alias("rhythm_compatibility"), s.movement_rhythm(v).alias("movement_rhythm")))
+    return rounded(s.autocorrelation(kin(spark, sf), K, "speed"))
 
 
 @query("win11_spectral_concentration", b.with_("frames", **AUTO, amp="""select user_id, k, sqrt(power(sum((speed - mu) * cos(2 * pi() * k * i / m)), 2) + power(sum((speed - mu) * sin(2 * pi() * k * i / m)), 2)) as a
@@ -119,7 +114,7 @@ def win10(spark, sf):
       conc="select user_id, max(a) / (sum(a) + 1e-6) as p from amp group by 1") + """
     select user_id, round(coalesce(p, 0), 6) as periodicity from (select distinct user_id from sp) left join conc using (user_id)""")
 def win11(spark, sf):
-    return rounded(speed_arrays(spark, sf).select(*K, s.periodicity(F.col("v")).alias("periodicity")))
+    return rounded(s.spectrum(kin(spark, sf), K, "speed"))
 
 
 @query("win12_path_descriptors", b.with_("frames", **KIN, m="""select *, avg(x) over (partition by user_id) as mid,

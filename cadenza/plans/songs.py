@@ -1,4 +1,4 @@
-"""Beats, onsets, sections and feature vectors of songs and clips."""
+"""Beats, onsets, sections and feature vectors of songs."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from ..operators.profiles import rounded
 from . import binding as b
 from .registry import query
 from .series import K
+from .series import beats as song_beats
 
 HOUR = 3600.0
 BEAT = dict(beats="select user_id, t, event_id, row_number() over (partition by user_id order by t, event_id) - 1 as i, count(*) over (partition by user_id) as n from ev where event_type in ('view', 'click')",
@@ -101,7 +102,7 @@ def jon12(spark, sf):
     return rounded(j.groupBy("user_id", "k").agg(n.alias("n_beats"), F.when(n > 3, steady).otherwise(0.5).alias("stability")))
 
 
-# --- sections of a clip ----------------------------------------------------------------------
+# --- sections of a song ----------------------------------------------------------------------
 
 SECTION_SQL = dict(c="select *, count(*) over (partition by user_id) as n from frames",
     p="select *, (f >= n // 4)::int + (f >= n * 2 // 4)::int + (f >= n * 3 // 4)::int as part from c",
@@ -120,11 +121,10 @@ SECTION_SQL = dict(c="select *, count(*) over (partition by user_id) as n from f
 
 
 def sections(spark, sf):
-    """Four sections per clip with energy, stability, times, kind and recommended types."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*K))
+    """Four sections per song with energy, stability, times, kind and recommended types."""
     cut = lambda i: F.floor(F.col("n") * i / 4)
     part = F.when(F.col("f") >= cut(3), 3).when(F.col("f") >= cut(2), 2).when(F.col("f") >= cut(1), 1).otherwise(0)
-    d = b.frames(spark, sf).withColumn("n", n).withColumn("part", part)
+    d = s.with_whole(b.frames(spark, sf), K, n=F.count(F.lit(1))).withColumn("part", part)
     g = d.groupBy(*K, "part").agg(
         F.max("n").alias("n"), (F.count(F.lit(1)) * 1.7).alias("seconds"), (F.avg("x") * 0.6).alias("energy"), (1.0 - F.stddev_pop("x")).alias("stability"))
     g = g.withColumns({"start": F.floor(F.col("n") * F.col("part") / 4) * 1.7, "song_seconds": F.col("n") * 1.7})
@@ -302,9 +302,9 @@ def song_frames(spark, sf):
 def song_summary(spark, sf):
     """Frame summary joined with the song's rhythm, tempo and sections."""
     fr = song_frames(spark, sf)
-    gap = F.col("t") - F.lag("t").over(Window.partitionBy(*K).orderBy("f"))
-    gaps = fr.select(*K, gap.alias("g")).groupBy(*K).agg(s.safe(F.avg("g"), 0.5).alias("gap_mean"), s.safe(F.stddev_pop("g"), 0.1).alias("gap_std"), s.safe(F.sum("g")).alias("seconds"))
-    rhythm = s.regularity(b.frames(spark, sf).where(F.col("event_type").isin("view", "click")), K, "t", 8).select(*K, F.col("regularity").alias("_r"))
+    gap = F.col("t") - F.lag("t").over(s._w(K))
+    gaps = s.own(s.haloed(fr.select(*K, "f", "t"), 1, 0).withColumn("g", gap)).groupBy(*K).agg(s.safe(F.avg("g"), 0.5).alias("gap_mean"), s.safe(F.stddev_pop("g"), 0.1).alias("gap_std"), s.safe(F.sum("g")).alias("seconds"))
+    rhythm = s.regularity(song_beats(spark, sf), K, "t", 8).select(*K, F.col("regularity").alias("_r"))
     sec = sections(spark, sf)
     per = sec.groupBy(*K).agg(
         F.count(F.lit(1)).alias("n_sections"),
