@@ -1,4 +1,4 @@
-"""128-entry vectors of a song from its frames (bounded group per song)."""
+"""128-entry vectors of a song from its frames, however many."""
 
 from __future__ import annotations
 
@@ -12,7 +12,12 @@ from . import series as s
 def frame_summary(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Means, stds and shapes of the frame features: mfcc[13], chroma[12], centroid, rms, zcr."""
     w = s._w(keys)
-    d = frames.withColumn("_prev", F.lag("mfcc").over(w))
+    smooth = F.col("smooth")
+    d = s.haloed(frames, 1, 1).withColumns({
+        "_prev": F.lag("mfcc").over(w), "_peak": (smooth > F.lag(smooth).over(w)) & (smooth > F.lead(smooth).over(w))})
+    d = s.with_whole(s.own(d), keys, _n=F.count(F.lit(1)), _mid=F.avg("smooth"))
+    size = F.floor(F.col("_n") / 4)
+    part = F.least(F.lit(3), F.when(size > 0, F.floor(F.col("f") / size)).otherwise(3))
     n = F.count(F.lit(1))
     delta = lambda i: F.get("mfcc", i) - F.get("_prev", i)
 
@@ -30,7 +35,8 @@ def frame_summary(frames: DataFrame, keys: list[str]) -> DataFrame:
     aggs += [
         s.safe(F.regr_slope("smooth", "f")).alias("smooth_slope"),
         *[F.percentile("smooth", q / 100).alias(f"smooth_p{q}") for q in (10, 25, 50, 75, 90)],
-        s.series_array("smooth").alias("smooth_all"),
+        F.avg((smooth > F.col("_mid")).cast("double")).alias("smooth_high"), F.when(n >= 3, F.count_if("_peak") / n).otherwise(0.0).alias("smooth_peaks"),
+        *[s.safe(F.avg(F.when(part == i, smooth))).alias(f"smooth_part_{i}") for i in range(4)],
         F.avg(F.abs("harmonic")).alias("harmonic"), F.avg(F.abs("percussive")).alias("percussive")]
     return d.groupBy(*keys).agg(*aggs)
 
@@ -46,15 +52,12 @@ def song_vector() -> Column:
     spectral = F.array(
         mean / 11025.0, std / 11025.0, c("centroid_range") / 11025.0, c("centroid_skew"), mean / 11025.0, std / (mean + 1e-6),
         F.least(F.lit(1.0), mean / 2000.0), _flag(mean > 1500))
-    n = F.size("smooth_all")
-    high = vectors.let(c("smooth_mean"), lambda m: F.size(F.filter("smooth_all", lambda x: x > m))) / n
+    n, high = c("n"), c("smooth_high")
     energy = F.array(
         c("smooth_mean"), c("smooth_std"), c("smooth_range"), c("smooth_std") * c("smooth_std"), high, c("smooth_skew"),
         F.when(n < 3, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c("smooth_slope") * n))),
         *[c(f"smooth_p{q}") for q in (10, 25, 50, 75, 90)], _flag(c("smooth_mean") > 0.3), _flag(c("smooth_std") > 0.1), c("smooth_mean") * c("rhythm"))
-    size = F.floor(n / 4).cast("int")
-    parts = [vectors.vec_mean(F.slice("smooth_all", size * i + 1, size)) for i in range(3)]
-    parts.append(vectors.vec_mean(F.slice("smooth_all", size * 3 + 1, n - size * 3)))
+    parts = [c(f"smooth_part_{i}") for i in range(4)]
     f = s.structure_features(parts)
     middle = (parts[1] + parts[2]) / 2.0
     shape = F.array(
@@ -82,8 +85,7 @@ def fusion_vector() -> Column:
         c("centroid_mean"), c("centroid_std"), c("centroid_range"), c("centroid_skew"), c("zcr_mean"), c("zcr_std"), c("rms_mean"), c("rms_std"), c("rms_range"),
         c("harmonic") / (c("harmonic") + c("percussive") + 1e-6), c("smooth_std") * c("smooth_std"), c("smooth_slope"), c("rhythm"), c("sync"), F.lit(0.8),
         c("tempo") / 150.0)
-    peaks = F.size(F.filter(F.sequence(F.lit(1), F.size("smooth_all") - 2), lambda i: (F.get("smooth_all", i) > F.get("smooth_all", i - 1)) & (F.get("smooth_all", i) > F.get("smooth_all", i + 1))))
-    density = F.when(F.size("smooth_all") >= 3, peaks / F.size("smooth_all")).otherwise(0.0)
+    density = c("smooth_peaks")
     known = c("n_sections").isNotNull() & (c("n_sections") > 0)
     sections = F.when(known, F.array(
         c("n_sections") / 10.0, *[c(f"section_seconds_{k}") / 60.0 for k in ("mean", "std", "min", "max")], c("section_energy_mean"), c("section_energy_std"),

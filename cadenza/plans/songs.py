@@ -196,9 +196,9 @@ def detection_quality(frames):
 
 # --- clip features -----------------------------------------------------------------------------
 
-def clip_dynamics(spark, sf):
+def clip_dynamics(spark, sf, parts=cf.PARTS):
     frames = cf.clip_frames(b.pose_frames(spark, sf), K)
-    return cf.dynamics(frames, K).withColumn("foot_area", F.when(F.col("n") < 2, 0.0).otherwise(cf.hull_area("_foot_x", "_foot_y")))
+    return cf.dynamics(frames, K, parts)
 
 
 @query("win17_feature_blocks")
@@ -233,7 +233,7 @@ DYN = dict(**COORD,
 
 @query("win18_complexity_score", b.with_("pose_frames", **DYN) + "select user_id, n, round(cplx, 5)::double as complexity from scored")
 def win18(spark, sf):
-    return rounded(clip_dynamics(spark, sf).select(*K, "n", cf.complexity_score().alias("complexity")), 5)
+    return rounded(clip_dynamics(spark, sf, ()).select(*K, "n", cf.complexity_score().alias("complexity")), 5)
 
 
 @query("win19_tempo_range", b.with_("pose_frames", **DYN, sp="select user_id, f - 1 as i, speed, avg(speed) over g as mu, stddev_pop(speed) over g as sd, count(*) over g as m from w2 where speed is not null window g as (partition by user_id)",
@@ -246,23 +246,40 @@ def win18(spark, sf):
     select user_id, case when greatest(80, 90 + a) >= least(160, 150 + h) then least(160, 150 + h) - 10 else greatest(80, 90 + a) end::double as low, least(160, 150 + h)::double as high from r where n >= 2""")
 def win19(spark, sf):
     low, high = cf.tempo_range()
-    return clip_dynamics(spark, sf).where("n >= 2").select(*K, low.alias("low"), high.alias("high"))
+    return clip_dynamics(spark, sf, ("rhythms",)).where("n >= 2").select(*K, low.alias("low"), high.alias("high"))
 
 
 @query("win20_difficulty_score", b.with_("pose_frames", **DYN, z="""select *, 0.2 * least(1, ms * 20) + 0.2 * cplx + 0.15 * case when n < 2 then 0 else least(1, (0.6 * mm + 0.4 * mx) / 5) end
       + 0.15 * list_avg([q for q in [case when n > 1 then least(1, sway * 10) end, least(1, fg * 5), case when n > 1 then least(1, sa * 2) end, least(1, cs * 2)] if q is not null])
       + 0.1 * (1 - rhythm) + 0.1 * least(1, coverage * 5) + 0.1 * least(1, ntr / n::double * 3) as d from scored""") + "select user_id, round(greatest(0, least(1, d)), 5)::double as difficulty from z")
 def win20(spark, sf):
-    return rounded(clip_dynamics(spark, sf).select(*K, cf.difficulty_score().alias("difficulty")), 5)
+    return rounded(clip_dynamics(spark, sf, ()).select(*K, cf.difficulty_score().alias("difficulty")), 5)
 
 
-@query("win21_area_and_range")
-def win21(spark, sf):
-    """Hull area of the foot points, never above the box area, and the upper-body range."""
-    return rounded(clip_dynamics(spark, sf).select(*K, "foot_area", "foot_box", "upper_range"))
+FOOT = ", ".join(f"lm[{i + 1}]" for i in vocab.FOOT_POINTS)
 
 
-FOOT = ", ".join(f"lm[{i + 1}]" for i in vocab.FOOT_POINTS)
+#: The hull by walking round it: from the lowest point always to the point of the smallest turn, the furthest of equal ones.
+HULL_SQL = b.with_("pose_frames", pts=f"select distinct user_id, p.x as x, p.y as y from (select user_id, unnest([{FOOT}]) as p from pose_frames)",
+    low="select user_id, arg_min(struct_pack(x := x, y := y), (y, x)) as p from pts group by 1").replace("with ", "with recursive ", 1) + f""",
+    walk as (
+      select user_id, p.x as x0, p.y as y0, p.x as x, p.y as y, 0.0::double as dir, 0.0::double as area, 0 as k from low
+      union all
+      select user_id, x0, y0, qx, qy, angle, area + (x - x0) * (qy - y0) - (qx - x0) * (y - y0), k + 1 from (
+        select w.*, q.x as qx, q.y as qy, atan2(q.y - w.y, q.x - w.x) as angle, row_number() over (partition by w.user_id order by
+          round((atan2(q.y - w.y, q.x - w.x) - w.dir + 4 * pi() + 1e-11) % (2 * pi()), 10), power(q.x - w.x, 2) + power(q.y - w.y, 2) desc) as best
+        from walk w join pts q on q.user_id = w.user_id and (q.x <> w.x or q.y <> w.y) where w.k = 0 or w.x <> w.x0 or w.y <> w.y0) where best = 1),
+    hull as (select user_id, max_by(area, k) / 2 as area from walk group by 1),
+    sums as (select user_id, count(*) as n, ({' + '.join(f'stddev_pop(lm[{i + 1}].{k})' for i in range(11, 17) for k in 'xy')}) / 12 as upper from pose_frames group by 1),
+    box as (select user_id, (max(x) - min(x)) * (max(y) - min(y)) as foot_box from pts group by 1)
+    select user_id, round(case when n < 2 then 0 else area end, 6)::double as foot_area, round(foot_box, 6) as foot_box, round(case when n < 2 then 0 else upper end, 6)::double as upper_range
+    from sums join hull using (user_id) join box using (user_id)"""
+
+
+@query("win21_area_and_range", HULL_SQL)
+def win21(spark, sf):
+    """Hull area of the foot points, never above the box area, and the upper-body range."""
+    return rounded(clip_dynamics(spark, sf, ("landmarks", "feet")).select(*K, "foot_area", "foot_box", "upper_range"))
 
 
 @query("win21_box_area", b.with_("pose_frames", pts=f"select user_id, unnest([{FOOT}]) as p from pose_frames") + """
