@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import pose, vectors, vocab
 from ..functions.music import flag
@@ -172,13 +173,13 @@ def column_of(rows, field: str) -> Column:
     return F.transform(rows, lambda r: r[field])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _products(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sums of products of two pieces by the distance of their places, from -(len(a) - 1) on."""
     return pd.Series([np.correlate(np.asarray(y), np.asarray(x), "full") for x, y in zip(a, b)])
 
 
-@F.pandas_udf("array<struct<re: double, im: double>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])))
 def _waves(v: pd.Series, at: pd.Series, n: pd.Series, first: pd.Series) -> pd.Series:
     """What a piece that begins at row `at` of n adds to the Fourier sums of WAVES frequencies from `first` on."""
     out = []
