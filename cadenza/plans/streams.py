@@ -57,8 +57,9 @@ def str3(spark, sf):
 
 
 @query("str4_decision_feedback_join", f"""
-    select d.event_id as decision_id, f.event_id as feedback_id, {KIND.replace('event_type', 'f.event_type')} as kind from events d join events f on d.user_id = f.user_id
-      and f.ts >= d.ts and f.ts <= d.ts + interval 2 hours where d.event_type = 'view' and f.event_type <> 'view'""")
+    with d as (select event_id as decision_id, user_id, ts from events where event_type = 'view'),
+    f as (select event_id as feedback_id, user_id, ts, {KIND} as kind from events where event_type <> 'view')
+    select decision_id, feedback_id, kind from f asof join d on f.user_id = d.user_id and f.ts >= d.ts""")
 def str4(spark, sf):
     d = event_stream(spark, sf).where("latency is not null").withColumnRenamed("event_id", "decision_id")
     f = event_stream(spark, sf).where("latency is null").withColumnRenamed("event_id", "feedback_id")
