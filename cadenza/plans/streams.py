@@ -52,7 +52,9 @@ def str3(spark, sf):
     """Every event is delivered twice and counted once."""
     e = event_stream(spark, sf)
     doubled = e.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
-    out = _run(spark, st.without_replays(doubled, "event_id"), "append")
+    path, late = scratch_path(spark, "once"), scratch_path(spark, "late")
+    st.without_replays(doubled, "event_id", path, late, scratch_path(spark, "stream-state"))
+    out = spark.read.parquet(path, late)
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_ids"), F.round(F.sum("latency"), 4).alias("latency"))
 
 
@@ -61,6 +63,7 @@ def str3(spark, sf):
     f as (select event_id as feedback_id, user_id, ts, {KIND} as kind from events where event_type <> 'view')
     select decision_id, feedback_id, kind from f asof join d on f.user_id = d.user_id and f.ts >= d.ts""")
 def str4(spark, sf):
-    d = event_stream(spark, sf).where("latency is not null").withColumnRenamed("event_id", "decision_id")
-    f = event_stream(spark, sf).where("latency is null").withColumnRenamed("event_id", "feedback_id")
-    return _run(spark, st.decisions_with_feedback(d, f), "append").select("decision_id", "feedback_id", "kind")
+    e = event_stream(spark, sf)
+    is_decision = F.col("latency").isNotNull()
+    log = e.select("user_id", "ts", F.when(is_decision, F.col("event_id")).alias("decision_id"), F.when(~is_decision, F.col("event_id")).alias("feedback_id"), "kind")
+    return _run(spark, st.decisions_with_feedback(log), "append").where("decision_id is not null").select("decision_id", "feedback_id", "kind")
