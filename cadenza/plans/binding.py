@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import scores, vocab
 from ..operators.ordering import dense_index
 
-SEQUENCE_SLOTS = 100  # a sequence has at most this many slots
 DAY = 86400
 
 
@@ -176,15 +175,14 @@ def pose_frames(spark, sf_dir) -> DataFrame:
 
 
 def slots(spark, sf_dir) -> DataFrame:
-    """Lines of an order as the ordered slots of its sequences, with item attributes."""
+    """Lines of an order as the ordered slots of one sequence, with item attributes."""
     li = table(spark, sf_dir, "lineitem")
     order = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     unit = F.struct("l_shipdate", "l_linenumber", F.floor(F.col("l_partkey") / 10_000))
     idx = dense_index(li, ["l_orderkey"], order, unit)
     lines = idx.select(
         F.col("l_orderkey").alias("seq_id"),
-        F.floor(F.col("idx") / SEQUENCE_SLOTS).alias("part_no"),
-        (F.col("idx") % SEQUENCE_SLOTS).alias("pos"),
+        F.col("idx").alias("pos"),
         F.col("l_partkey").alias("item_id"),
         (F.col("l_quantity") / 2.0).alias("seconds"),
         (1.0 - F.col("l_discount") * 5).alias("similarity"),
@@ -241,8 +239,8 @@ CTES = {
         select user_id, f, x as confidence, [{'x': vec[(j*2)%64+1], 'y': vec[(j*2+1)%64+1],
           'z': vec[(j*2+7)%64+1], 'vis': abs(vec[j+1])} for j in range(0, 33)] as lm
         from (select *, event_id % (select n from nvec) as vec_id from frames) join vecs using (vec_id)""",
-    "slots": f"""
-        select * from (select l_orderkey as seq_id, idx // {SEQUENCE_SLOTS} as part_no, idx % {SEQUENCE_SLOTS} as pos,
+    "slots": """
+        select * from (select l_orderkey as seq_id, idx as pos,
           l_partkey as item_id, l_quantity / 2.0 as seconds, 1.0 - l_discount * 5 as similarity
         from (select *, row_number() over (partition by l_orderkey
           order by l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as idx from lineitem))

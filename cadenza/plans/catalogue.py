@@ -627,15 +627,15 @@ def set5(spark, sf):
     return seen.join(stored, "id", "left_anti").agg(F.count(F.lit(1)).alias("n_new"))
 
 
-@query("jon19_set_overlap", b.with_("slots", s="""select seq_id, part_no, list_distinct(list(label)) as actual,
-      avg(similarity) as q from slots group by 1, 2""") + """
-    select seq_id, part_no, round((1 - abs(q - 0.8)
+@query("jon19_set_overlap", b.with_("slots", s="""select seq_id, list_distinct(list(label)) as actual,
+      avg(similarity) as q from slots group by 1""") + """
+    select seq_id, round((1 - abs(q - 0.8)
        + len(list_intersect(actual, e))::double / len(list_distinct(list_concat(actual, e)))) / 2, 6) as accuracy
     from (select *, ['basic_step','dip','combination','hammerlock'] as e from s)""")
 def jon19(spark, sf):
     """Mean of quality agreement and label overlap with the expected set."""
-    per = b.slots(spark, sf).groupBy("seq_id", "part_no").agg(F.collect_set("label").alias("actual"), F.avg("similarity").alias("q"))
-    return per.select("seq_id", "part_no", F.round(truth_accuracy(
+    per = b.slots(spark, sf).groupBy("seq_id").agg(F.collect_set("label").alias("actual"), F.avg("similarity").alias("q"))
+    return per.select("seq_id", F.round(truth_accuracy(
         F.col("q"), F.lit(0.8), F.col("actual"), F.array(*[F.lit(x) for x in ("basic_step", "dip", "combination", "hammerlock")])), 6).alias("accuracy"))
 
 

@@ -55,13 +55,13 @@ def prj8(spark, sf):
         *[F.get(r, i).alias(f"r_{n}") for i, n in enumerate(("both", "follow", "lead"))])
 
 
-@query("prj9_hashed_multi_hot", b.with_("slots", p=f"""select seq_id, part_no, len(list_distinct(flatten(list([{','.join(BUCKET.format(x=f"item_id || '{s}'", n=64) for s in vocab.TRANSITION_SEEDS)}])))) as n_set from slots group by 1, 2""") + """
-    select seq_id, part_no, n_set::double as n_set, round(1 / sqrt(n_set), 6) as entry from p""")
+@query("prj9_hashed_multi_hot", b.with_("slots", p=f"""select seq_id, len(list_distinct(flatten(list([{','.join(BUCKET.format(x=f"item_id || '{s}'", n=64) for s in vocab.TRANSITION_SEEDS)}])))) as n_set from slots group by 1""") + """
+    select seq_id, n_set::double as n_set, round(1 / sqrt(n_set), 6) as entry from p""")
 def prj9(spark, sf):
     """The items of a sequence (at most 100) hashed into 64 positions."""
-    ids = b.slots(spark, sf).groupBy("seq_id", "part_no").agg(F.collect_set("item_id").alias("ids"))
-    v = ids.select("seq_id", "part_no", encode.hashed_set_space(F.col("ids")).alias("v"))
-    return rounded(v.select("seq_id", "part_no", vectors.vec_sum(F.transform("v", lambda x: F.when(x > 0, 1.0).otherwise(0.0))).alias("n_set"),
+    ids = b.slots(spark, sf).groupBy("seq_id").agg(F.collect_set("item_id").alias("ids"))
+    v = ids.select("seq_id", encode.hashed_set_space(F.col("ids")).alias("v"))
+    return rounded(v.select("seq_id", vectors.vec_sum(F.transform("v", lambda x: F.when(x > 0, 1.0).otherwise(0.0))).alias("n_set"),
                             F.array_max("v").alias("entry")))
 
 

@@ -134,18 +134,18 @@ def src9(spark, sf):
 
 def metadata_rows(spark, sf):
     """Stored sequence metadata: one flat row per sequence with tags, types and source hash."""
-    s = b.slots(spark, sf).groupBy("seq_id", "part_no").agg(
+    s = b.slots(spark, sf).groupBy("seq_id").agg(
         F.avg("tempo").alias("tempo"), F.sum("seconds").alias("duration"), F.sort_array(F.collect_set(labels.type_of(F.col("label")))).alias("move_types"),
         F.avg("similarity").alias("rhythm"), F.mode("difficulty").alias("_m"), F.min("difficulty").alias("difficulty"))
     source = F.concat(F.lit("song_"), F.col("seq_id").cast("string"))
     tags = text.search_tags(F.col("tempo"), F.lit(0.2), F.col("rhythm"), F.lit(0.5), F.col("move_types"), F.lit("balanced"))
     return s.select(
-        F.concat_ws("_", F.col("seq_id").cast("string"), F.col("part_no").cast("string")).alias("sequence_id"), source.alias("source"), F.md5(source).alias("source_hash"),
+        F.col("seq_id").cast("string").alias("sequence_id"), source.alias("source"), F.md5(source).alias("source_hash"),
         "tempo", "difficulty", "duration", tags.alias("tags"), "move_types")
 
 
-META_SQL = dict(meta="""select seq_id || '_' || part_no as sequence_id, md5('song_' || seq_id) as source_hash, avg(tempo) as tempo, sum(seconds) as duration, avg(similarity) as rhythm,
-    min(difficulty) as difficulty from slots group by seq_id, part_no""")
+META_SQL = dict(meta="""select seq_id::varchar as sequence_id, md5('song_' || seq_id) as source_hash, avg(tempo) as tempo, sum(seconds) as duration, avg(similarity) as rhythm,
+    min(difficulty) as difficulty from slots group by seq_id""")
 
 
 @query("src10_many_file_scan", b.with_("slots", **META_SQL) + "select difficulty, count(*) as n, round(avg(tempo), 6) as mean_tempo, count(*) filter (rhythm > 0.7) as n_strong from meta group by 1")
@@ -208,21 +208,21 @@ def src14(spark, sf):
     return fresh.agg(F.count(F.lit(1)).alias("n_total")).select("n_total", stored.alias("n_stored")).withColumn("n_failed", F.col("n_total") - F.col("n_stored"))
 
 
-@query("src16_sequence_export", b.with_("slots", r="select seq_id, part_no, pos, seconds, sum(seconds) over (partition by seq_id, part_no order by pos) as e from slots") + """
-    select seq_id, part_no, count(*)::int as n_slots, max(e) as last_end, min(e - seconds) as first_start from r group by 1, 2""")
+@query("src16_sequence_export", b.with_("slots", r="select seq_id, pos, seconds, sum(seconds) over (partition by seq_id order by pos) as e from slots") + """
+    select seq_id, count(*)::int as n_slots, max(e) as last_end, min(e - seconds) as first_start from r group by 1""")
 def src16(spark, sf):
     """Nested record per sequence: info and ordered slots with their end time, written and read back."""
     from pyspark.sql import Window
 
     path = scratch_path(spark, "sequences")
-    w = Window.partitionBy("seq_id", "part_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     s = b.slots(spark, sf).withColumn("end_time", F.sum("seconds").over(w)).withColumn("start_time", F.col("end_time") - F.col("seconds"))
     rows = F.array_sort(F.collect_list(F.struct("pos", "item_id", "label", "start_time", F.col("seconds").alias("duration"), "end_time")))
-    nested = s.groupBy("seq_id", "part_no").agg(rows.alias("moves"), F.sum("seconds").alias("total"))
-    out = nested.select(F.struct("seq_id", "part_no", "total").alias("info"), "moves", F.to_json(F.struct(F.lit("balanced").alias("mode"))).alias("config"))
+    nested = s.groupBy("seq_id").agg(rows.alias("moves"), F.sum("seconds").alias("total"))
+    out = nested.select(F.struct("seq_id", "total").alias("info"), "moves", F.to_json(F.struct(F.lit("balanced").alias("mode"))).alias("config"))
     out.write.json(path)
     m = spark.read.schema(out.schema).json(path)
-    return m.select("info.seq_id", "info.part_no", F.size("moves").alias("n_slots"), F.element_at("moves", -1)["end_time"].alias("last_end"), F.get("moves", 0)["start_time"].alias("first_start"))
+    return m.select("info.seq_id", F.size("moves").alias("n_slots"), F.element_at("moves", -1)["end_time"].alias("last_end"), F.get("moves", 0)["start_time"].alias("first_start"))
 
 
 @query("src17_metadata_append", b.with_("slots", **META_SQL) + "select sequence_id, source_hash, duration from meta")

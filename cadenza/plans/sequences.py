@@ -14,7 +14,7 @@ from .registry import query
 from .scoring import ALL_SCORES, TOPK_SQL, best_items, purchases, with_style
 
 RANK = b.sql_rank
-S = ["seq_id", "part_no"]
+S = ["seq_id"]
 #: Item types, numbered from 1 where a type is a group of a search.
 KINDS = [*dict.fromkeys(x[-1] for x in vocab.TYPE_RULES), "other"]
 KIND_SQL = _first_sql("label", vocab.TYPE_RULES, "'other'")
@@ -154,7 +154,7 @@ def seq5(spark, sf):
 
 # --- timelines --------------------------------------------------------------------------------
 
-SEQS = dict(seqs="select seq_id, part_no, list(item_id order by pos) as ids, sum(seconds) as target from slots group by 1, 2")
+SEQS = dict(seqs="select seq_id, list(item_id order by pos) as ids, sum(seconds) as target from slots group by 1")
 
 
 def item_lists(spark, sf):
@@ -165,18 +165,18 @@ def item_lists(spark, sf):
 
 @query("win26_fixed_slots", b.with_("slots", **SEQS, n="select *, least(101, floor(target / 8) + (target - floor(target / 8) * 8 >= 4)::int)::int as n from seqs",
       x="select *, unnest(range(0, n)) as slot from n where n > 0") + """
-    select seq_id, part_no, slot::int as slot, ids[slot % len(ids) + 1] as item_id, (slot * 8.0)::double as start, least(8.0, target - slot * 8.0)::double as seconds from x""")
+    select seq_id, slot::int as slot, ids[slot % len(ids) + 1] as item_id, (slot * 8.0)::double as start, least(8.0, target - slot * 8.0)::double as seconds from x""")
 def win26(spark, sf):
     return timeline.fixed_slots(item_lists(spark, sf), "ids", "target")
 
 
-@query("win26_natural_slots", b.with_("slots", r="select *, sum(seconds) over (partition by seq_id, part_no order by pos) as e from slots") + """
-    select seq_id, part_no, pos, item_id, e - seconds as start, seconds from r where e <= 60 and pos < 51""")
+@query("win26_natural_slots", b.with_("slots", r="select *, sum(seconds) over (partition by seq_id order by pos) as e from slots") + """
+    select seq_id, pos, item_id, e - seconds as start, seconds from r where e <= 60 and pos < 51""")
 def win26_natural(spark, sf):
     return timeline.natural_slots(b.slots(spark, sf), S, "pos", "seconds", 60.0).select(*S, "pos", "item_id", "start", "seconds")
 
 
-@query("win26_simple_slots", b.with_("slots") + "select seq_id, part_no, pos, item_id, (pos * 10.0)::double as start, 10.0::double as seconds from slots")
+@query("win26_simple_slots", b.with_("slots") + "select seq_id, pos, item_id, (pos * 10.0)::double as start, 10.0::double as seconds from slots")
 def win26_simple(spark, sf):
     return b.slots(spark, sf).select(*S, "pos", "item_id", (F.col("pos") * 10.0).alias("start"), F.lit(10.0).alias("seconds"))
 
@@ -217,33 +217,33 @@ EDGE_SQL = f"""case when b_label is null then null when a.item_id <> b_item and
     else (case abs({RANK('a.energy')} - {RANK('a.b_energy')}) when 0 then 1.0 when 1 then 0.7 else 0.3 end
       + greatest(0.0, 1.0 - abs(2.0 - abs({RANK('a.difficulty')} - {RANK('a.b_difficulty')})) / 2.0)) / 2 end"""
 METRICS = dict(nx="""select *, lead(item_id) over w as b_item, lead(label) over w as b_label, lead(difficulty) over w as b_difficulty, lead(energy) over w as b_energy from slots
-      window w as (partition by seq_id, part_no order by pos)""",
+      window w as (partition by seq_id order by pos)""",
     ed=f"""select a.*, {KIND_SQL.replace('label', 'a.label')} as kind, {EDGE_SQL} as edge, case when b_label is null then null else
       case {RANK('b_difficulty')} - {RANK('a.difficulty')} when 0 then 1.0 when 1 then 0.9 when -1 then 0.8 when 2 then 0.6 else 0.4 end end as step from nx a""",
-    lc="select seq_id, part_no, max(c) as mx, min(c) as mn, count(*) as n_labels from (select seq_id, part_no, label, count(*) as c from slots group by 1, 2, 3) group by 1, 2",
-    mt="""select seq_id, part_no, count(*) as n, count(distinct kind) as n_types, case when count(*) <= 1 then 0 else 0.7 * count(distinct kind) / count(*) + 0.3 * least(1, 2 * stddev_pop(similarity)) end as diversity,
+    lc="select seq_id, max(c) as mx, min(c) as mn, count(*) as n_labels from (select seq_id, label, count(*) as c from slots group by 1, 2) group by 1",
+    mt="""select seq_id, count(*) as n, count(distinct kind) as n_types, case when count(*) <= 1 then 0 else 0.7 * count(distinct kind) / count(*) + 0.3 * least(1, 2 * stddev_pop(similarity)) end as diversity,
       coalesce(avg(edge), 0) as edge_mean, coalesce(avg(step), 1) as progression, avg(similarity) as similarity_mean, avg(tempo) as tempo_mean,
       coalesce(count(distinct label || '>' || b_label) / nullif(count(b_label), 0)::double, 0) as flow, count(*) filter (difficulty = 'beginner') as nb,
-      count(*) filter (difficulty = 'intermediate') as ni, count(*) filter (difficulty = 'advanced') as na from ed group by 1, 2""",
-    m="select *, 1 - (mx - mn) / n::double as balance from mt join lc using (seq_id, part_no)")
+      count(*) filter (difficulty = 'intermediate') as ni, count(*) filter (difficulty = 'advanced') as na from ed group by 1""",
+    m="select *, 1 - (mx - mn) / n::double as balance from mt join lc using (seq_id)")
 
 
 def metrics(spark, sf):
     return timeline.sequence_metrics(b.slots(spark, sf), S)
 
 
-@query("jon20_edge_lookup", b.with_("slots", **METRICS) + "select seq_id, part_no, pos, round(edge, 6) as edge from ed where edge is not null")
+@query("jon20_edge_lookup", b.with_("slots", **METRICS) + "select seq_id, pos, round(edge, 6) as edge from ed where edge is not null")
 def jon20(spark, sf):
     d = timeline.with_next(b.slots(spark, sf), S, ["item_id", "label", "difficulty", "energy"])
     return rounded(d.select(*S, "pos", timeline.edge_score().alias("edge")).where("edge is not null"))
 
 
-@query("agg20_diversity", b.with_("slots", **METRICS) + "select seq_id, part_no, n, n_types::int as n_types, round(diversity, 6)::double as diversity, round(balance, 6) as balance from m")
+@query("agg20_diversity", b.with_("slots", **METRICS) + "select seq_id, n, n_types::int as n_types, round(diversity, 6)::double as diversity, round(balance, 6) as balance from m")
 def agg20(spark, sf):
     return rounded(metrics(spark, sf).select(*S, "n", "n_types", "diversity", "balance"))
 
 
-@query("agg21_patterns", b.with_("slots", **METRICS) + "select seq_id, part_no, n, n_labels::int as n_labels, round(flow, 6) as flow, not (n_labels > n * 0.4) as repetitive from m")
+@query("agg21_patterns", b.with_("slots", **METRICS) + "select seq_id, n, n_labels::int as n_labels, round(flow, 6) as flow, not (n_labels > n * 0.4) as repetitive from m")
 def agg21(spark, sf):
     return rounded(metrics(spark, sf).select(*S, "n", "n_labels", "flow", "repetitive"))
 
@@ -268,7 +268,7 @@ def matched(spark, sf):
 
 
 @query("agg22_overall_match", b.with_("slots", **MATCH) + """
-    select seq_id, part_no, round(alignment, 6)::double as alignment, round(0.3 * flow + 0.4 * alignment + 0.3 * variety, 6)::double as overall,
+    select seq_id, round(alignment, 6)::double as alignment, round(0.3 * flow + 0.4 * alignment + 0.3 * variety, 6)::double as overall,
       case when alignment > 0.9 then 'excellent' when alignment > 0.7 then 'good' else 'moderate' end as tempo_quality from av""")
 def agg22(spark, sf):
     c = F.col
@@ -278,7 +278,7 @@ def agg22(spark, sf):
 
 
 @query("prj41_advice_messages", b.with_("slots", **MATCH) + """
-    select seq_id, part_no, unnest([z for z in [case when alignment < 0.8 then 'tempo' end, case when variety < 0.5 then 'diversity' end, case when flow < 0.6 then 'flow' end] if z is not null]) as kind from av""")
+    select seq_id, unnest([z for z in [case when alignment < 0.8 then 'tempo' end, case when variety < 0.5 then 'diversity' end, case when flow < 0.6 then 'flow' end] if z is not null]) as kind from av""")
 def prj41(spark, sf):
     told = text.advice(F.col("alignment"), F.col("variety"), F.col("flow"))
     return matched(spark, sf).select(*S, F.inline(told)).select(*S, "kind")
@@ -293,10 +293,10 @@ def prj41_tempo(spark, sf):
     return b.requests(spark, sf).select("req_id", F.array_join(told, "|").alias("advice"))
 
 
-@query("agg23_sequence_quality", b.with_("slots", **MATCH, tc="""select s.seq_id, s.part_no, avg(greatest(0, 1 - abs(s.tempo - (85 + o_totalprice / 7000)) / 10.0)) as tc,
-      avg(case s.energy when 'medium' then 1.0 else 0.7 end) as ec from slots s join orders on o_orderkey = s.seq_id group by 1, 2""") + """
-    select seq_id, part_no, round(edge_mean, 6)::double as transition_quality, round(tc, 6)::double as tempo_compatibility, round(similarity_mean, 6) as style_adherence,
-      nb as n_beginner, ni as n_intermediate, na as n_advanced, round(ec, 6)::double as energy_consistency from av join tc using (seq_id, part_no)""")
+@query("agg23_sequence_quality", b.with_("slots", **MATCH, tc="""select s.seq_id, avg(greatest(0, 1 - abs(s.tempo - (85 + o_totalprice / 7000)) / 10.0)) as tc,
+      avg(case s.energy when 'medium' then 1.0 else 0.7 end) as ec from slots s join orders on o_orderkey = s.seq_id group by 1""") + """
+    select seq_id, round(edge_mean, 6)::double as transition_quality, round(tc, 6)::double as tempo_compatibility, round(similarity_mean, 6) as style_adherence,
+      nb as n_beginner, ni as n_intermediate, na as n_advanced, round(ec, 6)::double as energy_consistency from av join tc using (seq_id)""")
 def agg23(spark, sf):
     o = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq_id"), (85 + F.col("o_totalprice") / 7000).alias("song"))
     near = F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("tempo") - F.col("song")) / 10.0)
@@ -306,8 +306,8 @@ def agg23(spark, sf):
     return rounded(m.join(per, S))
 
 
-FIVE = dict(**METRICS, mu="""select seq_id, part_no, avg(case when len([z for z in ['basic_step', 'cross_body_lead', 'turn', 'dip'] if contains(label, z)]) > 0 then 1.0 else 0.5 end) as musicality from slots group by 1, 2""",
-    q="select *, 0.25 * coalesce(nullif(edge_mean, 0), 0.8) + 0.25 * musicality + 0.15 * progression + 0.2 * diversity + 0.15 * coalesce(nullif(edge_mean, 0), 0.8) as overall from m join mu using (seq_id, part_no)")
+FIVE = dict(**METRICS, mu="""select seq_id, avg(case when len([z for z in ['basic_step', 'cross_body_lead', 'turn', 'dip'] if contains(label, z)]) > 0 then 1.0 else 0.5 end) as musicality from slots group by 1""",
+    q="select *, 0.25 * coalesce(nullif(edge_mean, 0), 0.8) + 0.25 * musicality + 0.15 * progression + 0.2 * diversity + 0.15 * coalesce(nullif(edge_mean, 0), 0.8) as overall from m join mu using (seq_id)")
 
 
 def five_metrics(spark, sf):
@@ -320,24 +320,24 @@ def five_metrics(spark, sf):
     return m.withColumn("overall", scores.weighted(parts, vocab.QUALITY_WEIGHTS))
 
 
-@query("agg24_five_metric_quality", b.with_("slots", **FIVE) + "select seq_id, part_no, round(musicality, 6)::double as musicality, round(progression, 6)::double as progression, round(diversity, 6)::double as diversity, round(overall, 6)::double as overall from q")
+@query("agg24_five_metric_quality", b.with_("slots", **FIVE) + "select seq_id, round(musicality, 6)::double as musicality, round(progression, 6)::double as progression, round(diversity, 6)::double as diversity, round(overall, 6)::double as overall from q")
 def agg24(spark, sf):
     return rounded(five_metrics(spark, sf).select(*S, "musicality", "progression", "diversity", "overall"))
 
 
-@query("agg25_majority_band", b.with_("slots", **METRICS) + "select seq_id, part_no, case when nb >= ni and nb >= na then 'beginner' when ni >= na then 'intermediate' else 'advanced' end as band from m")
+@query("agg25_majority_band", b.with_("slots", **METRICS) + "select seq_id, case when nb >= ni and nb >= na then 'beginner' when ni >= na then 'intermediate' else 'advanced' end as band from m")
 def agg25(spark, sf):
     return metrics(spark, sf).select(*S, timeline.majority_band().alias("band"))
 
 
-@query("win28_step_score", b.with_("slots", **METRICS) + "select seq_id, part_no, round(progression, 6)::double as progression from m")
+@query("win28_step_score", b.with_("slots", **METRICS) + "select seq_id, round(progression, 6)::double as progression from m")
 def win28(spark, sf):
     return rounded(metrics(spark, sf).select(*S, "progression"))
 
 
-@query("evl8_accuracy_validation", b.with_("slots", **FIVE, a="select seq_id, part_no, list_distinct(list(label)) as actual from slots group by 1, 2") + """
+@query("evl8_accuracy_validation", b.with_("slots", **FIVE, a="select seq_id, list_distinct(list(label)) as actual from slots group by 1") + """
     select count(*) as n, round(avg((1 - abs(overall - 0.8) + len(list_intersect(actual, e))::double / len(list_distinct(list_concat(actual, e)))) / 2), 6) as accuracy
-    from (select *, ['basic_step','dip','combination','hammerlock'] as e from q join a using (seq_id, part_no))""")
+    from (select *, ['basic_step','dip','combination','hammerlock'] as e from q join a using (seq_id))""")
 def evl8(spark, sf):
     actual = b.slots(spark, sf).groupBy(*S).agg(F.collect_set("label").alias("actual"))
     want = F.array(*[F.lit(x) for x in ("basic_step", "dip", "combination", "hammerlock")])
