@@ -144,7 +144,7 @@ def metadata_rows(spark, sf):
         "tempo", "difficulty", "duration", tags.alias("tags"), "move_types")
 
 
-META_SQL = dict(meta="""select seq_id::varchar as sequence_id, md5('song_' || seq_id) as source_hash, avg(tempo) as tempo, sum(seconds) as duration, avg(similarity) as rhythm,
+META_SQL = dict(meta="""select seq_id::varchar as sequence_id, md5('song_' || seq_id) as source_hash, avg(tempo) as tempo, sum(seconds) as duration, round(avg(similarity), 9) as rhythm,
     min(difficulty) as difficulty from slots group by seq_id""")
 
 

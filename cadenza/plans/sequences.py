@@ -295,7 +295,7 @@ def prj41_tempo(spark, sf):
 
 @query("agg23_sequence_quality", b.with_("slots", **MATCH, tc="""select s.seq_id, avg(greatest(0, 1 - abs(s.tempo - (85 + o_totalprice / 7000)) / 10.0)) as tc,
       avg(case s.energy when 'medium' then 1.0 else 0.7 end) as ec from slots s join orders on o_orderkey = s.seq_id group by 1""") + """
-    select seq_id, round(edge_mean, 6)::double as transition_quality, round(tc, 6)::double as tempo_compatibility, round(similarity_mean, 6) as style_adherence,
+    select seq_id, round(edge_mean, 6)::double as transition_quality, round(round(tc, 9), 6)::double as tempo_compatibility, round(similarity_mean, 6) as style_adherence,
       nb as n_beginner, ni as n_intermediate, na as n_advanced, round(ec, 6)::double as energy_consistency from av join tc using (seq_id)""")
 def agg23(spark, sf):
     o = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq_id"), (85 + F.col("o_totalprice") / 7000).alias("song"))
