@@ -45,20 +45,9 @@ def role_space(role: Column) -> Column:
     return F.array(*[F.when(role == r, 1.0).otherwise(0.0) for r in sorted(vocab.ROLES)])
 
 
-def hashed_set_space(ids: Column, n: int = vocab.TRANSITION_DIM) -> Column:
-    """Each id sets one position per seed; unit length."""
-    spots = F.flatten(
-        F.transform(
-            ids,
-            lambda i: F.array(
-                *[
-                    md5_bucket(F.concat(i.cast("string"), F.lit(str(seed))), n).cast("int")
-                    for seed in vocab.TRANSITION_SEEDS
-                ]
-            ),
-        )
-    )
-    return vectors.l2_normalize(vectors.multi_hot(spots, n))
+def hashed_spots(item: Column, n: int = vocab.TRANSITION_DIM) -> Column:
+    """The position that an id sets for each seed."""
+    return F.array(*[md5_bucket(F.concat(item.cast("string"), F.lit(str(seed))), n).cast("int") for seed in vocab.TRANSITION_SEEDS])
 
 
 def text_positions(text: Column, n: int = vocab.TEXT_DIM) -> Column:

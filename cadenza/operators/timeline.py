@@ -1,4 +1,4 @@
-"""Timed slots and quality of ordered sequences (bounded groups)."""
+"""Timed slots and quality of ordered sequences of any length."""
 
 from __future__ import annotations
 
@@ -7,24 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, scores, vocab
 from .graph import CLASS, compatible
+from .series import haloed, own
 
 
 def fixed_slots(seqs: DataFrame, ids: str, target: str, seconds: float = 8.0, least: float = 4.0, most: int = 101) -> DataFrame:
-    """Slots of equal length cycling through the items; a last slot below `least` is dropped."""
+    """Slots of equal length cycling through the items; a last slot below `least` is dropped.
+
+    There are at most `most` slots, so `ids` needs the first `most` items only; `n_items` counts all of them.
+    """
     whole = F.floor(F.col(target) / seconds)
     rest = F.col(target) - whole * seconds
     n = F.least(F.lit(most), whole + F.when(rest >= least, 1).otherwise(0)).cast("int")
     s = seqs.withColumn("_n", n).where("_n > 0").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return s.withColumns({
-        "item_id": F.get(ids, (F.col("slot") % F.size(ids)).cast("int")),
-        "start": F.col("slot") * seconds, "seconds": F.least(F.lit(seconds), F.col(target) - F.col("slot") * seconds)}).drop("_n", ids, target)
+        "item_id": F.get(ids, (F.col("slot") % F.col("n_items")).cast("int")),
+        "start": F.col("slot") * seconds, "seconds": F.least(F.lit(seconds), F.col(target) - F.col("slot") * seconds)}).drop("_n", "n_items", ids, target)
 
 
 def natural_slots(slots: DataFrame, keys: list[str], order: str, seconds: str, target: float, most: int = 51) -> DataFrame:
     """Own durations in order, up to the first slot that would overflow the target."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    s = slots.withColumn("end", F.sum(seconds).over(w)).withColumn("start", F.col("end") - F.col(seconds))
-    return s.where((F.col("end") <= target) & (F.col(order) < most))
+    s = slots.where(F.col(order) < most).withColumn("end", F.sum(seconds).over(w)).withColumn("start", F.col("end") - F.col(seconds))
+    return s.where(F.col("end") <= target)
 
 
 def beat_slots(songs: DataFrame, beats: str, tempo: Column, items: int, target: float | None = None) -> DataFrame:
@@ -49,8 +53,9 @@ def beat_slots(songs: DataFrame, beats: str, tempo: Column, items: int, target:
 
 
 def with_next(slots: DataFrame, keys: list[str], cols: list[str], order: str = "pos") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return slots.withColumns({f"next_{c}": F.lead(c).over(w) for c in cols})
+    """Columns of the next row; `order` counts the rows of a sequence from 0."""
+    w = Window.partitionBy(*keys, "_u").orderBy(order)
+    return own(haloed(slots, 0, 1, order).withColumns({f"next_{c}": F.lead(c).over(w) for c in cols}), order)
 
 
 def edge_score() -> Column:
@@ -71,13 +76,12 @@ def sequence_metrics(slots: DataFrame, keys: list[str]) -> DataFrame:
         "bigram": F.when(F.col("next_label").isNotNull(), F.concat("label", F.lit(">"), "next_label"))})
     n = F.count(F.lit(1))
     kinds = F.size(F.collect_set("kind"))
-    cats = F.collect_list("label")  # at most 100 slots
 
     def count_of(words):
         return F.array(*[F.count_if(F.col("label") == x) for x in words])
 
     g = d.groupBy(*keys).agg(
-        n.alias("n"), kinds.alias("n_types"), F.size(F.array_distinct(cats)).alias("n_labels"),
+        n.alias("n"), kinds.alias("n_types"), F.size(F.collect_set("label")).alias("n_labels"),
         F.when(n <= 1, 0.0).otherwise(kinds / n * 0.7 + F.least(F.lit(1.0), F.stddev_pop("similarity") * 2) * 0.3).alias("diversity"),
         F.filter(count_of(vocab.LABELS), lambda c: c > 0).alias("_counts"),
         F.size(F.collect_set("bigram")).alias("_big"), F.count("bigram").alias("_bigs"),

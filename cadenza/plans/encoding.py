@@ -58,9 +58,9 @@ def prj8(spark, sf):
 @query("prj9_hashed_multi_hot", b.with_("slots", p=f"""select seq_id, len(list_distinct(flatten(list([{','.join(BUCKET.format(x=f"item_id || '{s}'", n=64) for s in vocab.TRANSITION_SEEDS)}])))) as n_set from slots group by 1""") + """
     select seq_id, n_set::double as n_set, round(1 / sqrt(n_set), 6) as entry from p""")
 def prj9(spark, sf):
-    """The items of a sequence (at most 100) hashed into 64 positions."""
-    ids = b.slots(spark, sf).groupBy("seq_id").agg(F.collect_set("item_id").alias("ids"))
-    v = ids.select("seq_id", encode.hashed_set_space(F.col("ids")).alias("v"))
+    """The items of a sequence hashed into 64 positions; a position is kept once, however many items set it."""
+    spots = b.slots(spark, sf).select("seq_id", F.explode(encode.hashed_spots(F.col("item_id"))).alias("spot"))
+    v = spots.groupBy("seq_id").agg(vectors.l2_normalize(vectors.multi_hot(F.collect_set("spot"), vocab.TRANSITION_DIM)).alias("v"))
     return rounded(v.select("seq_id", vectors.vec_sum(F.transform("v", lambda x: F.when(x > 0, 1.0).otherwise(0.0))).alias("n_set"),
                             F.array_max("v").alias("entry")))
 

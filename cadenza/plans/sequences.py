@@ -142,7 +142,7 @@ def seq4(spark, sf):
 def seq5(spark, sf):
     """Requests x catalogue -> recommendations -> sequence -> timed slots -> metadata row."""
     seqs = lists(spark, sf).withColumn("picked", folds.transition_greedy(F.col("cands"), "kind", 8, F.lit(0.3), F.lit(0.4))).select(
-        "req_id", F.transform("picked", lambda p: p["item_id"]).alias("ids"), song_seconds().alias("target"))
+        "req_id", F.transform("picked", lambda p: p["item_id"]).alias("ids"), F.size("picked").alias("n_items"), song_seconds().alias("target"))
     slots = timeline.fixed_slots(seqs, "ids", "target").join(b.items(spark, sf).select("item_id", "label", "difficulty"), "item_id")
     g = slots.groupBy("req_id").agg(
         F.count(F.lit(1)).alias("n_slots"), F.sum("seconds").alias("total_seconds"), F.count_distinct("item_id").alias("n_items"),
@@ -158,9 +158,10 @@ SEQS = dict(seqs="select seq_id, list(item_id order by pos) as ids, sum(seconds)
 
 
 def item_lists(spark, sf):
-    """Items of each sequence in order (at most 100) and the total time."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", "item_id")))
-    return b.slots(spark, sf).groupBy(*S).agg(F.transform(rows, lambda r: r["item_id"]).alias("ids"), F.sum("seconds").alias("target"))
+    """The items of each sequence that a timeline of 101 slots can reach, the number of all, and the total time."""
+    rows = F.array_sort(F.collect_list(F.when(F.col("pos") <= 100, F.struct("pos", "item_id"))))
+    return b.slots(spark, sf).groupBy(*S).agg(
+        F.transform(rows, lambda r: r["item_id"]).alias("ids"), F.count(F.lit(1)).alias("n_items"), F.sum("seconds").alias("target"))
 
 
 @query("win26_fixed_slots", b.with_("slots", **SEQS, n="select *, least(101, floor(target / 8) + (target - floor(target / 8) * 8 >= 4)::int)::int as n from seqs",
@@ -301,7 +302,7 @@ def agg23(spark, sf):
     o = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq_id"), (85 + F.col("o_totalprice") / 7000).alias("song"))
     near = F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("tempo") - F.col("song")) / 10.0)
     per = b.slots(spark, sf).join(o, "seq_id").groupBy(*S).agg(
-        F.avg(near).alias("tempo_compatibility"), F.avg(scores.level_compat(F.lit("medium"), F.col("energy"))).alias("energy_consistency"))
+        (F.floor(F.round(F.avg(near), 9) * 1e6 + 0.5) / 1e6).alias("tempo_compatibility"), F.avg(scores.level_compat(F.lit("medium"), F.col("energy"))).alias("energy_consistency"))
     m = metrics(spark, sf).select(*S, F.col("edge_mean").alias("transition_quality"), F.col("similarity_mean").alias("style_adherence"), "n_beginner", "n_intermediate", "n_advanced")
     return rounded(m.join(per, S))
 
