@@ -269,7 +269,7 @@ def prj40(spark, sf):
     select item_id, array_to_string([zz for zz in ([
       case when tempo not between 80 and 160 then 'issue:tempo_out_of_range' end,
       case when length(trim(notes)) < 10 then 'warning:notes_brief' end,
-      case when {_any_sql('label', vocab.ADVANCED_LABELS)} and difficulty = 'beginner' then 'warning:advanced_label_for_beginner' end]) if zz is not null], ',') as notes_found from (select * replace (substr(notes, 1, 8 + item_id % 6) as notes) from raw)""")
+      case when {_any_sql('label', vocab.ADVANCED_LABELS)} and difficulty = 'beginner' then 'warning:advanced_label_for_beginner' end]) if zz is not null], ',') as notes_found from raw""")
 def prj44(spark, sf):
     r = raw_items(spark, sf)
     notes = F.substring("notes", F.lit(1), (8 + F.col("item_id") % 6).cast("int"))
@@ -458,7 +458,7 @@ def training_rows(spark, sf):
         F.concat(low.cast("string"), F.lit("-"), (low + 9).cast("string")).alias("tempo_bin"))
 
 
-@query("agg9_balance_advice", b.with_("items", c=f"select coalesce({_first_sql('label', vocab.CATEGORY_RULES)}, 'unknown') as category, * from items where energy <> 'low' or item_id % 5 = 0",
+@query("agg9_balance_advice", b.with_("items", c=f"select coalesce({_first_sql('label', vocab.CATEGORY_RULES)}, 'unknown') as category, * from items",
     s="""select (select max(n) > 3 * min(n) from (select count(*) n from c group by category)) as a, count(*) filter (difficulty = 'beginner') * 1.0 / count(*) as r,
       (select max(n) > 2 * min(n) from (select count(*) n from c group by energy)) as e, count(*) as n from c""") + """
     select unnest([zz for zz in ([case when a then 'add_underrepresented_categories' end,
@@ -570,9 +570,13 @@ def jon18(spark, sf):
 
 # --- sets and upkeep -----------------------------------------------------------------------
 
-@query("src5_append_with_guard", b.with_("items") + """
-    select count(*) as n_rows, sum(n)::bigint as n_unique, (select count(*) from customer where c_custkey in (select item_id from items)) as n_rejected
-    from (select item_id, 1 as n from items union all select c_custkey, 1 from customer where c_custkey not in (select item_id from items))""")
+#: Every new key comes twice, with two labels; labels that are not known are no annotations.
+NEW_SQL = """select c_custkey // 2 + 1500 as item_id, c_custkey as seq, case when c_custkey % 7 = 0 then 'unknown' else 'basic_step' end as label from customer"""
+
+
+@query("src5_append_with_guard", b.with_("items", new=NEW_SQL, good="select * from new where label <> 'unknown' and item_id not in (select item_id from items) qualify row_number() over (partition by item_id order by seq) = 1") + """
+    select (select count(*) from items) + count(*) as n_rows, (select count(*) from items) + count(distinct item_id) as n_unique,
+      (select count(*) from new) - count(*) as n_rejected, sum(seq)::bigint as seqs from good""")
 def src5(spark, sf):
     old = b.items(spark, sf).select("item_id", "label")
     new = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("item_id"), F.col("c_mktsegment").alias("label"))
@@ -581,9 +585,17 @@ def src5(spark, sf):
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("item_id").alias("n_unique")).withColumn("n_rejected", rejected)
 
 
-@query("src6_update_by_key", """
-    select o_orderkey, case when o_orderkey % 3 = 0 then 'X' else o_orderstatus end as o_orderstatus,
-      case when o_orderkey % 6 = 0 then 1.5 else o_totalprice end as o_totalprice from orders""")
+#: Up to three patches of a key, in order; one may take a row out of the limits of the catalogue.
+PATCHES = dict(patches="""select item_id, 1 as seq, 100 + item_id % 80 as tempo, null::double as duration from items where item_id % 3 = 0
+      union all select item_id, 2, null, 10.5 from items where item_id % 6 = 0
+      union all select item_id, 3, 90, case when item_id % 8 = 0 then 25.0 end from items where item_id % 12 = 0""",
+    laid="select item_id, arg_max(tempo, seq) filter (tempo is not null) as tempo, arg_max(duration, seq) filter (duration is not null) as duration from patches group by 1",
+    both="select i.item_id, i.tempo, i.duration, coalesce(l.tempo, i.tempo) as t, coalesce(l.duration, i.duration) as d from items i left join laid l using (item_id)")
+
+
+@query("src6_update_by_key", b.with_("items", **PATCHES) + f"""
+    select item_id, case when ok then t else tempo end as tempo, case when ok then d else duration end::double as duration
+    from (select *, t between {vocab.MIN_TEMPO} and {vocab.MAX_TEMPO} and d between {vocab.MIN_CLIP_SECONDS} and {vocab.MAX_CLIP_SECONDS} as ok from both)""")
 def src6(spark, sf):
     o = b.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     fix = o.where(F.col("o_orderkey") % 3 == 0).select(
@@ -592,8 +604,8 @@ def src6(spark, sf):
 
 
 @query("set1_union", """
-    select l_partkey as item_id, 'sold' as origin, l_quantity as amount from lineitem where l_quantity >= 45
-    union all select p_partkey, 'listed', p_retailprice from part where p_size <= 10""")
+    select l_partkey as item_id, 'sold' as origin, l_quantity as amount from lineitem
+    union all select p_partkey, 'listed', p_retailprice from part""")
 def set1(spark, sf):
     sold = b.table(spark, sf, "lineitem").where("l_quantity >= 45").select(
         F.col("l_partkey").alias("item_id"), F.lit("sold").alias("origin"), F.col("l_quantity").alias("amount"))
@@ -607,20 +619,20 @@ def set2(spark, sf):
     return b.items(spark, sf).select("label", "role").distinct()
 
 
-@query("set3_difference", "select p_partkey as item_id from part except select l_partkey from lineitem where l_quantity > 49")
+@query("set3_difference", "select c_custkey as user_id from customer except select user_id from events")
 def set3(spark, sf):
     used = b.table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("item_id"))
     return b.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id")).join(used, "item_id", "left_anti")
 
 
-@query("set4_intersection", "select p_partkey as item_id from part where p_size < 25 intersect select l_partkey from lineitem where l_discount > 0.05")
+@query("set4_intersection", "select c_custkey as user_id from customer intersect select user_id from events")
 def set4(spark, sf):
     a = b.table(spark, sf, "part").where("p_size < 25").select(F.col("p_partkey").alias("item_id"))
     return a.intersect(b.table(spark, sf, "lineitem").where("l_discount > 0.05").select(F.col("l_partkey").alias("item_id")))
 
 
 @query("set5_incremental_load", """
-    select count(*) as n_new from (select o_custkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0) group by 1)""")
+    select count(*) as n_new from (select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem) group by 1)""")
 def set5(spark, sf):
     stored = b.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     seen = b.table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).distinct()
