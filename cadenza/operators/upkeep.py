@@ -6,23 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def append_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old rows plus the new rows whose key is not there yet."""
-    return old.unionByName(new.join(old.select(key), key, "left_anti"))
+def append_new(old: DataFrame, new: DataFrame, key: str, order: str, valid: Column | None = None) -> DataFrame:
+    """Old rows plus the new ones: valid, of a key that is not there yet, and the first of their key by `order`.
 
+    `order` ranks the new rows and is not stored. The rest is rejected, as if the rows were added one by one.
+    """
+    good = new if valid is None else new.where(F.coalesce(valid, F.lit(False)))
+    first = good.groupBy(key).agg(F.min_by(F.struct(*[c for c in new.columns if c != key]), order).alias("_row"))
+    fresh = first.join(old.select(key), key, "left_anti").select(key, "_row.*")
+    return old.unionByName(fresh.select(*old.columns))
 
-def rejected_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    return new.join(old.select(key), key, "left_semi")
 
+def patch(old: DataFrame, updates: DataFrame, key: str, order: str, valid: Column | None = None) -> DataFrame:
+    """Rows with the non-null values of sparse patches laid over them; of several patches of a key the later ones win.
 
-def patch(old: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Rows with the non-null values of a sparse patch laid over them."""
-    fields = [c for c in updates.columns if c != key]
-    renamed = updates.select(key, *[F.col(c).alias(f"_p_{c}") for c in fields])
-    joined = old.join(renamed, key, "left")
-    return joined.select(
-        *[F.coalesce(f"_p_{c}", c).alias(c) if c in fields else F.col(c) for c in old.columns]
-    )
+    A row that would not be `valid` afterwards stays as it was. Patches of unknown keys change nothing; `order` ranks the
+    patches of a key.
+    """
+    fields = [c for c in updates.columns if c not in (key, order)]
+    laid = updates.groupBy(key).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_p_{c}") for c in fields])
+    joined = old.join(laid, key, "left").withColumn("_old", F.struct(*old.columns))
+    done = joined.withColumns({c: F.coalesce(f"_p_{c}", c) for c in fields})
+    ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    return done.withColumn("_ok", ok).select(*[F.when(F.col("_ok"), F.col(c)).otherwise(F.col(f"_old.{c}")).alias(c) for c in old.columns])
 
 
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -272,8 +272,7 @@ def prj40(spark, sf):
       case when {_any_sql('label', vocab.ADVANCED_LABELS)} and difficulty = 'beginner' then 'warning:advanced_label_for_beginner' end]) if zz is not null], ',') as notes_found from raw""")
 def prj44(spark, sf):
     r = raw_items(spark, sf)
-    notes = F.substring("notes", F.lit(1), (8 + F.col("item_id") % 6).cast("int"))
-    found = labels.annotation_notes(F.col("tempo"), notes, F.col("label"), F.col("difficulty"))
+    found = labels.annotation_notes(F.col("tempo"), F.col("notes"), F.col("label"), F.col("difficulty"))
     return r.select("item_id", F.array_join(found, ",").alias("notes_found"))
 
 
@@ -458,15 +457,19 @@ def training_rows(spark, sf):
         F.concat(low.cast("string"), F.lit("-"), (low + 9).cast("string")).alias("tempo_bin"))
 
 
-@query("agg9_balance_advice", b.with_("items", c=f"select coalesce({_first_sql('label', vocab.CATEGORY_RULES)}, 'unknown') as category, * from items",
+@query("agg9_balance_advice", b.with_(c="""select o_orderstatus as category, case when o_orderpriority = '1-URGENT' then 'beginner' else 'advanced' end as difficulty,
+      case when o_totalprice < 50000 then 'low' when o_totalprice < 200000 then 'medium' else 'high' end as energy from orders""",
     s="""select (select max(n) > 3 * min(n) from (select count(*) n from c group by category)) as a, count(*) filter (difficulty = 'beginner') * 1.0 / count(*) as r,
       (select max(n) > 2 * min(n) from (select count(*) n from c group by energy)) as e, count(*) as n from c""") + """
     select unnest([zz for zz in ([case when a then 'add_underrepresented_categories' end,
       case when r < 0.2 then 'add_beginner' when r > 0.6 then 'add_harder' end, case when e then 'balance_energy' end,
       case when n < 50 then 'expand_dataset' end]) if zz is not null]) as advice from s""")
 def agg9(spark, sf):
-    i = b.items(spark, sf).where((F.col("energy") != "low") | (F.col("item_id") % 5 == 0))
-    rows = i.withColumn("category", F.coalesce(labels.category_of(F.col("label")), F.lit("unknown")))
+    """Advice on the orders as a collection: status as category, urgency as difficulty, price as level."""
+    price = F.col("o_totalprice")
+    rows = b.table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("category"), F.when(F.col("o_orderpriority") == "1-URGENT", "beginner").otherwise("advanced").alias("difficulty"),
+        F.when(price < 50000, "low").when(price < 200000, "medium").otherwise("high").alias("energy"))
     return balance_advice(profiles.facet_counts(rows, ["category", "difficulty", "energy"], []))
 
 
@@ -578,11 +581,14 @@ NEW_SQL = """select c_custkey // 2 + 1500 as item_id, c_custkey as seq, case whe
     select (select count(*) from items) + count(*) as n_rows, (select count(*) from items) + count(distinct item_id) as n_unique,
       (select count(*) from new) - count(*) as n_rejected, sum(seq)::bigint as seqs from good""")
 def src5(spark, sf):
-    old = b.items(spark, sf).select("item_id", "label")
-    new = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("item_id"), F.col("c_mktsegment").alias("label"))
-    rejected = upkeep.rejected_keys(old, new, "item_id").agg(F.count(F.lit(1))).scalar()
-    return upkeep.append_new(old, new, "item_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("item_id").alias("n_unique")).withColumn("n_rejected", rejected)
+    old = b.items(spark, sf).select("item_id", F.lit(0).cast("long").alias("seq"), "label")
+    key = F.col("c_custkey")
+    new = b.table(spark, sf, "customer").select(
+        (F.floor(key / 2) + 1500).alias("item_id"), key.alias("seq"), F.when(key % 7 == 0, "unknown").otherwise("basic_step").alias("label"))
+    total = new.agg(F.count(F.lit(1))).scalar() + old.agg(F.count(F.lit(1))).scalar()
+    n = F.count(F.lit(1))
+    return upkeep.append_new(old, new, "item_id", "seq", F.col("label").isin(vocab.LABELS)).agg(
+        n.alias("n_rows"), F.count_distinct("item_id").alias("n_unique"), F.sum("seq").alias("seqs")).withColumn("n_rejected", total - F.col("n_rows"))
 
 
 #: Up to three patches of a key, in order; one may take a row out of the limits of the catalogue.
@@ -590,26 +596,32 @@ PATCHES = dict(patches="""select item_id, 1 as seq, 100 + item_id % 80 as tempo,
       union all select item_id, 2, null, 10.5 from items where item_id % 6 = 0
       union all select item_id, 3, 90, case when item_id % 8 = 0 then 25.0 end from items where item_id % 12 = 0""",
     laid="select item_id, arg_max(tempo, seq) filter (tempo is not null) as tempo, arg_max(duration, seq) filter (duration is not null) as duration from patches group by 1",
-    both="select i.item_id, i.tempo, i.duration, coalesce(l.tempo, i.tempo) as t, coalesce(l.duration, i.duration) as d from items i left join laid l using (item_id)")
+    patched="select i.item_id, i.tempo, i.duration, coalesce(l.tempo, i.tempo) as t, coalesce(l.duration, i.duration) as d from items i left join laid l using (item_id)")
 
 
 @query("src6_update_by_key", b.with_("items", **PATCHES) + f"""
     select item_id, case when ok then t else tempo end as tempo, case when ok then d else duration end::double as duration
-    from (select *, t between {vocab.MIN_TEMPO} and {vocab.MAX_TEMPO} and d between {vocab.MIN_CLIP_SECONDS} and {vocab.MAX_CLIP_SECONDS} as ok from both)""")
+    from (select *, t between {vocab.MIN_TEMPO} and {vocab.MAX_TEMPO} and d between {vocab.MIN_CLIP_SECONDS} and {vocab.MAX_CLIP_SECONDS} as ok from patched)""")
 def src6(spark, sf):
-    o = b.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    fix = o.where(F.col("o_orderkey") % 3 == 0).select(
-        "o_orderkey", F.lit("X").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 2 == 0, 1.5).alias("o_totalprice"))
-    return upkeep.patch(o, fix, "o_orderkey")
+    i = b.items(spark, sf).select("item_id", "tempo", "duration")
+    key = F.col("item_id")
+
+    def step(seq, every, tempo, seconds):
+        return i.where(key % every == 0).select("item_id", F.lit(seq).alias("seq"), tempo.cast("int").alias("tempo"), seconds.cast("double").alias("duration"))
+
+    none = F.lit(None)
+    fixes = step(1, 3, 100 + key % 80, none).unionByName(step(2, 6, none, F.lit(10.5))).unionByName(step(3, 12, F.lit(90), F.when(key % 8 == 0, 25.0)))
+    valid = F.col("tempo").between(vocab.MIN_TEMPO, vocab.MAX_TEMPO) & F.col("duration").between(vocab.MIN_CLIP_SECONDS, vocab.MAX_CLIP_SECONDS)
+    return upkeep.patch(i, fixes, "item_id", "seq", valid)
 
 
 @query("set1_union", """
     select l_partkey as item_id, 'sold' as origin, l_quantity as amount from lineitem
     union all select p_partkey, 'listed', p_retailprice from part""")
 def set1(spark, sf):
-    sold = b.table(spark, sf, "lineitem").where("l_quantity >= 45").select(
+    sold = b.table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("item_id"), F.lit("sold").alias("origin"), F.col("l_quantity").alias("amount"))
-    listed = b.table(spark, sf, "part").where("p_size <= 10").select(
+    listed = b.table(spark, sf, "part").select(
         F.lit("listed").alias("origin"), F.col("p_partkey").alias("item_id"), F.col("p_retailprice").alias("amount"))
     return sold.unionByName(listed)
 
@@ -621,21 +633,22 @@ def set2(spark, sf):
 
 @query("set3_difference", "select c_custkey as user_id from customer except select user_id from events")
 def set3(spark, sf):
-    used = b.table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("item_id"))
-    return b.table(spark, sf, "part").select(F.col("p_partkey").alias("item_id")).join(used, "item_id", "left_anti")
+    """Customers without an event."""
+    return b.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")).join(b.table(spark, sf, "events").select("user_id"), "user_id", "left_anti")
 
 
 @query("set4_intersection", "select c_custkey as user_id from customer intersect select user_id from events")
 def set4(spark, sf):
-    a = b.table(spark, sf, "part").where("p_size < 25").select(F.col("p_partkey").alias("item_id"))
-    return a.intersect(b.table(spark, sf, "lineitem").where("l_discount > 0.05").select(F.col("l_partkey").alias("item_id")))
+    """Customers with an event."""
+    return b.table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")).intersect(b.table(spark, sf, "events").select("user_id"))
 
 
 @query("set5_incremental_load", """
     select count(*) as n_new from (select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem) group by 1)""")
 def set5(spark, sf):
-    stored = b.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
-    seen = b.table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    """Orders that the line table does not have yet."""
+    stored = b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"))
+    seen = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).distinct()
     return seen.join(stored, "id", "left_anti").agg(F.count(F.lit(1)).alias("n_new"))
 
 

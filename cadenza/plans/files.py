@@ -201,8 +201,9 @@ def src14(spark, sf):
     """The second load replaces the first one; reloading the same keys adds nothing."""
     path = scratch_path(spark, "vectors")
     v = b.vectors(spark, sf)
-    tb.write_vectors(v, path, "vec", 64)
-    fresh = v.where("vec_id >= 100")
+    first = v.select((F.col("vec_id") + 10**6).alias("vec_id"), "vec", "vec_label").unionByName(v)
+    tb.write_vectors(first, path, "vec", 64)
+    fresh = v
     tb.write_vectors(fresh, path, "vec", 64)
     stored = spark.read.schema(v.schema).parquet(path).agg(F.count_distinct("vec_id")).scalar()
     return fresh.agg(F.count(F.lit(1)).alias("n_total")).select("n_total", stored.alias("n_stored")).withColumn("n_failed", F.col("n_total") - F.col("n_stored"))
