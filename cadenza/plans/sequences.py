@@ -111,7 +111,21 @@ def seq2(spark, sf):
     return _unrolled(p, extra=["sections"]).select("req_id", "pos", "item_id", "label", "duration", F.aggregate("sections", F.lit(0.0), lambda a, x: a + x).alias("target"))
 
 
-@query("seq3_per_step_lists")
+#: A step's list holds what is not a head yet, and heads among the first three, discounted; its best is the next head.
+SEQ3_SQL = b.with_("request_vectors", "item_vectors", **ALL_SCORES, cand=f"select * from ({TOPK_SQL.format(src='scored')}) where rank <= 10").replace("with ", "with recursive ", 1) + """,
+    step as (
+      select req_id, 0 as step, []::bigint[] as used from (select distinct req_id from cand)
+      union all
+      select req_id, step + 1, list_append(used, item_id) from (
+        select s.req_id, s.step, s.used, c.item_id, row_number() over (partition by s.req_id order by
+          round(c.score * case when list_contains(s.used, c.item_id) then 0.7 else 1.0 end, 9) desc, c.rank) as best
+        from step s join cand c on s.req_id = c.req_id where s.step < 6 and (c.rank <= 3 or not list_contains(s.used, c.item_id))) where best = 1),
+    lists as (select s.req_id, s.step, c.item_id, c.rank, round(c.score * case when list_contains(s.used, c.item_id) then 0.7 else 1.0 end, 9) as score
+      from step s join cand c on s.req_id = c.req_id where s.step < 6 and (c.rank <= 3 or not list_contains(s.used, c.item_id)))
+    select req_id, step::int as step, row_number() over (partition by req_id, step order by score desc, rank)::int as place, item_id, round(score, 6) as score from lists"""
+
+
+@query("seq3_per_step_lists", SEQ3_SQL)
 def seq3(spark, sf):
     p = lists(spark, sf, 10).withColumn("picked", folds.per_step_lists(F.col("cands"), 6, 0.3, 3))
     return _unrolled(p).select("req_id", "pos", "item_id", "label")

@@ -25,5 +25,5 @@ def test_column_pruning(spark):
 
 
 def test_filter_pushdown(spark):
-    text = plan(spark, "set1_union")
-    assert "GreaterThanOrEqual(l_quantity,45.0)" in text
+    text = plan(spark, "flt9_period_filter")
+    assert "EqualTo(event_type,view)" in text
