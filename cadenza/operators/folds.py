@@ -115,16 +115,18 @@ def section_greedy(cands: Column, sections: Column, at_most: int = 12) -> Column
 
 
 def per_step_lists(cands: Column, steps: int, diversity: float, keep: int) -> Column:
-    """Head of the list at each step: earlier heads drop out, or stay discounted in the first three places."""
+    """The list of every step, best first: earlier heads drop out, or stay discounted among the `keep` best candidates."""
+    def listed(heads):
+        used = lambda c: F.exists(heads, lambda h: h == c["item_id"])
+        kept = F.filter(cands, lambda c: (c["rank"] <= keep) | ~used(c))
+        score = lambda c: F.round(F.when(used(c), c["score"] * (1.0 - diversity)).otherwise(c["score"]), 9)
+        return F.array_sort(F.transform(kept, lambda c: F.struct((-score(c)).alias("s"), c["rank"].alias("r"), c["item_id"].alias("item_id"))))
+
     def step(heads, _):
-        used = lambda c: F.exists(heads, lambda h: h["item_id"] == c["item_id"])
-        fresh = F.filter(cands, lambda c: ~used(c))
-        stale = F.slice(F.transform(F.filter(cands, used), lambda c: c.withField("score", F.round(c["score"] * (1.0 - diversity), 9))), 1, keep)
-        order = F.concat(stale, fresh)
-        best = F.array_max(F.transform(order, lambda c: F.struct(c["score"].alias("s"), (-c["rank"]).alias("r"), c.alias("c"))))
-        return F.concat(heads, F.array(best["c"]))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.slice(cands, 1, 0), step)
+        return F.concat(heads, F.array(F.element_at(listed(heads), 1)["item_id"]))
+
+    heads = F.aggregate(F.sequence(F.lit(2), F.lit(steps)), F.slice(F.transform(cands, lambda c: c["item_id"]), 1, 1), step)
+    return let(heads, lambda h: F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: listed(F.slice(h, F.lit(1), i))))
 
 
 def usage_balanced(cands: Column, key: Column, steps: Column, seed: int) -> Column:

@@ -127,8 +127,10 @@ SEQ3_SQL = b.with_("request_vectors", "item_vectors", **ALL_SCORES, cand=f"selec
 
 @query("seq3_per_step_lists", SEQ3_SQL)
 def seq3(spark, sf):
-    p = lists(spark, sf, 10).withColumn("picked", folds.per_step_lists(F.col("cands"), 6, 0.3, 3))
-    return _unrolled(p).select("req_id", "pos", "item_id", "label")
+    """Ten recommendations for each of six steps, without or discounting what has led a list."""
+    p = lists(spark, sf, 10).select("req_id", F.posexplode(folds.per_step_lists(F.col("cands"), 6, 0.3, 3)).alias("step", "list"))
+    rows = p.select("req_id", "step", F.posexplode("list").alias("at", "p"))
+    return rounded(rows.select("req_id", "step", (F.col("at") + 1).alias("place"), "p.item_id", (-F.col("p.s")).alias("score")))
 
 
 @query("seq4_complete_sequence")
