@@ -9,7 +9,7 @@ from ..operators import diversity, folds, timeline
 from ..operators.profiles import rounded
 from . import binding as b
 from .catalogue import _first_sql, truth_accuracy
-from .encoding import COMPAT_SQL, categorical_search, search, tempo_search
+from .encoding import COMPAT_SQL, SPACES, UNIFIED_SQL, _asked_sql, _search_sql, categorical_search, search, tempo_search
 from .registry import query
 from .scoring import ALL_SCORES, TOPK_SQL, best_items, purchases, with_style
 
@@ -80,9 +80,8 @@ def top15(spark, sf):
 
 
 #: One step at a time: the state is the last pick, the items and the last two labels; the pool is that of the search.
-SEQ1_SQL = b.with_("request_vectors", "item_vectors", **ALL_SCORES,
-    cand=f"select t.*, label, energy, difficulty from ({TOPK_SQL.format(src='scored')}) t join items using (item_id) where rank <= 30",
-    opening="select * from cand qualify row_number() over (partition by req_id order by not (contains(label, 'basic') and rank <= 20), rank) = 1").replace("with ", "with recursive ", 1) + f""",
+OPENING_SQL = "select * from cand qualify row_number() over (partition by req_id order by not (contains(label, 'basic') and rank <= 20), rank) = 1"
+STEPS_SQL = f""",
     seq as (
       select req_id, 0 as pos, item_id, label, energy, difficulty, score, [item_id] as used, [label] as labels from opening
       union all
@@ -92,7 +91,18 @@ SEQ1_SQL = b.with_("request_vectors", "item_vectors", **ALL_SCORES,
             (c.score + case when c.item_id <> a.item_id and {COMPAT_SQL} then 0.4 * 0.3 else 0 end)
               * case when list_contains(a.used, c.item_id) then 0.7 else 1.0 end
             + case when a.pos >= 1 and not list_contains(a.labels, c.label) then 0.3 * 0.2 else 0 end, 9) desc, c.rank) as best
-        from seq a join cand c on a.req_id = c.req_id where a.pos < 7) where best = 1)
+        from seq a join cand c on a.req_id = c.req_id where a.pos < 7) where best = 1)"""
+
+
+def _candidates_sql(src):
+    return f"select t.*, label, energy, difficulty from {src} t join items using (item_id) where rank <= 30"
+
+
+def _recursive(text):
+    return text.replace("with ", "with recursive ", 1)
+
+
+SEQ1_SQL = _recursive(b.with_("request_vectors", "item_vectors", **ALL_SCORES, cand=_candidates_sql(f"({TOPK_SQL.format(src='scored')})"), opening=OPENING_SQL)) + STEPS_SQL + """
     select req_id, pos::int as pos, item_id, label, round(score, 6) as score from seq"""
 
 
@@ -154,7 +164,18 @@ def seq4(spark, sf):
     return rounded(out.fillna(0, ["n_semantic", "n_tempo", "n_categorical"]))
 
 
-@query("seq5_end_to_end")
+SEQ5_SQL = _recursive(b.with_("requests", "items", **UNIFIED_SQL, **_asked_sql(SPACES), **_search_sql(30), cand=_candidates_sql("best"), opening=OPENING_SQL)) + STEPS_SQL + """,
+    ids as (select req_id, list(item_id order by pos) as ids, (30 + req_id % 200)::double as target from seq group by 1),
+    n as (select *, least(101, floor(target / 8) + (target - floor(target / 8) * 8 >= 4)::int)::int as n from ids),
+    slot as (select req_id, target, ids, unnest(range(0, n)) as slot from n),
+    timed as (select req_id, ids[slot % len(ids) + 1] as item_id, least(8.0, target - slot * 8.0) as seconds from slot)
+    select req_id, count(*) as n_slots, sum(seconds)::double as total_seconds, count(distinct item_id) as n_items, array_to_string(list_sort(list_distinct(list(label))), ',') as move_types,
+      case when count(*) filter (difficulty = 'beginner') >= greatest(count(*) filter (difficulty = 'intermediate'), count(*) filter (difficulty = 'advanced')) then 'beginner'
+        when count(*) filter (difficulty = 'intermediate') >= count(*) filter (difficulty = 'advanced') then 'intermediate' else 'advanced' end as difficulty, md5(req_id::varchar) as source_hash
+    from timed join items using (item_id) group by req_id"""
+
+
+@query("seq5_end_to_end", SEQ5_SQL)
 def seq5(spark, sf):
     """Requests x catalogue -> recommendations -> sequence -> timed slots -> metadata row."""
     seqs = lists(spark, sf).withColumn("picked", folds.transition_greedy(F.col("cands"), "kind", 8, F.lit(0.3), F.lit(0.4))).select(
