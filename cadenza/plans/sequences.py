@@ -11,7 +11,7 @@ from . import binding as b
 from .catalogue import _first_sql, truth_accuracy
 from .encoding import COMPAT_SQL, SPACES, UNIFIED_SQL, _asked_sql, _search_sql, categorical_search, search, tempo_search
 from .registry import query
-from .scoring import ALL_SCORES, TOPK_SQL, best_items, purchases, with_style
+from .scoring import ALL_SCORES, TOPK_SQL, best_items, pool_size, purchases, with_style
 
 RANK = b.sql_rank
 S = ["seq_id"]
@@ -67,6 +67,12 @@ def lists(spark, sf, k=30):
     return folds.candidate_lists(typed_candidates(spark, sf, k), "req_id", FIELDS)
 
 
+def recommended(spark, sf):
+    """Candidates of the oversampled search on the unified vectors, for a sequence."""
+    i = b.items(spark, sf).select("item_id", "label", "energy", "difficulty", "duration").withColumn("kind", labels.type_of(F.col("label")))
+    return folds.candidate_lists(search(spark, sf, SPACES, pool_size(6)).join(i, "item_id"), "req_id", FIELDS)
+
+
 def _unrolled(df, col="picked", extra=()):
     return df.select("req_id", *extra, F.posexplode(col).alias("pos", "p")).select("req_id", *extra, "pos", "p.item_id", "p.label", "p.energy", "p.difficulty", "p.duration", "p.score")
 
@@ -177,8 +183,8 @@ SEQ5_SQL = _recursive(b.with_("requests", "items", **UNIFIED_SQL, **_asked_sql(S
 
 @query("seq5_end_to_end", SEQ5_SQL)
 def seq5(spark, sf):
-    """Requests x catalogue -> recommendations -> sequence -> timed slots -> metadata row."""
-    seqs = lists(spark, sf).withColumn("picked", folds.transition_greedy(F.col("cands"), "kind", 8, F.lit(0.3), F.lit(0.4))).select(
+    """Requests x catalogue -> oversampled recommendations -> sequence -> timed slots -> metadata row."""
+    seqs = recommended(spark, sf).withColumn("picked", folds.transition_greedy(F.col("cands"), "kind", 8, F.lit(0.3), F.lit(0.4))).select(
         "req_id", F.transform("picked", lambda p: p["item_id"]).alias("ids"), F.size("picked").alias("n_items"), song_seconds().alias("target"))
     slots = timeline.fixed_slots(seqs, "ids", "target").join(b.items(spark, sf).select("item_id", "label", "difficulty"), "item_id")
     g = slots.groupBy("req_id").agg(
