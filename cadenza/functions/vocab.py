@@ -158,3 +158,23 @@ JOINTS = {
 CENTRE_POINTS = [11, 12, 23, 24, 25, 26]
 FOOT_POINTS = [27, 28, 31, 32]
 FIFTHS = [0, 7, 2, 9, 4, 11, 6, 1, 8, 3, 10, 5]
+
+# Stored filter templates: name, difficulty, energy, role, tempo range, labels; None is a wildcard.
+TEMPLATES = [
+    ("beginner", "beginner", None, None, None, None),
+    ("advanced_high", "advanced", "high", None, None, None),
+    ("slow", None, "low", None, (102, 115), None),
+    ("lead", None, None, "lead_focus", None, None),
+    ("follow", None, None, "follow_focus", None, None),
+    ("fast", None, None, None, (135, 150), None),
+    ("balanced", "intermediate", "medium", None, None, None),
+    ("turns", None, None, None, None, ("lady_right_turn", "lady_left_turn")),
+]
+
+# Target group of each label in the catalogue's folders; other labels go to advanced.
+GROUPS = {
+    "basic_step": "basic_moves", "cross_body_lead": "partner_work", "double_cross_body_lead": "partner_work",
+    "lady_right_turn": "turns_spins", "lady_left_turn": "turns_spins", "forward_backward": "basic_moves",
+    "dip": "advanced", "body_roll": "styling", "hammerlock": "advanced", "shadow_position": "advanced",
+    "combination": "advanced", "arm_styling": "styling",
+}

@@ -490,19 +490,6 @@ def balance_advice(counts):
 
 # --- joins on the catalogue -------------------------------------------------------------
 
-TEMPLATES = [
-    # name, difficulty, energy, role, tempo range, labels; None is a wildcard (fixed values)
-    ("beginner", "beginner", None, None, None, None),
-    ("advanced_high", "advanced", "high", None, None, None),
-    ("slow", None, "low", None, (102, 115), None),
-    ("lead", None, None, "lead_focus", None, None),
-    ("follow", None, None, "follow_focus", None, None),
-    ("fast", None, None, None, (135, 150), None),
-    ("balanced", "intermediate", "medium", None, None, None),
-    ("turns", None, None, None, None, ("lady_right_turn", "lady_left_turn")),
-]
-
-
 def _template_sql(t):
     _, d, e, r, tempo, types = t
     conds = [f"{c} = '{v}'" for c, v in (("difficulty", d), ("energy", e), ("role", r)) if v]
@@ -513,7 +500,7 @@ def _template_sql(t):
     return f"select '{t[0]}' as template, count(*) as available, count(*) > 0 as validated from items where " + " and ".join(conds)
 
 
-@query("jon15_template_matches", b.with_("items") + " union all ".join(_template_sql(t) for t in TEMPLATES))
+@query("jon15_template_matches", b.with_("items") + " union all ".join(_template_sql(t) for t in vocab.TEMPLATES))
 def jon15(spark, sf):
     """The catalogue is reduced to counts per attribute combination first."""
     facets = ["difficulty", "energy", "role", "tempo", "label"]
@@ -530,20 +517,12 @@ def jon15(spark, sf):
             cond = cond & F.col("label").isin(list(t[5]))
         return F.struct(F.lit(t[0]).alias("template"), cond.alias("hit"))
 
-    return upkeep.template_matches(classes, F.array(*[hit(t) for t in TEMPLATES]))
-
-
-GROUPS = {
-    "basic_step": "basic_moves", "cross_body_lead": "partner_work", "double_cross_body_lead": "partner_work",
-    "lady_right_turn": "turns_spins", "lady_left_turn": "turns_spins", "forward_backward": "basic_moves",
-    "dip": "advanced", "body_roll": "styling", "hammerlock": "advanced", "shadow_position": "advanced",
-    "combination": "advanced", "arm_styling": "styling",
-}
+    return upkeep.template_matches(classes, F.array(*[hit(t) for t in vocab.TEMPLATES]))
 
 
 @query("jon16_reconciliation", b.with_("items", listing="select case when page_id % 3 = 0 then 'styling' when page_id % 3 = 1 then 'advanced' else 'inbox' end || '/' || page_id || '.mp4' as path from pages",
     want=f"""select item_id, case when item_id % 4 = 0 then 'styling' when item_id % 4 = 1 then 'advanced' else 'inbox' end || '/' || item_id || '.mp4' as path,
-      {_first_sql('label', list(GROUPS.items()), "'advanced'")} || '/' || item_id || '.mp4' as target from items""") + """
+      {_first_sql('label', list(vocab.GROUPS.items()), "'advanced'")} || '/' || item_id || '.mp4' as target from items""") + """
     select status, count(*) as n from (select case when path not in (select path from listing) then 'missing' when path = target then 'already_organized'
       when target in (select path from listing) then 'target_exists' else 'to_move' end as status from want) group by status""")
 def jon16(spark, sf):
@@ -555,7 +534,7 @@ def jon16(spark, sf):
     page, item = F.col("page_id"), F.col("item_id")
     listing = b.table(spark, sf, "pages").select(F.concat(folder(page, 3), F.lit("/"), page.cast("string"), F.lit(".mp4")).alias("path"))
     cat = b.items(spark, sf).select("item_id", "label", F.concat(folder(item, 4), F.lit("/"), item.cast("string"), F.lit(".mp4")).alias("path"))
-    group = _first_match(F.col("label"), list(GROUPS.items())).otherwise("advanced")
+    group = _first_match(F.col("label"), list(vocab.GROUPS.items())).otherwise("advanced")
     target = F.concat(group, F.lit("/"), item.cast("string"), F.lit(".mp4"))
     return upkeep.reconcile(cat, listing, "path", target).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
