@@ -145,7 +145,8 @@ def metadata_rows(spark, sf):
 
 
 META_SQL = dict(meta="""select seq_id::varchar as sequence_id, md5('song_' || seq_id) as source_hash, avg(tempo) as tempo, sum(seconds) as duration, round(avg(similarity), 9) as rhythm,
-    min(difficulty) as difficulty from slots group by seq_id""")
+    case when count(*) filter (difficulty = 'beginner') >= greatest(count(*) filter (difficulty = 'intermediate'), count(*) filter (difficulty = 'advanced')) then 'beginner'
+      when count(*) filter (difficulty = 'intermediate') >= count(*) filter (difficulty = 'advanced') then 'intermediate' else 'advanced' end as difficulty from slots group by seq_id""")
 
 
 @query("src10_many_file_scan", b.with_("slots", **META_SQL) + "select difficulty, count(*) as n, round(avg(tempo), 6) as mean_tempo, count(*) filter (rhythm > 0.7) as n_strong from meta group by 1")
