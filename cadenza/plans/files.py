@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import labels, scores, text
-from ..operators import profiles
+from ..functions import labels, scores, text, vocab
+from ..operators import profiles, timeline
 from ..session import scratch_path
 from ..sources import catalogue as cat
 from ..sources import tables as tb
@@ -136,7 +136,8 @@ def metadata_rows(spark, sf):
     """Stored sequence metadata: one flat row per sequence with tags, types and source hash."""
     s = b.slots(spark, sf).groupBy("seq_id").agg(
         F.avg("tempo").alias("tempo"), F.sum("seconds").alias("duration"), F.sort_array(F.collect_set(labels.type_of(F.col("label")))).alias("move_types"),
-        F.round(F.avg("similarity"), 9).alias("rhythm"), F.mode("difficulty").alias("_m"), F.min("difficulty").alias("difficulty"))
+        F.round(F.avg("similarity"), 9).alias("rhythm"),
+        *[F.count_if(F.col("difficulty") == x).alias(f"n_{x}") for x in vocab.DIFFICULTIES]).withColumn("difficulty", timeline.majority_band())
     source = F.concat(F.lit("song_"), F.col("seq_id").cast("string"))
     tags = text.search_tags(F.col("tempo"), F.lit(0.2), F.col("rhythm"), F.lit(0.5), F.col("move_types"), F.lit("balanced"))
     return s.select(
