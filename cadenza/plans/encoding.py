@@ -189,7 +189,7 @@ def search(spark, sf, weights, k, said=True):
     members, asked = request_classes(spark, sf, words, weights)
     found = unified_items(spark, sf).select("item_id", "vec")
     sizes = asked.count(), b.table(spark, sf, "part").count()
-    return to_members(block_topk(asked, found, "req_id", "item_id", k, sizes=sizes, left_rows=1024, right_rows=2048), members)
+    return to_members(block_topk(asked, found, "req_id", "item_id", k, sizes=sizes, left_rows=1024, right_rows=8192), members)
 
 
 def blended_search(spark, sf, words, weights, k, scorer, classes):
