@@ -2,7 +2,7 @@
 
 A document is the set of its distinct five-word shingles; two documents link at a Jaccard similarity of 0.75 or more.
 
-Method. Shingles are ordered by frequency class, rare ones first. A set of size s that links with another keeps all but
+Method. Shingles are ordered by frequency class, the rarest first. A set of size s that links with another keeps all but
 floor(s / 4) of its shingles in common with it. Frequent shingles are dealt to classes by hash; a class is indexed by
 pairs of its shingles, so n shingles of it stand for n - 1 errors, while each rare shingle, indexed alone, stands for
 one. A prefix is extended until it stands for floor(s / 4) + 1 errors: two linked sets then share a rare shingle or a
@@ -35,8 +35,10 @@ from cadenza.llm.lists import LIST_BLOCK, MAP_BITS, SIG_BITS, distinct_pairs, en
 from cadenza.llm.shared import ROW, components, numbered, staged
 
 CELLS = 1 << 22
-#: A shingle in at least so many sets counts as frequent.
+#: A shingle in at least so many sets counts as frequent, above what a cell of the sketch holds anyway.
 FREQUENT = 16
+#: Levels of rare shingles: a prefix takes the rarest ones first.
+LEVELS = 64
 #: Bit map of a set: at least four bits for each shingle, from MAP_BITS to this bound.
 MOST_MAP_BITS = 1 << 18
 
@@ -94,17 +96,25 @@ PROFILE = "doc_id long, n long, node long, second long, bits binary, block int,
 
 
 def frequency_classes(profile: DataFrame, frequent: int) -> np.ndarray:
-    """Class of each cell of the sketch, 0 for rare: a table of fixed size, whatever the corpus."""
+    """Class of each cell of the sketch, below LEVELS for rare: a table of fixed size, whatever the corpus.
+
+    A cell also holds the shingles that fall there by chance, about `noise` with a deviation of its root.
+    """
     counts = merged(profile.where("block is not null"), CELLS).astype(np.int64)
     noise = int(np.median(counts))
-    return np.where(counts < frequent + 2 * noise, 0, np.log2(np.maximum(counts, 1)).astype(np.int64) + 1).astype(np.uint8)
+    low, high = int(np.quantile(counts, 0.01)), frequent + noise + 3 * int(np.sqrt(noise))
+    level = np.clip(LEVELS * (counts - low) // (high - low), 0, LEVELS - 1)
+    return np.where(counts < high, level, np.log2(np.maximum(counts - noise, 1)).astype(np.int64) + LEVELS).astype(np.uint8)
 
 
-def signatures(tokens: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Index keys of one set: its rare prefix shingles, and pairs of its frequent prefix shingles by class and band."""
+def signatures(tokens: np.ndarray, cls: np.ndarray, levels: int = 1) -> np.ndarray:
+    """Index keys of one set: its rare prefix shingles, and pairs of its frequent prefix shingles by class and band.
+
+    Classes below `levels` are rare, the lowest rarest.
+    """
     n = len(tokens)
     order = np.argsort((cls.astype(_U) << _U(56)) | (tokens >> _U(8)))
-    tokens, rare = tokens[order], cls[order] == 0
+    tokens, rare = tokens[order], cls[order] < levels
     errors = n // 4 + 1
     bands = [n.bit_length() - 1]
     if n >= 3 * (1 << bands[0]) // 2:
@@ -145,11 +155,11 @@ def _index(table) -> Callable:
                 for d in range(len(node)):
                     lo, hi = bounds[d], bounds[d + 1]
                     if hi - lo > 2 and sets.is_new(int(node[d])):
-                        own = signatures(flat[lo:hi], cls[lo:hi]) >> _U(64 - SIG_BITS)
+                        own = signatures(flat[lo:hi], cls[lo:hi], LEVELS) >> _U(64 - SIG_BITS)
                         keys.append(own.view(np.int64))
                         nodes.append(np.full(len(own), node[d]))
                         sizes.append(np.full(len(own), hi - lo, dtype=np.int32))
-                        own_rare.append(np.full(len(own), 255 * int((cls[lo:hi] == 0).sum()) // (hi - lo), dtype=np.int16))
+                        own_rare.append(np.full(len(own), 255 * int((cls[lo:hi] < LEVELS).sum()) // (hi - lo), dtype=np.int16))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, own_rare)], names=["sig", "node", "n", "rare"])

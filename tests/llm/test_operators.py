@@ -93,6 +93,22 @@ def test_signatures_meet():
             assert len(np.intersect1d(x, y)), (n, drop, add)
 
 
+def test_signatures_meet_by_levels():
+    """The same with levels of rare shingles, at the lower sizes of a set and in sets of mostly frequent shingles."""
+    rng = np.random.default_rng(5)
+    for k in range(600):
+        n = int(rng.integers(3, 40 if k % 2 else 400))
+        drop = int(rng.integers(0, n // 4 + 1))
+        add = max(0, (n - drop) * 4 // 3 - n)
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate((a[drop:], rng.integers(0, 2**63, add, dtype=np.uint64)))
+        spread = int(rng.integers(1, 200))
+        cls = lambda x: (x % np.uint64(spread)).astype(np.uint8)
+        if 100 * (n - drop) >= 75 * (n + add):
+            x, y = (jaccard_join.signatures(s, cls(s), jaccard_join.LEVELS) for s in (np.sort(a), np.sort(b)))
+            assert len(np.intersect1d(x, y)), (n, drop, add, spread)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
