@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cadenza.llm import bytesets as B
 from cadenza.llm.cells import cut, merged
 from cadenza.llm.lists import LIST_BLOCK, MAP_BITS, SIG_BITS, distinct_pairs, enough, folded, is_needed, later_pairs, needed_bits
-from cadenza.llm.shared import ROW, components, numbered, staged
+from cadenza.llm.shared import ROW, components, numbered, released, staged
 
 CELLS = 1 << 22
 #: A shingle in at least so many sets counts as frequent, above what a cell of the sketch holds anyway.
@@ -218,7 +218,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     text = texts.mapInArrow(_texts_of(needed), "node long, t string").groupBy("node").agg(F.first("t").alias("t"))
     text = staged(text, "texts")
     as_ = lambda k: text.select(F.col("node").alias(k), F.col("t").alias(f"t_{k}"))
-    return staged(near.join(as_("u"), "u").join(as_("v"), "v").select("u", "v", "t_u", "t_v").mapInArrow(_verify, "u long, v long"), "links")
+    links = staged(near.join(as_("u"), "u").join(as_("v"), "v").select("u", "v", "t_u", "t_v").mapInArrow(_verify, "u long, v long"), "links")
+    released(near, text)
+    return links
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -242,8 +244,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = components(links)
 
     maps = nodes.select("node", "bits").mapInArrow(_small, "node long, small binary")
-    second = later_pairs(found_lists.where("u is null").select("sig", "node", "n"), found, maps, first, LIST_BLOCK)
-    links = links.unionByName(_links(staged(second, "second"), nodes, texts))
+    second = staged(later_pairs(found_lists.where("u is null").select("sig", "node", "n"), found, maps, first, LIST_BLOCK), "second")
+    released(found_lists)
+    links = links.unionByName(_links(second, nodes, texts))
+    released(second)
     found = components(links).withColumnRenamed("component", "root")
 
     group = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -19,6 +19,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def released(*tables: DataFrame) -> None:
+    """Deletes tables of `staged` that no later step reads: what came of them has been written."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Column of `numbered`.
 ROW = "_row_of_stage"
 
@@ -47,7 +56,8 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")),
         )).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = staged(small, "edges")
+        before, edges = edges, staged(small, "edges")
+        released(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
