@@ -258,7 +258,7 @@ def prj40(spark, sf):
         "difficulty": F.when(key % 19 == 0, "expert").otherwise(F.col("difficulty")),
         "energy": F.when(key % 5 == 0, F.lit(None)).when(key % 23 == 0, "extreme").otherwise(F.col("energy")),
         "quality_mode": b.pick(["fast", "balanced", "high_quality", "ultra"], key),
-        "max_duration": F.when(key % 7 == 0, F.lit(None)).otherwise(F.round(F.col("balance") / 8).cast("int")),
+        "max_duration": F.when(key % 7 == 0, F.lit(None)).otherwise(F.bround(F.col("balance") / 8).cast("int")),
         "min_duration": key % 400, "role": F.col("role"),
         "types": F.when(key % 3 == 0, F.lit(None)).otherwise(two), "tempo_range": span,
     }
