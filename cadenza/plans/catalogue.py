@@ -560,7 +560,7 @@ NEW_SQL = """select c_custkey // 2 + 1500 as item_id, c_custkey as seq, case whe
     select (select count(*) from items) + count(*) as n_rows, (select count(*) from items) + count(distinct item_id) as n_unique,
       (select count(*) from new) - count(*) as n_rejected, sum(seq)::bigint as seqs from good""")
 def src5(spark, sf):
-    old = b.items(spark, sf).select("item_id", F.lit(0).cast("long").alias("seq"), "label")
+    old = b.items(spark, sf).select("item_id", F.lit(None).cast("long").alias("seq"), "label")
     key = F.col("c_custkey")
     new = b.table(spark, sf, "customer").select(
         (F.floor(key / 2) + 1500).alias("item_id"), key.alias("seq"), F.when(key % 7 == 0, "unknown").otherwise("basic_step").alias("label"))
