@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, scores, vocab
 from .graph import CLASS, compatible
+from .ordering import running_totals
 from .series import haloed, own
 
 
@@ -24,11 +25,10 @@ def fixed_slots(seqs: DataFrame, ids: str, target: str, seconds: float = 8.0, le
         "start": F.col("slot") * seconds, "seconds": F.least(F.lit(seconds), F.col(target) - F.col("slot") * seconds)}).drop("_n", "n_items", ids, target)
 
 
-def natural_slots(slots: DataFrame, keys: list[str], order: str, seconds: str, target: float, most: int = 51) -> DataFrame:
-    """Own durations in order, up to the first slot that would overflow the target."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    s = slots.where(F.col(order) < most).withColumn("end", F.sum(seconds).over(w)).withColumn("start", F.col("end") - F.col(seconds))
-    return s.where(F.col("end") <= target)
+def natural_slots(slots: DataFrame, keys: list[str], order: str, seconds: str, target: float) -> DataFrame:
+    """Own durations in order, up to the first slot that would overflow the target; `order` counts the rows of a sequence from 0."""
+    s = running_totals(slots, keys, [order], F.floor(F.col(order) / 1024), {"end": F.col(seconds)})
+    return s.where(F.col("end") <= target).withColumn("start", F.col("end") - F.col(seconds))
 
 
 def beat_slots(songs: DataFrame, beats: str, tempo: Column, items: int, target: float | None = None) -> DataFrame:
