@@ -89,3 +89,41 @@ def test_pairs_are_left_out(spark):
             share[name, sf] = scored / (len(lm) * len(rm))
     print(share)
     assert share["multi", "sf0.1"] < 0.9 * share["multi", "sf0.001"] and share["tempo", "sf0.1"] < 0.5
+
+
+@pytest.mark.parametrize("name", SCORERS)
+@pytest.mark.parametrize("group", [None, "kind"])
+@pytest.mark.parametrize("excluding", [False, True])
+def test_classes_equal_loops(spark, sides, monkeypatch, tmp_path, name, group, excluding):
+    """Few different vectors and attributes: classes of many items, ties between classes, classes that a request excludes whole."""
+    monkeypatch.setattr(bounded, "TILE_LEFT", 7)
+    monkeypatch.setattr(bounded, "TILE_RIGHT", 23)
+    left, _, lf, _ = sides
+    rng = np.random.default_rng(3)
+    right = side(rng, 400, "item")
+    right["own"] = right.item % 9
+    right["vec"] = [right.vec[200 + i % 9] for i in range(400)]
+    for c, n in (("tempo", 3), ("energy_rank", 2), ("difficulty_rank", 1), ("role_code", 2)):
+        right[c] = (right.item % n * 7 + 100 if c == "tempo" else right.item % n + 1).astype(right[c].dtype)
+    right["tempo_lo"], right["tempo_hi"] = right.tempo - 5, right.tempo + 5
+    scorer, classes = SCORERS[name]
+    used = [(i, j) for i in range(60) for j in range(400) if (i * j + i) % 3 == 0 or (i % 4 == 1 and j % 36 < 20)] + [(999, 1), (1, 999)] if excluding else []
+    rows = spark.createDataFrame(right.drop(columns="vec"))
+    vecs = spark.createDataFrame([(i, [float(x) for x in right.vec[i]]) for i in range(9)], "own long, vec array<double>")
+    exclude = spark.createDataFrame(used, "req long, item long") if excluding else None
+    got = bounded.classed_topk(lf.drop("kind"), rows, "req", "item", 6, scorer, classes, 60, ["own"], lambda df: df.join(vecs, "own"),
+                               group=group, exclude=exclude, cell_left=16, cell_right=10)
+    assert {(r.req, r.item, r["rank"]) for r in got.collect()} == brute(left, right, scorer, 6, group, frozenset(used))
+
+
+def test_copies_add_no_work(spark, monkeypatch):
+    """Twenty copies of every item make no more classes."""
+    from cadenza.plans import binding as b
+    from cadenza.plans import scoring
+
+    sizes, real, plain = [], bounded._candidates, b.item_keys
+    monkeypatch.setattr(bounded, "_candidates", lambda *a, **k: sizes.append(a[7][1]) or real(*a, **k))
+    for times in (1, 20):
+        monkeypatch.setattr(b, "item_keys", lambda *a: plain(*a).withColumn("item_id", F.explode(F.sequence("item_id", F.col("item_id") + (times - 1) * 10000, F.lit(10000)))))
+        assert scoring.best_items(spark, "/root/testdata/sf0.001", 5).count() == 150 * 5
+    assert sizes[0] == sizes[1]
