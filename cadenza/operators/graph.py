@@ -49,24 +49,21 @@ def degrees(items: DataFrame, item_id: str) -> DataFrame:
     return items.select(item_id, *CLASS).join(per_class, CLASS)
 
 
-def neighbour_bits(items: DataFrame, item_id: str, bits: Column, n: int) -> DataFrame:
-    """Positions set by any compatible item, as an array of n flags per item.
+def with_neighbour_spots(items: DataFrame, bits: Column, name: str) -> DataFrame:
+    """The items, with the sorted positions set by any compatible other item.
 
     `bits` are the positions an item sets. Class totals are summed over
-    compatible classes and the item's own positions are taken off again.
+    compatible classes; a position that one item alone sets does not count
+    for that item itself.
     """
-    own = items.select(item_id, *CLASS, F.array_distinct(bits).alias("_own"))
+    own = items.withColumn("_own", F.array_distinct(bits))
     totals = own.select(*CLASS, F.explode("_own").alias("_bit")).groupBy(*CLASS, "_bit").agg(F.count(F.lit(1)).alias("_c"))
     to = {c: F.col(c) for c in CLASS}
     sources = F.filter(all_classes(), lambda s: compatible({c: s[c] for c in CLASS}, to))
     spread = totals.select(F.explode(sources).alias("a"), "_bit", "_c")
     summed = spread.groupBy(*[F.col(f"a.{c}").alias(c) for c in CLASS], "_bit").agg(F.sum("_c").alias("_c"))
-    # At most n entries per class.
-    table = summed.groupBy(*CLASS).agg(F.map_from_entries(F.collect_list(F.struct("_bit", "_c"))).alias("_map"))
-    flags = F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1)),
-        lambda i: F.when(
-            F.coalesce(F.try_element_at("_map", i), F.lit(0)) - F.when(F.array_contains("_own", i), 1).otherwise(0) > 0, 1.0
-        ).otherwise(0.0),
-    )
-    return own.join(table, CLASS).select(item_id, flags.alias("flags"))
+    # At most one entry for each position and class, of which there are 108.
+    table = summed.groupBy(*CLASS).agg(
+        F.collect_list(F.when(F.col("_c") > 1, F.col("_bit"))).alias("_many"), F.collect_list(F.when(F.col("_c") == 1, F.col("_bit"))).alias("_single"))
+    spots = F.array_sort(F.concat("_many", F.array_except("_single", "_own")))
+    return own.join(F.broadcast(table), CLASS).withColumn(name, spots).drop("_own", "_many", "_single")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import encode, labels, scores, text, vectors, vocab
 from ..operators import graph
-from ..operators.bounded import bounded_topk
+from ..operators.bounded import classed_topk
 from ..operators.diversity import capped_topk
-from ..operators.nearest import CategoricalBlend, TempoBlend, block_topk
+from ..operators.nearest import CategoricalBlend, TempoBlend, Within, cosine_score
 from ..operators.profiles import rounded
+from ..session import written
 from . import binding as b
 from .registry import query
 from .scoring import TOPK_SQL, pool_size
@@ -74,17 +75,29 @@ def prj10(spark, sf):
 
 # --- unified vectors --------------------------------------------------------------------
 
-def unified_items(spark, sf):
-    """Items with the 470-entry vector; the transition space holds the hashed neighbours."""
+#: What the vector of an item depends on: items that agree on these are one class.
+UNIFIED = ["said_spots", "tempo", "difficulty", "energy", "role", "next_spots"]
+
+
+def unified_keys(spark, sf):
+    """Items with the positions that their text and their hashed neighbours set."""
     i = b.items(spark, sf)
     spots = F.array(*[
         encode.md5_bucket(F.concat(F.col("item_id").cast("string"), F.lit(str(s))), vocab.TRANSITION_DIM).cast("int")
         for s in vocab.TRANSITION_SEEDS])
-    flags = graph.neighbour_bits(i, "item_id", spots, vocab.TRANSITION_DIM)
     said = labels.describe(F.col("label"), F.col("energy"), F.col("difficulty"), F.col("notes"))
-    return i.join(flags, "item_id").withColumn("vec", encode.unified(
-        encode.text_space(said), F.col("tempo").cast("double"), scores.level_rank(F.col("difficulty")), F.col("energy"), F.col("role"),
-        vectors.l2_normalize(F.col("flags")), SPACES)).drop("flags")
+    return graph.with_neighbour_spots(i, spots, "next_spots").withColumn("said_spots", F.array_sort(encode.text_positions(said)))
+
+
+def with_unified(df):
+    """Adds the 470-entry vector of rows of `unified_keys`; the transition space holds the hashed neighbours."""
+    return df.withColumn("vec", encode.unified(
+        vectors.multi_hot(F.col("said_spots"), vocab.TEXT_DIM), F.col("tempo").cast("double"), scores.level_rank(F.col("difficulty")), F.col("energy"),
+        F.col("role"), vectors.l2_normalize(vectors.multi_hot(F.col("next_spots"), vocab.TRANSITION_DIM)), SPACES))
+
+
+def unified_items(spark, sf):
+    return with_unified(unified_keys(spark, sf))
 
 
 def query_vectors(reqs, said, weights):
@@ -180,16 +193,35 @@ def request_classes(spark, sf, words, weights, keep=()):
 
 
 def to_members(found, members):
-    return found.withColumnRenamed("req_id", "rep").join(members, "rep").drop("rep")
+    """What was worked out for the smallest request of a class, for all of them; a class is hot where requests are alike."""
+    return members.join(found.withColumnRenamed("req_id", "rep"), "rep").drop("rep")
+
+
+#: Rows of a cell: a unified vector has 470 entries.
+UNIFIED_CELL = 1 << 14
+
+
+def _class_search(spark, sf, words, weights, k, scorer, attributes):
+    """The k best items of the smallest request of each class, and the members of the classes."""
+    own = [v.alias(c) for c, v in attributes.items()]
+    members, asked = request_classes(spark, sf, words, weights, own)
+    asked = written(asked, "asked")
+    found = unified_keys(spark, sf).select("item_id", *UNIFIED)
+
+    def with_vec(df):
+        return with_unified(df).withColumns(attributes)
+
+    return classed_topk(asked, found, "req_id", "item_id", k, scorer, list(attributes), asked.count(), UNIFIED, with_vec, cell_right=UNIFIED_CELL), members
+
+
+def class_search(spark, sf, weights, k, said=True):
+    words = F.concat_ws(" ", "style", "energy", "difficulty") if said else None
+    return _class_search(spark, sf, words, weights, k, Within(cosine_score), {})
 
 
 def search(spark, sf, weights, k, said=True):
     """The k items nearest to each request; requests of one class are searched once."""
-    words = F.concat_ws(" ", "style", "energy", "difficulty") if said else None
-    members, asked = request_classes(spark, sf, words, weights)
-    found = unified_items(spark, sf).select("item_id", "vec")
-    sizes = asked.count(), b.table(spark, sf, "part").count()
-    return to_members(block_topk(asked, found, "req_id", "item_id", k, sizes=sizes, left_rows=1024, right_rows=8192), members)
+    return to_members(*class_search(spark, sf, weights, k, said))
 
 
 def blended_search(spark, sf, words, weights, k, scorer, classes):
@@ -197,10 +229,7 @@ def blended_search(spark, sf, words, weights, k, scorer, classes):
     attributes = {
         "tempo": F.col("tempo").cast("double"), "energy_rank": scores.level_rank(F.col("energy")),
         "difficulty_rank": scores.level_rank(F.col("difficulty")), "role_code": F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))}
-    own = [v.alias(c) for c, v in attributes.items() if c in classes]
-    members, asked = request_classes(spark, sf, words, weights, own)
-    found = unified_items(spark, sf).select("item_id", "vec").join(b.items(spark, sf).select("item_id", *own), "item_id")
-    best = bounded_topk(asked, found, "req_id", "item_id", k, scorer, classes, (asked.count(), b.table(spark, sf, "part").count()))
+    best, members = _class_search(spark, sf, words, weights, k, scorer, {c: attributes[c] for c in classes})
     return to_members(best, members).select("req_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -263,12 +292,16 @@ def top10(spark, sf):
 
 
 def recommend(spark, sf, k, mode="ordered", seed=0):
-    """Fetch max(5k, 30), spread over labels, keep k, explain each."""
-    found = search(spark, sf, SPACES, pool_size(k)).join(b.items(spark, sf).select("item_id", "label"), "item_id")
-    kept = capped_topk(found, "req_id", "label", k, mode=mode, seed=seed).select("req_id", "item_id", "place", "score")
-    j = kept.join(b.requests(spark, sf).select("req_id", F.col("tempo").alias("want")), "req_id").join(b.items(spark, sf), "item_id")
+    """Fetch max(5k, 30), spread over labels, keep k, explain each; in rank order all requests of a class get the same."""
+    found, members = class_search(spark, sf, SPACES, pool_size(k))
+    if mode != "ordered":  # each request draws its own
+        found, members = to_members(found, members), members.select("req_id", F.col("req_id").alias("rep"))
+    labelled = found.join(b.items(spark, sf).select("item_id", "label").hint("merge"), "item_id")
+    kept = capped_topk(labelled, "req_id", "label", k, mode=mode, seed=seed).select("req_id", "item_id", "place", "score")
+    wanted = b.requests(spark, sf).select("req_id", F.col("tempo").alias("want"))
+    j = kept.join(wanted.hint("merge"), "req_id").join(b.items(spark, sf).hint("merge"), "item_id")
     told = text.match_explanation(F.col("score"), F.abs(F.col("tempo") - F.col("want")), F.col("energy"), F.col("label"), F.col("notes"))
-    return j.select("req_id", "item_id", "place", told.alias("explanation"))
+    return to_members(j.select("req_id", "item_id", "place", told.alias("explanation")), members)
 
 
 @query("top11_preview_sample", b.with_("items", hit="select item_id, label, abs(tempo - 115) as gap from items where difficulty = 'beginner' and tempo between 100 and 130",
