@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import labels, scores, vectors, vocab
 from ..operators import experiments as ex
 from ..operators import nearest as nn
+from ..operators.bounded import classed_topk
 from ..operators.ordering import dense_index
 from ..operators.profiles import rounded, spread
+from ..session import written
 from . import binding as b
 from .registry import query
 from .scoring import PAIRS, TOPK_SQL, pair_attributes
@@ -131,19 +133,33 @@ def jon2(spark, sf):
     return nn.block_pairs(b.vectors(spark, sf).select("vec_id", "vec"), "vec_id", 0.3, size=n).select("a", "b", F.round("score", 6).alias("cosine"))
 
 
-def transition_sides(spark, sf):
-    m = motion(spark, sf).select("item_id", *TRANSITION_COLS)
-    return m, motion(spark, sf).select(F.col("item_id").alias("next_id"), *TRANSITION_COLS)
+#: What the motion of an item depends on: items that agree on these are one class.
+MOVES = ["vec_id", "direction", "energy_rank", "difficulty_rank"]
+
+
+def motion_keys(spark, sf):
+    return b.item_keys(spark, sf).select(
+        "item_id", "vec_id", (F.col("item_id") % 4).alias("direction"),
+        scores.level_rank(F.col("energy")).alias("energy_rank"), scores.level_rank(F.col("difficulty")).alias("difficulty_rank"))
+
+
+def with_motion(spark, sf):
+    """Adds poses and speeds to rows of `motion_keys`."""
+    return lambda df: b.poses(b.with_vectors(spark, sf)(df)).drop("vec")
 
 
 @query("jon3_best_transitions", b.with_("motion", scored=f"select a.item_id as req_id, c.item_id, round({TRANSITION_SQL}, 9) as score from motion a join motion c on a.item_id <> c.item_id") + f"""
     select req_id as item_id, item_id as next_id, round(score, 6) as score, rank from ({TOPK_SQL.format(src='scored')}) where rank <= 3""")
 def jon3(spark, sf):
-    left, right = transition_sides(spark, sf)
-    n = b.table(spark, sf, "part").count()
-    best = nn.block_topk(left, right, "item_id", "next_id", 3, vec=None, sizes=(n, n), left_rows=1024, right_rows=2048,
-                         scorer=nn.NotSelf(nn.Transition(vocab.TRANSITION_WEIGHTS), "item_id", "next_id"))
-    return best.select("item_id", "next_id", F.round("score", 6).alias("score"), "rank")
+    """Items of one motion have the same best followers: four are searched for each class, the item itself is left out of its own."""
+    keys = motion_keys(spark, sf)
+    own = written(keys.groupBy(*MOVES).agg(F.min("item_id").alias("own")), "motions")
+    near = classed_topk(with_motion(spark, sf)(own).select("own", *TRANSITION_COLS), keys.withColumnRenamed("item_id", "next_id"), "own", "next_id", 4,
+                        nn.Transition(vocab.TRANSITION_WEIGHTS), TRANSITION_COLS, own.count(), MOVES, with_motion(spark, sf))
+    lists = near.groupBy("own").agg(F.array_sort(F.collect_list(F.struct("rank", "next_id", "score"))).alias("near"))
+    rest = F.filter("near", lambda x: x["next_id"] != F.col("item_id"))
+    best = keys.join(own, MOVES).join(lists, "own").select("item_id", F.posexplode(F.slice(rest, 1, 3)).alias("at", "x"))
+    return best.select("item_id", "x.next_id", F.round("x.score", 6).alias("score"), (F.col("at") + 1).cast("long").alias("rank"))
 
 
 @query("agg19_transition_summary", b.with_("motion", scored=f"select {TRANSITION_SQL} as score from motion a join motion c on a.item_id <> c.item_id") + """
@@ -151,11 +167,13 @@ def jon3(spark, sf):
       count(*) filter (score > 0.7) as smooth, count(*) filter (score < 0.4) as pause,
       round(100.0 * count(*) filter (score > 0.7) / count(*), 6) as smooth_pct from scored""")
 def agg19(spark, sf):
-    left, right = transition_sides(spark, sf)
-    n = b.table(spark, sf, "part").count()
+    """Pairs of motion classes, weighted by their sizes."""
+    classes = written(motion_keys(spark, sf).groupBy(*MOVES).agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n")), "motions")
+    side = with_motion(spark, sf)(classes).select("item_id", "n", *TRANSITION_COLS)
+    n = classes.count()
     inf = float("inf")
-    s = nn.block_stats(left, "item_id", right, "next_id", vec=None, sizes=(n, n), left_rows=1024, right_rows=2048,
-                       scorer=nn.Transition(vocab.TRANSITION_WEIGHTS), bands={"smooth": (0.7, inf), "pause": (-inf, 0.4)})
+    s = nn.block_stats(side, "item_id", side.withColumnRenamed("item_id", "next_id"), "next_id", vec=None, sizes=(n, n), left_rows=1024, right_rows=2048,
+                       scorer=nn.Transition(vocab.TRANSITION_WEIGHTS), bands={"smooth": (0.7, inf), "pause": (-inf, 0.4)}, n="n")
     return rounded(s.withColumn("smooth_pct", F.try_divide(F.col("smooth") * 100.0, F.col("n"))))
 
 
