@@ -96,10 +96,6 @@ def with_unified(df):
         F.col("role"), vectors.l2_normalize(vectors.multi_hot(F.col("next_spots"), vocab.TRANSITION_DIM)), SPACES))
 
 
-def unified_items(spark, sf):
-    return with_unified(unified_keys(spark, sf))
-
-
 def query_vectors(reqs, said, weights):
     """Requests with the vector of the same spaces; no text gives a zero text part."""
     body = encode.text_space(said) if said is not None else vectors.zeros(vocab.TEXT_DIM)
@@ -145,10 +141,12 @@ UNIFIED_SQL = dict(
     select item_id, len(uvec)::int as dim, round(sqrt(list_sum([x * x for x in uvec])), 6) as length, round(list_sum(uvec[1:384]), 6) as text_sum,
       round(list_sum(uvec[407:470]), 6) as transition_sum from unified""")
 def prj11(spark, sf):
-    v = F.col("vec")
-    return rounded(unified_items(spark, sf).select(
-        "item_id", F.size(v).alias("dim"), vectors.norm(v).alias("length"), vectors.vec_sum(F.slice(v, 1, 384)).alias("text_sum"),
-        vectors.vec_sum(F.slice(v, 407, 64)).alias("transition_sum")))
+    """The vector of a class of items is built once."""
+    keys, v = unified_keys(spark, sf).select("item_id", *UNIFIED), F.col("vec")
+    told = with_unified(keys.select(*UNIFIED).distinct()).select(
+        *UNIFIED, F.size(v).alias("dim"), vectors.norm(v).alias("length"), vectors.vec_sum(F.slice(v, 1, 384)).alias("text_sum"),
+        vectors.vec_sum(F.slice(v, 407, 64)).alias("transition_sum"))
+    return rounded(keys.join(told.hint("merge"), UNIFIED).drop(*UNIFIED))
 
 
 ASK = "style || ' ' || energy || ' ' || difficulty"
