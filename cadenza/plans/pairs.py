@@ -13,7 +13,7 @@ from ..operators.profiles import rounded, spread
 from ..session import written
 from . import binding as b
 from .registry import query
-from .scoring import PAIRS, TOPK_SQL, pair_attributes
+from .scoring import PAIRS, TOPK_SQL, WHOLE, known, pair_attributes, pair_cosines
 
 RANK = b.sql_rank
 NEIGHBOURS = 4  # each item is compared with the next four
@@ -257,12 +257,8 @@ def agg15(spark, sf):
     select l_orderkey, l_linenumber, item_id, round(0.4 * list_cosine_similarity(r.vec[1:16], i.vec[1:16]) + 0.4 * list_cosine_similarity(r.vec[17:64], i.vec[17:64])
       + 0.2 * list_cosine_similarity(r.vec, i.vec), 6) as similarity from purchases p join request_vectors r using (req_id) join item_vectors i using (item_id)""")
 def win25(spark, sf):
-    p = pair_attributes(spark, sf)
-
-    def part(a, n):
-        return vectors.cosine(F.slice("r_vec", a, n), F.slice("i_vec", a, n))
-
-    mix = part(1, 16) * 0.4 + part(17, 48) * 0.4 + vectors.cosine(F.col("r_vec"), F.col("i_vec")) * 0.2
+    p = pair_cosines(spark, sf, first=(0, 16), rest=(16, 48), cosine=WHOLE)
+    mix = known("first") * 0.4 + known("rest") * 0.4 + known("cosine") * 0.2
     return p.select("l_orderkey", "l_linenumber", "item_id", F.round(mix, 6).alias("similarity"))
 
 
@@ -464,7 +460,7 @@ def evl6(spark, sf):
     select n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(pooled_std, 6) as pooled_std, round(improvement, 6) as improvement, round(t, 6) as t,
       round(greatest(0, least(1, 1 - t / 4)), 6)::double as significance_proxy from t""")
 def evl7(spark, sf):
-    p = pair_attributes(spark, sf, with_vectors=False)
+    p = pair_attributes(spark, sf)
     c = F.col
     t = scores.gaussian_similarity(c("r_tempo"), c("i_tempo"))
     e = 1.0 - scores.level_gap(c("r_energy"), c("i_energy")) / 2.0
