@@ -172,9 +172,10 @@ def _search_sql(k):
 @query("prj12_query_vector", b.with_("requests", **_asked_sql(SPACES)) + """
     select req_id, len(qvec)::int as dim, round(sqrt(list_sum([x * x for x in qvec])), 6) as length, round(list_sum(qvec[385:392]), 6) as tempo_sum from asked""")
 def prj12(spark, sf):
-    q = query_vectors(b.requests(spark, sf), F.concat_ws(" ", "style", "energy", "difficulty"), SPACES)
+    """Requests of one class have one query vector, which is built once."""
+    members, q = request_classes(spark, sf, F.concat_ws(" ", "style", "energy", "difficulty"), SPACES)
     v = F.col("vec")
-    return rounded(q.select("req_id", F.size(v).alias("dim"), vectors.norm(v).alias("length"), vectors.vec_sum(F.slice(v, 385, 8)).alias("tempo_sum")))
+    return to_members(rounded(q.select("req_id", F.size(v).alias("dim"), vectors.norm(v).alias("length"), vectors.vec_sum(F.slice(v, 385, 8)).alias("tempo_sum"))), members)
 
 
 #: What a query vector depends on: requests that agree on these are one class.
