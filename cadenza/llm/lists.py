@@ -2,7 +2,8 @@
 
 A row is (sig, node, n): a key, a set, and the set's size. Short lists give all pairs of similar size. Long lists give the
 pairs with their first set at once; when those have been verified and give components, the pairs of a long list that lie
-in different components follow, in bounded cells.
+in different components follow, in bounded cells. Two sets often share many long lists; their pair is given by the first of
+them, as told by the smallest keys that each row carries.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ LIST_BLOCK = 2048
 SIG_BITS = 48
 MAP_BITS = 1024
 NEEDED_BITS = 1 << 24
+#: Keys that a row of a cell carries: the smallest ones of its set among the lists of several components.
+CARRIED = 8
 
 _U = np.uint64
 
@@ -131,13 +134,27 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pairs.full(1)
 
 
+def earlier(sig: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sets with the carried keys a and b, row by row, meet in a list before `sig`.
+
+    Their first list in common has none before it, so each pair is given at least once.
+    """
+    met = np.zeros(len(a), dtype=bool)
+    for k in range(a.shape[1]):
+        met |= (a[:, k] < sig) & (a[:, k, None] == b).any(axis=1)
+    return met
+
+
 def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and cell: pairs of a cell that lie in different components and, off the diagonal, in different blocks."""
+    """Rows sorted by key and cell: pairs of a cell that lie in different components and, off the diagonal, in different blocks.
+
+    A pair that an earlier list gives is left to that list.
+    """
     pairs = _Pairs()
     names = ("sig", "bi", "bj", "node", "n", "component", "block")
     carry = None
 
-    def run(node, n, comp, block, maps, apart):
+    def run(sig, node, n, comp, block, maps, keys, apart):
         for lo in range(0, len(node), 512):
             part = slice(lo, lo + 512)
             ok = (comp[part, None] != comp[None, :]) & (node[part, None] < node[None, :])
@@ -148,21 +165,26 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(a), 1 << 16):
                 i, j = a[k: k + (1 << 16)] + lo, b[k: k + (1 << 16)]
                 near = enough(n[i], n[j], np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1))
-                pairs.add(node[i[near]], node[j[near]], n[i[near]], n[j[near]])
+                i, j = i[near], j[near]
+                fresh = ~earlier(sig, keys[i], keys[j])
+                pairs.add(node[i[fresh]], node[j[fresh]], n[i[fresh]], n[j[fresh]])
 
     def finished(cols):
-        sig, bi, bj, node, n, comp, block, maps = cols
+        sig, bi, bj, node, n, comp, block, maps, keys = cols
         if not len(sig):
             return
         start = np.flatnonzero(np.concatenate(([True], (sig[1:] != sig[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1]))))
         for lo, hi in zip(start, [*start[1:], len(sig)]):
             if hi - lo > 1 and comp[lo:hi].min() != comp[lo:hi].max():
-                run(node[lo:hi], n[lo:hi], comp[lo:hi], block[lo:hi], maps[lo:hi], bi[lo] != bj[lo])
+                run(sig[lo], node[lo:hi], n[lo:hi], comp[lo:hi], block[lo:hi], maps[lo:hi], keys[lo:hi], bi[lo] != bj[lo])
                 yield from pairs.full()
 
     for batch in batches:
         maps = b"".join(x.as_py() for x in batch["small"])
-        cols = [*(batch[k].to_numpy() for k in names), np.frombuffer(maps, dtype=np.uint64).reshape(len(batch), -1 if maps else MAP_BITS // 64)]
+        cols = [
+            *(batch[k].to_numpy() for k in names), np.frombuffer(maps, dtype=np.uint64).reshape(len(batch), -1 if maps else MAP_BITS // 64),
+            batch["keys"].flatten().to_numpy().reshape(len(batch), -1 if len(batch) else CARRIED),
+        ]
         if carry is not None:
             cols = [np.concatenate(x) for x in zip(carry, cols)]
         if not len(cols[0]):
@@ -192,12 +214,16 @@ def later_pairs(rows: DataFrame, found: DataFrame, maps: DataFrame, first: DataF
     rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("sig").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     blocks = F.ceil(F.col("rows") / block_rows).cast("int")
+    rows = rows.join(mixed.select("sig", blocks.alias("blocks")), "sig")
+    # A key of all ones, which no list has (SIG_BITS), fills up.
+    keys = F.slice(F.concat(F.array_sort(F.collect_set("sig")), F.array_repeat(F.lit((1 << 63) - 1), CARRIED)), 1, CARRIED)
+    maps = maps.join(rows.groupBy("node").agg(keys.alias("keys")), "node")
     placed = (
-        rows.join(mixed.select("sig", blocks.alias("blocks")), "sig")
+        rows
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .join(maps, "node")
-        .select("sig", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", "n", "component", "block", "small")
+        .select("sig", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "node", "n", "component", "block", "small", "keys")
         .repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj", "node")
     )
     return placed.mapInArrow(cells, PAIRS).select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
