@@ -180,15 +180,15 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from pairs.full()
 
     for batch in batches:
+        if not len(batch):
+            continue
         maps = b"".join(x.as_py() for x in batch["small"])
         cols = [
-            *(batch[k].to_numpy() for k in names), np.frombuffer(maps, dtype=np.uint64).reshape(len(batch), -1 if maps else MAP_BITS // 64),
-            batch["keys"].flatten().to_numpy().reshape(len(batch), -1 if len(batch) else CARRIED),
+            *(batch[k].to_numpy() for k in names), np.frombuffer(maps, dtype=np.uint64).reshape(len(batch), -1),
+            batch["keys"].flatten().to_numpy().reshape(len(batch), -1),
         ]
         if carry is not None:
             cols = [np.concatenate(x) for x in zip(carry, cols)]
-        if not len(cols[0]):
-            continue
         last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
         end = int(np.argmax(last))
         yield from finished([x[:end] for x in cols])
