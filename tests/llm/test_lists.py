@@ -9,7 +9,7 @@ from cadenza.llm import lists as L
 def cell(sig, held):
     """A cell of the list `sig`; `held` has the lists of each node."""
     nodes = [v for v in sorted(held) if sig in held[v]]
-    keys = [(sorted(held[v]) + [(1 << 63) - 1] * L.CARRIED)[: L.CARRIED] for v in nodes]
+    keys = [(sorted(held[v]) + [(1 << 63) - 1] * 8)[:8] for v in nodes]
     k = len(nodes)
     zero = pa.array(np.zeros(k, dtype=np.int32))
     return pa.RecordBatch.from_arrays([
