@@ -69,8 +69,10 @@ def prj9(spark, sf):
 @query("prj10_hashed_text", f"select doc_id, len(p)::int as n_set, list_sum(p)::bigint as position_sum from (select doc_id, {_text_pos_sql('text')} as p from documents)")
 def prj10(spark, sf):
     p = encode.text_positions(F.col("text"))
+    total = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x)
+    # A text without characters, or none at all, sets no position and has no sum.
     return b.table(spark, sf, "documents").select("doc_id", p.alias("p")).select(
-        "doc_id", F.size("p").alias("n_set"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("position_sum"))
+        "doc_id", F.size("p").alias("n_set"), F.when(F.size("p") > 0, total).alias("position_sum"))
 
 
 # --- unified vectors --------------------------------------------------------------------
