@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels, scores, vectors, vocab
 from ..operators import experiments as ex
 from ..operators import nearest as nn
-from ..operators.bounded import classed_topk
+from ..operators.keyed import MotionEnds, MotionStep, keyed_best, keyed_stats
 from ..operators.ordering import dense_index
 from ..operators.profiles import rounded, spread
 from ..session import written
@@ -143,23 +143,24 @@ def motion_keys(spark, sf):
         scores.level_rank(F.col("energy")).alias("energy_rank"), scores.level_rank(F.col("difficulty")).alias("difficulty_rank"))
 
 
-def with_motion(spark, sf):
-    """Adds poses and speeds to rows of `motion_keys`."""
-    return lambda df: b.poses(b.with_vectors(spark, sf)(df)).drop("vec")
+def motion_ends(spark, sf):
+    """(key, feat) of the end of each vector's motion, and of its start."""
+    v = b.poses(b.vectors(spark, sf).withColumnRenamed("vec_id", "key"))
+    return [v.select("key", F.array(*[f"{at}_{j}" for j in range(4)], f"speed_{at}", "coverage").alias("feat")) for at in ("end", "start")]
 
 
 @query("jon3_best_transitions", b.with_("motion", scored=f"select a.item_id as req_id, c.item_id, round({TRANSITION_SQL}, 9) as score from motion a join motion c on a.item_id <> c.item_id") + f"""
     select req_id as item_id, item_id as next_id, round(score, 6) as score, rank from ({TOPK_SQL.format(src='scored')}) where rank <= 3""")
 def jon3(spark, sf):
-    """Items of one motion have the same best followers: four are searched for each class, the item itself is left out of its own."""
-    keys = motion_keys(spark, sf)
-    own = written(keys.groupBy(*MOVES).agg(F.min("item_id").alias("own")), "motions")
-    near = classed_topk(with_motion(spark, sf)(own).select("own", *TRANSITION_COLS), keys.withColumnRenamed("item_id", "next_id"), "own", "next_id", 4,
-                        nn.Transition(vocab.TRANSITION_WEIGHTS), TRANSITION_COLS, own.count(), MOVES, with_motion(spark, sf))
-    lists = near.groupBy("own").agg(F.array_sort(F.collect_list(F.struct("rank", "next_id", "score"))).alias("near"))
-    rest = F.filter("near", lambda x: x["next_id"] != F.col("item_id"))
-    best = keys.join(own, MOVES).join(lists, "own").select("item_id", F.posexplode(F.slice(rest, 1, 3)).alias("at", "x"))
-    return best.select("item_id", "x.next_id", F.round("x.score", 6).alias("score"), (F.col("at") + 1).cast("long").alias("rank"))
+    """Four are searched for each item by the motions of the vectors, the item itself is left out of its own."""
+    keys = motion_keys(spark, sf).withColumnRenamed("vec_id", "key")
+    ends, starts = motion_ends(spark, sf)
+    n, n_vec = b.table(spark, sf, "part").count(), b.table(spark, sf, "embeddings").count()
+    near = keyed_best(keys, keys.withColumnRenamed("item_id", "next_id"), ends, starts, "item_id", "next_id", 4,
+                      MotionEnds(vocab.TRANSITION_WEIGHTS), MotionStep(vocab.TRANSITION_WEIGHTS), MOVES[1:], (n, n, n_vec))
+    rest = F.filter("best", lambda x: x["next_id"] != F.col("item_id"))
+    best = near.select("item_id", F.posexplode(F.slice(rest, 1, 3)).alias("at", "x"))
+    return best.select("item_id", "x.next_id", F.round(-F.col("x.neg"), 6).alias("score"), (F.col("at") + 1).cast("long").alias("rank"))
 
 
 @query("agg19_transition_summary", b.with_("motion", scored=f"select {TRANSITION_SQL} as score from motion a join motion c on a.item_id <> c.item_id") + """
@@ -167,13 +168,11 @@ def jon3(spark, sf):
       count(*) filter (score > 0.7) as smooth, count(*) filter (score < 0.4) as pause,
       round(100.0 * count(*) filter (score > 0.7) / count(*), 6) as smooth_pct from scored""")
 def agg19(spark, sf):
-    """Pairs of motion classes, weighted by their sizes."""
-    classes = written(motion_keys(spark, sf).groupBy(*MOVES).agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n")), "motions")
-    side = with_motion(spark, sf)(classes).select("item_id", "n", *TRANSITION_COLS)
-    n = classes.count()
+    """Pairs of motion classes, weighted by their sizes; what hangs on the vectors is worked out once for two of them."""
+    classes = written(motion_keys(spark, sf).withColumnRenamed("vec_id", "key").groupBy("key", *MOVES[1:]).agg(F.count(F.lit(1)).alias("n")), "motions")
     inf = float("inf")
-    s = nn.block_stats(side, "item_id", side.withColumnRenamed("item_id", "next_id"), "next_id", vec=None, sizes=(n, n), left_rows=1024, right_rows=2048,
-                       scorer=nn.Transition(vocab.TRANSITION_WEIGHTS), bands={"smooth": (0.7, inf), "pause": (-inf, 0.4)}, n="n")
+    s = keyed_stats(classes, *motion_ends(spark, sf), classes.count(), b.table(spark, sf, "embeddings").count(), MotionEnds(vocab.TRANSITION_WEIGHTS),
+                    MotionStep(vocab.TRANSITION_WEIGHTS), MOVES[1:], {"smooth": (0.7, inf), "pause": (-inf, 0.4)})
     return rounded(s.withColumn("smooth_pct", F.try_divide(F.col("smooth") * 100.0, F.col("n"))))
 
 
