@@ -225,23 +225,26 @@ def search(spark, sf, weights, k, said=True):
     return to_members(*class_search(spark, sf, weights, k, said))
 
 
-def blended_search(spark, sf, words, weights, k, scorer, classes):
-    """The k items of the highest blend; the blend and its limits count before the ranking."""
+def blended_classes(spark, sf, words, weights, k, scorer, classes):
+    """The k items of the highest blend for the smallest request of each class, and the members; the blend and its limits count before the ranking."""
     attributes = {
         "tempo": F.col("tempo").cast("double"), "energy_rank": scores.level_rank(F.col("energy")),
         "difficulty_rank": scores.level_rank(F.col("difficulty")), "role_code": F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))}
-    best, members = _class_search(spark, sf, words, weights, k, scorer, {c: attributes[c] for c in classes})
-    return to_members(best, members).select("req_id", "item_id", F.round("score", 6).alias("score"), "rank")
+    return _class_search(spark, sf, words, weights, k, scorer, {c: attributes[c] for c in classes})
 
 
-def tempo_search(spark, sf, k, tolerance):
+def tempo_classes(spark, sf, k, tolerance):
     words = F.concat_ws(" ", "style", "energy", "difficulty")
-    return blended_search(spark, sf, words, vocab.TEMPO_SEARCH_WEIGHTS, k, TempoBlend(tolerance), ["tempo"])
+    return blended_classes(spark, sf, words, vocab.TEMPO_SEARCH_WEIGHTS, k, TempoBlend(tolerance), ["tempo"])
 
 
-def categorical_search(spark, sf, k):
+def categorical_classes(spark, sf, k):
     words = F.concat(F.col("energy"), F.lit(" energy moves for "), F.col("role"))
-    return blended_search(spark, sf, words, vocab.CATEGORICAL_SEARCH_WEIGHTS, k, CategoricalBlend(), ["energy_rank", "role_code", "difficulty_rank"])
+    return blended_classes(spark, sf, words, vocab.CATEGORICAL_SEARCH_WEIGHTS, k, CategoricalBlend(), ["energy_rank", "role_code", "difficulty_rank"])
+
+
+def for_requests(best, members):
+    return to_members(best, members).select("req_id", "item_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _single_space(name, weights, said):
@@ -261,7 +264,7 @@ _single_space("top4_text_search", TEXT_ONLY, True)
         from near join requests r using (req_id) join items i using (item_id) where abs(i.tempo - r.tempo) <= 10""") + f"""
     select req_id, item_id, round(score, 6) as score, rank from ({TOPK_SQL.format(src='mixed')}) where rank <= 10""")
 def top5(spark, sf):
-    return tempo_search(spark, sf, 10, 10.0)
+    return for_requests(*tempo_classes(spark, sf, 10, 10.0))
 
 
 WANTED = "energy || ' energy moves for ' || role"
@@ -275,7 +278,7 @@ WANTED = "energy || ' energy moves for ' || role"
       mixed="select req_id, item_id, round(0.5 * score + 0.5 * cat, 9) as score from blend where round(cat, 9) >= 0.6") + f"""
     select req_id, item_id, round(score, 6) as score, rank from ({TOPK_SQL.format(src='mixed')}) where rank <= 10""")
 def flt8(spark, sf):
-    return categorical_search(spark, sf, 10)
+    return for_requests(*categorical_classes(spark, sf, 10))
 
 
 @query("top10_oversampled_recommend", b.with_("requests", "items", **UNIFIED_SQL, **_asked_sql(SPACES), **_search_sql(30),
